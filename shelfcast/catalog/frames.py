@@ -16,6 +16,7 @@ from ..operators.impute import impute_latent
 from ..operators.orders import inventory_costs, order_quantity
 from ..operators.panel import STATIC_IDS, canonicalise, densify, fill_defaults, prepare_panel, series_key
 from ..operators.regimes import label_all_regimes
+from ..session import materialise
 from ..sources.tables import FOLD_END, FOLD_START, raw_split
 
 H = 7
@@ -76,7 +77,7 @@ def two_models(df: DataFrame) -> DataFrame:
 
 def forecasts(spark: SparkSession, sf: str, labels: bool = False) -> DataFrame:
     """Forecasts of two models on two demand strategies at every validation origin."""
-    panel = daily_panel(spark, sf)
+    panel = materialise(daily_panel(spark, sf), "daily-panel")
     folds = walk_forward_folds(distinct_dates(panel), FOLDS, H)
     out = None
     for strategy, imp in (("Observed", "none"), ("Latent_historical_mean", "historical_mean")):

@@ -11,6 +11,7 @@ from ..operators import ledger as L
 from ..operators import metrics as M
 from ..operators import orders as O
 from ..operators import promote as T
+from ..session import materialise
 from .base import cte, query
 from .frames import costed_forecasts, daily_panel, forecasts
 from .sqlparts import costed, level
@@ -30,8 +31,8 @@ def _rank(v: str) -> str:
 
 cte("cost_profile", f"""SELECT series_id, co AS c_over, cu AS c_under, cu/(cu+co) AS critical_fractile, per AS synthetic_perishability_score,
  cri AS service_criticality_score FROM (SELECT *, (8e-1+8e-1*per)*(9e-1+5e-1*slow) AS co, 4e0*(9e-1+5e-1*cri) AS cu FROM (SELECT series_id,
- 5e-1*cz+3e-1*cv+2e-1*ir AS per, 6e-1*ir+4e-1*(1-dr) AS slow, 7e-1*dr+3e-1*orr AS cri FROM (SELECT s.*, {_rank('m')} AS dr, {_rank('z')} AS ir,
- {_rank('o')} AS orr FROM cost_stats s) JOIN (SELECT third_category_id, {_rank('zz')} AS cz, {_rank('vv')} AS cv FROM
+ 5e-1*cz+3e-1*cv+2e-1*ir AS per, 6e-1*ir+4e-1*(1-dr) AS slow, 7e-1*dr+3e-1*orr AS cri FROM (SELECT s.*, {_rank('round(m,12)')} AS dr, {_rank('round(z,12)')} AS ir,
+ {_rank('round(o,12)')} AS orr FROM cost_stats s) JOIN (SELECT third_category_id, {_rank('round(zz,12)')} AS cz, {_rank('round(vv,12)')} AS cv FROM
  (SELECT third_category_id, avg(z) AS zz, avg(coalesce(sd/nullif(m,0),0e0)) AS vv FROM cost_stats GROUP BY 1)) USING (third_category_id)))""",
     "cost_stats")
 PROFILE = "series_id ~c_over ~c_under ~critical_fractile ~synthetic_perishability_score ~service_criticality_score"
@@ -105,7 +106,7 @@ def _(spark, sf):
        sql="""SELECT c.data_strategy, c.model_name, c.backend_name, m.mae, c.total_cost FROM cost_summary c JOIN
  (SELECT data_strategy, model_name, avg(abs(y_pred-y_true)) AS mae FROM forecasts GROUP BY 1, 2) m USING (data_strategy, model_name)""")
 def _(spark, sf):
-    f = costed_forecasts(spark, sf)
+    f = materialise(costed_forecasts(spark, sf), "forecasts")
     keys = ["data_strategy", "model_name", "backend_name"]
     m = M.summarize_predictions(f).where(F.col("fold_id").isNull()).select(*keys, "mae")
     return M.summarize_costs(f).join(m, keys)
@@ -138,7 +139,7 @@ _SHARE = """SELECT data_strategy, fold_id, value, greatest(0e0, least(1e0, (cap-
 
 
 def decisions(spark, sf):
-    return L.decision_rows(costed_forecasts(spark, sf))
+    return materialise(L.decision_rows(costed_forecasts(spark, sf)), "decisions")
 
 
 @query("decision_rows", PRED + " ~order_quantity", "I09", "decisions", "SELECT * FROM decisions")
@@ -211,7 +212,7 @@ def _(spark, sf):
 
 @query("capped_ledger", SIM, "I08 I06")
 def _(spark, sf):
-    d = costed_forecasts(spark, sf)
+    d = materialise(costed_forecasts(spark, sf), "forecasts")
     want = L.decision_rows(d).where(F.col("fold_id") == 0).groupBy("data_strategy", "model_name").agg(
         F.sum("order_quantity").alias("t")).agg(F.min("t")).first()[0]
     return L.simulate_ledger(d, InventoryConfig(global_capacity_units=want * 0.7))
@@ -236,7 +237,7 @@ def _(spark, sf):
 
 @query("registry_update", "data_strategy model_name backend_name run_name", "I11 I10")
 def _(spark, sf):
-    s = M.summarize_costs(costed_forecasts(spark, sf))
+    s = materialise(M.summarize_costs(costed_forecasts(spark, sf)), "cost-summary")
     return T.registry_update(s, T.promotion_decision(s, _CHAMP), _CHAMP)
 
 

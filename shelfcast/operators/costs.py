@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import InventoryConfig
 from ..functions.columns import rate, ratio, require_columns
 from ..functions.ranks import percentile_ranks
+from ..session import materialise
 
 # Fixed values of the cost heuristic.
 PERISHABILITY_WEIGHTS = (0.5, 0.3, 0.2)
@@ -17,6 +18,9 @@ PERISHABILITY_FACTOR = (0.8, 0.8)
 SLOW_MOVING_FACTOR = (0.9, 0.5)
 CRITICALITY_FACTOR = (0.9, 0.5)
 
+# Means are rounded here before they are ranked, so that ties do not hang on the order of a sum.
+RANK_DIGITS = 12
+
 COST_COLUMNS = ["c_over", "c_under", "critical_fractile"]
 SCORE_COLUMNS = ["synthetic_perishability_score", "service_criticality_score"]
 
@@ -40,15 +44,17 @@ def series_cost_stats(panel: DataFrame) -> DataFrame:
 
 def category_cost_ranks(stats: DataFrame) -> DataFrame:
     cats = stats.where(F.col("third_category_id").isNotNull()).groupBy("third_category_id").agg(
-        F.avg("zero_demand_rate").alias("category_zero_demand_rate"),
-        F.avg("coefficient_variation").alias("category_cv"))
+        F.round(F.avg("zero_demand_rate"), RANK_DIGITS).alias("category_zero_demand_rate"),
+        F.round(F.avg("coefficient_variation"), RANK_DIGITS).alias("category_cv"))
     return percentile_ranks(cats, {"category_zero_rank": "category_zero_demand_rate",
                                    "category_cv_rank": "category_cv"})
 
 
 def series_cost_profile(panel: DataFrame, cfg: InventoryConfig = InventoryConfig()) -> DataFrame:
     """Synthetic over- and under-stock cost per series from percentile ranks."""
-    stats = series_cost_stats(panel)
+    ranked_columns = ["mean_observed_demand", "zero_demand_rate", "stockout_day_rate"]
+    stats = materialise(series_cost_stats(panel).withColumns(
+        {n: F.round(n, RANK_DIGITS) for n in ranked_columns}), "series-cost-stats")
     ranked = percentile_ranks(stats, {"demand_rank": "mean_observed_demand", "intermittency_rank": "zero_demand_rate",
                                       "stockout_rank": "stockout_day_rate"})
     ranked = ranked.join(category_cost_ranks(stats).select("third_category_id", "category_zero_rank",

@@ -114,9 +114,9 @@ def _simulate_capped(df: DataFrame, cfg: InventoryConfig, profile: DataFrame | N
         due = F.coalesce(F.col("__last") + 1 == F.lit(f), F.lit(False))
         now = now.withColumns({"sim_arrivals": F.when(due, F.col("__qty")).otherwise(F.lit(0.0)),
                                "__st": F.col("__st") + F.when(due, F.lit(0.0)).otherwise(F.col("__qty"))})
-        now = now.withColumn("__want", F.coalesce(placed_order(F.col("__s"), F.col("__oh"), F.col("__bl"),
+        now = now.withColumn("__request", F.coalesce(placed_order(F.col("__s"), F.col("__oh"), F.col("__bl"),
                                                                F.col("__st"), cfg.clip_negative_orders), F.lit(0.0)))
-        now = capacity_allocate(now, float(cfg.global_capacity_units), groups, q_cols, order="__want",
+        now = capacity_allocate(now, float(cfg.global_capacity_units), groups, q_cols, order="__request",
                                 out="order_quantity")
         oh, bl = settle(F.col("__oh"), F.col("__bl"), F.col("sim_arrivals"), F.col("y_true"))
         done = now.withColumns({"sim_on_hand": oh, "sim_backlog": bl})
@@ -127,7 +127,7 @@ def _simulate_capped(df: DataFrame, cfg: InventoryConfig, profile: DataFrame | N
         if state is not None:
             new = new.unionByName(state.join(new.select(*keys), keys, "left_anti"))
         state = new if state is None else cut_lineage(new)
-        parts.append(done.drop("__oh", "__bl", "__st", "__last", "__qty", "__want", "__s"))
+        parts.append(done.drop("__oh", "__bl", "__st", "__last", "__qty", "__request", "__s"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DatasetConfig
 from ..functions.columns import c, hash52, join_same, rate
 from ..functions.ranks import SMALL_ROWS, positions, quantiles, scalar_quantiles
+from ..session import materialise
 from .folds import distinct_dates
 from .quality import config_alignment
 
@@ -225,7 +226,7 @@ def category_weekday_profile(panel: DataFrame, min_obs: int = 500) -> DataFrame:
     per = panel.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.count("observed_demand").alias("n"), F.avg("observed_demand").alias("mean_demand"),
         *[F.avg(F.when(day == i, F.col("observed_demand"))).alias(d) for i, d in enumerate(DAYS)])
-    per = per.where(F.col("n") >= min_obs)
+    per = materialise(per.where(F.col("n") >= min_obs), "category-weekdays")
     arr = F.array(*[F.col(d) for d in DAYS])
     per = per.withColumn("__k", F.filter(arr, lambda v: v.isNotNull()))
     per = per.withColumn("__m", F.aggregate("__k", F.lit(0.0), lambda a, v: a + v) / F.size("__k"))
@@ -340,7 +341,8 @@ def sigma_boxes(series: DataFrame, n: int = 20) -> DataFrame:
 
 def quartile_boxes(panel: DataFrame, per_band: int = 5) -> DataFrame:
     """True quartiles of demand for series at the top, middle and bottom of the volume order."""
-    totals = panel.groupBy("series_id").agg(F.coalesce(F.sum("observed_demand"), F.lit(0.0)).alias("demand_total"))
+    totals = materialise(panel.groupBy("series_id").agg(
+        F.coalesce(F.sum("observed_demand"), F.lit(0.0)).alias("demand_total")), "series-totals")
     placed = positions(totals, "demand_total", hash52("series_id"))
     n = totals.agg(F.count(F.lit(1))).scalar()
     p = F.col("position")

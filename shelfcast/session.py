@@ -55,3 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a frame to the shared folder and read it back: computed once, columnar, of known size.
+
+    For a frame that several later steps read; the files outlive any executor.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
