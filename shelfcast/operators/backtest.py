@@ -116,15 +116,18 @@ def compare_cadences(df: DataFrame, horizon: int, cadences: Sequence[str], seed:
                      resamples: int = RESAMPLES) -> DataFrame:
     """Each cadence against no retraining, with a bootstrap over whole origins.
 
-    After pairing there is one row per origin, so the resampling works on a table with as many
+    Differences are taken per series before they are summed, so two cadences that still serve the
+    same model differ by exactly 0. After pairing there is one row per origin, so the resampling works on a table with as many
     rows as decision dates: resamples times positions, each looked up by a hash of its place.
     """
     others = [k for k in cadences if k != BASELINE]
     paired = paired_costs(df, horizon, cadences)
     n_series = paired.agg(F.count_distinct("series_id")).scalar()
-    by = paired.groupBy("decision_date").agg(*[F.sum(F.col(f"`{k}`")).alias(k) for k in cadences])
-    long = by.select("decision_date", F.col(BASELINE).alias("base"), F.explode(F.array(*[
-        F.struct(F.lit(k).alias("cadence"), (F.col(f"`{k}`") - F.col(BASELINE)).alias("delta")) for k in others])).alias("x")
+    base = F.col(BASELINE)
+    by = paired.groupBy("decision_date").agg(
+        F.sum(base).alias("base"), *[F.sum(F.col(f"`{k}`") - base).alias(k) for k in others])
+    long = by.select("decision_date", "base", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("cadence"), F.col(f"`{k}`").alias("delta")) for k in others])).alias("x")
     ).select("decision_date", "base", "x.*")
     w = Window.partitionBy("cadence")
     idx = long.select("cadence", "base", "delta", (F.row_number().over(w.orderBy("decision_date")) - 1).alias("i"),
