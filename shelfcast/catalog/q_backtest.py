@@ -23,6 +23,7 @@ from ..streaming.detector import stream_page_hinkley
 from ..streaming.windows import decision_grid, dedupe_stream, event_time, lead_time_sums
 from .base import cte, query
 from .frames import H, Z90, costed_forecasts, daily_panel
+from .q_eval import PAGE_HINKLEY
 from .q_panel import md5_52
 
 SIM = Settings(
@@ -323,11 +324,10 @@ def _(spark, sf):
     return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query("stream_page_hinkley", "event_type #event_id #ph_n ~ph_score #is_drift", "T04 W09", "", digits=4,
-       sql=None)
+@query("stream_page_hinkley", "event_type #event_id #ph_n ~ph_score #is_drift", "T04 W09", "", digits=4, sql=PAGE_HINKLEY)
 def _(spark, sf):
     s = event_stream(spark, sf)
     return drained(stream_page_hinkley(s, "event_type", ["ts", "event_id"], "value",
-                                       DriftConfig(threshold=2000.0, min_instances=30)), "detector")
+                                       DriftConfig(threshold=2000.0, delta=0.0051234567, min_instances=30)), "detector")
 
 

@@ -170,18 +170,20 @@ def _(spark, sf):
 
 
 # Page-Hinkley over the event stream, by event type in time order.
-_PH = """SELECT event_type, event_id, ts, dev, sum(dev) OVER w AS s, n FROM (SELECT *, value-avg(value) OVER w-CAST(0.005 AS DOUBLE) AS dev,
+_PH = """SELECT event_type, event_id, ts, dev, sum(dev) OVER w AS s, n FROM (SELECT *, value-avg(value) OVER w-CAST(0.0051234567 AS DOUBLE) AS dev,
  count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
-@query("page_hinkley", "event_type #event_id #ph_n ~ph_score #is_drift", "W09 T04", digits=4,
-       sql=f"""SELECT event_type, event_id, n AS ph_n, s-least(0e0, m) AS ph_score, n>30 AND s-least(0e0, m)>2000 AS is_drift FROM (SELECT *, min(s) OVER
- (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM ({_PH}))""")
+PAGE_HINKLEY = f"""SELECT event_type, event_id, n AS ph_n, s-least(0e0, m) AS ph_score, n>30 AND s-least(0e0, m)>2000 AS is_drift FROM (SELECT *, min(s) OVER
+ (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM ({_PH}))"""
+
+
+@query("page_hinkley", "event_type #event_id #ph_n ~ph_score #is_drift", "W09 T04", digits=4, sql=PAGE_HINKLEY)
 def _(spark, sf):
     e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     return V.page_hinkley(e, ["event_type"], ["ts", "event_id"], "value",
-                          DriftConfig(threshold=2000.0, min_instances=30), bucket="day")
+                          DriftConfig(threshold=2000.0, delta=0.0051234567, min_instances=30), bucket="day")
 
 
 @query("fold_drift_watch", "data_strategy model_name #fold_id ~mae ~ph_score #is_drift", "E17 W09", "forecasts", digits=5,

@@ -35,13 +35,13 @@ def _psi_from_counts(counts: DataFrame, keys: Sequence[str], bins: int) -> DataF
     r = F.when(ok, F.col("ref") / F.col("__rt"))
     k = F.when(ok, F.col("cur") / F.col("__ct"))
     rs, ks = F.greatest(r, F.lit(SHARE_FLOOR)), F.greatest(k, F.lit(SHARE_FLOOR))
-    shares = shares.select(*keys, "bin", "n_bins", ok.alias("ok"), F.coalesce(r, F.lit(0.0)).alias("r"),
-                           F.coalesce(k, F.lit(0.0)).alias("k"),
+    shares = shares.select(*keys, "bin", "n_bins", ok.alias("ok"), F.coalesce(r, F.lit(0.0)).alias("__rp"),
+                           F.coalesce(k, F.lit(0.0)).alias("__kp"),
                            F.when(ok, (ks - rs) * F.log(ks / rs)).otherwise(F.lit(0.0)).alias("term"))
     g = shares.groupBy(*keys).agg(
         F.sum("term").alias("psi"), F.max("n_bins").alias("__nb"), F.max("ok").alias("__ok"),
-        F.map_from_entries(F.collect_list(F.struct("bin", "r"))).alias("__r"),
-        F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("__k"))
+        F.map_from_entries(F.collect_list(F.struct("bin", "__rp"))).alias("__r"),
+        F.map_from_entries(F.collect_list(F.struct("bin", "__kp"))).alias("__k"))
     idx = F.when(F.col("__ok"), F.sequence(F.lit(0), F.col("__nb") - 1)).otherwise(F.sequence(F.lit(0), F.lit(bins - 1)))
 
     def hist(m: str) -> Column:

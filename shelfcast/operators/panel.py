@@ -128,13 +128,27 @@ def weather_fill(panel: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def densify(panel: DataFrame, start: str, end: str, zero: tuple[str, ...] = ("observed_demand", "stockout_hours"),
             carry: tuple[str, ...] = ()) -> DataFrame:
-    """Put every series on the full calendar [start, end]; missing days get 0 in ``zero`` columns."""
-    fixed = ["series_id", *carry]
-    days = F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr("interval 1 day")))
-    grid = panel.select(*fixed).distinct().select(*fixed, days.alias("date"))
-    rest = [n for n in panel.columns if n not in (*fixed, "date")]
-    full = grid.join(panel.select("series_id", "date", *rest), ["series_id", "date"], "left")
-    return full.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in zero if n in rest}).select(*panel.columns)
+    """Put every series on the full calendar [start, end]; missing days get 0 in ``zero`` columns, null elsewhere.
+
+    Each row also emits the missing days up to the series' next row, so one exchange on
+    ``series_id`` does it, and later series windows find their rows in place. ``carry`` names
+    columns that are fixed per series.
+    """
+    a, b = F.to_date(F.lit(start)), F.to_date(F.lit(end))
+    inside = panel.where(F.col("date").between(a, b))
+    w = series_window()
+    nxt = F.lead("date").over(w)
+    first = F.row_number().over(w) == 1
+    days = F.sequence(F.when(first, a).otherwise(F.col("date")),
+                      F.when(nxt.isNull(), b).otherwise(F.date_sub(nxt, 1)), F.expr("interval 1 day"))
+    full = inside.withColumn("__days", days).withColumn("__day", F.explode("__days"))
+    own = F.col("__day") == F.col("date")
+    out = {}
+    for n in panel.columns:
+        if n not in ("series_id", "date", *carry):
+            kept = F.when(own, F.col(n))
+            out[n] = F.coalesce(kept, F.lit(0.0)) if n in zero else kept
+    return full.withColumns({**out, "date": F.col("__day")}).select(*panel.columns)
 
 
 def prepare_panel(raw: DataFrame, dataset: DatasetConfig = DatasetConfig(),

@@ -25,8 +25,21 @@ RAW_SCHEMA = T.StructType([
 FOLD_START, FOLD_END, FOLD_DAYS = "1998-01-01", "1998-06-29", 180
 
 
+# Declared, so that a read opens no file before the query runs.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                 "l_shipdate timestamp_ntz"),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_split(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFrame:
@@ -36,46 +49,26 @@ def raw_split(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFra
     supplier and day and so a dense panel at any table size. Lines are aggregated to
     (supplier, day) before the supplier and nation columns are joined on.
     """
-    items = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag",
-        F.to_date("l_shipdate").alias("ship"))
-    urgent = table(spark, sf_dir, "orders").select(
-        "o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"))
-    day = F.col("ship")
-    if folded:
-        day = F.date_add(F.lit(FOLD_START).cast("date"),
-                         F.pmod(F.datediff("ship", F.lit("1995-01-02").cast("date")), F.lit(FOLD_DAYS)))
-    cells = (
-        items.join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("l_suppkey"), day.alias("dt"))
-        .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n"),
-             F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("dc"),
-             F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("tc"),
-             F.sum(F.col("l_linenumber").cast("bigint")).alias("ln"),
-             F.sum((F.col("l_returnflag") == "R").cast("bigint")).alias("nr"),
-             F.max("urgent").alias("urgent"))
-    )
+    items = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_suppkey AS k", "l_quantity", "cast(l_linenumber AS bigint) AS ln",
+        "cast(round(l_discount * 100) AS bigint) AS dc", "cast(round(l_tax * 100) AS bigint) AS tc",
+        "cast(l_returnflag = 'R' AS bigint) AS r", (
+            f"date_add(date'{FOLD_START}', pmod(datediff(l_shipdate, date'1995-01-02'), {FOLD_DAYS})) AS dt"
+            if folded else "to_date(l_shipdate) AS dt"))
+    urgent = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "cast(o_orderpriority = '1-URGENT' AS int) AS urgent")
+    cells = items.join(urgent, F.expr("l_orderkey = o_orderkey")).groupBy("k", "dt").agg(
+        F.expr("sum(l_quantity) AS qty"), F.expr("count(1) AS n"), F.expr("sum(dc) AS dc"), F.expr("sum(tc) AS tc"),
+        F.expr("sum(ln) AS ln"), F.expr("sum(r) AS nr"), F.expr("max(urgent) AS urgent"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     free = 1 if folded else 0
-    k = F.col("l_suppkey")
-    return (
-        cells.join(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")),
-                   F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.col("n_regionkey").cast("bigint").alias("city_id"),
-            F.col("s_nationkey").cast("bigint").alias("store_id"),
-            F.col("n_regionkey").cast("bigint").alias("management_group_id"),
-            (k % 3).alias("first_category_id"), (k % 6).alias("second_category_id"),
-            (k % 12).alias("third_category_id"), k.alias("product_id"), "dt",
-            F.col("qty").alias("sale_amount"),
-            F.least(F.lit(16.0), 4.0 * F.greatest(F.col("nr") - F.lit(free), F.lit(0))).alias("stock_hour6_22_cnt"),
-            (1.0 - F.col("dc") / (100.0 * F.col("n"))).alias("discount"),
-            (F.weekday("dt") >= 6).cast("int").alias("holiday_flag"),
-            F.col("urgent").alias("activity_flag"),
-            F.when(F.col("tc") >= F.col("n"), F.col("tc") / F.col("n").cast("double")).alias("precpt"),
-            F.when(~F.dayofmonth("dt").isin(1, 2), 15.0 + F.month("dt")).alias("avg_temperature"),
-            (50.0 + F.col("ln") / F.col("n").cast("double")).alias("avg_humidity"),
-            (3.0 + F.col("tc") / (100.0 * F.col("n"))).alias("avg_wind_level"),
-        )
-    )
+    return cells.join(supplier.join(nation, F.expr("s_nationkey = n_nationkey")), F.expr("k = s_suppkey")).selectExpr(
+        "cast(n_regionkey AS bigint) AS city_id", "cast(s_nationkey AS bigint) AS store_id",
+        "cast(n_regionkey AS bigint) AS management_group_id", "k % 3 AS first_category_id",
+        "k % 6 AS second_category_id", "k % 12 AS third_category_id", "k AS product_id", "dt", "qty AS sale_amount",
+        f"least(16D, 4D * greatest(nr - {free}, 0)) AS stock_hour6_22_cnt", "1D - dc / (100D * n) AS discount",
+        "cast(weekday(dt) >= 6 AS int) AS holiday_flag", "urgent AS activity_flag",
+        "CASE WHEN tc >= n THEN tc / cast(n AS double) END AS precpt",
+        "CASE WHEN day(dt) NOT IN (1, 2) THEN 15D + month(dt) END AS avg_temperature",
+        "50D + ln / cast(n AS double) AS avg_humidity", "3D + tc / (100D * n) AS avg_wind_level")
