@@ -212,7 +212,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = materialise(daily_panel(spark, sf), "daily-panel")
     draws = I.synthetic_censor(p, [42])
-    teacher = train_teacher(I.censored_panel(p, draws).drop("true_demand", "seed"), iterations=5, depth=4)
+    teacher = train_teacher(I.censored_panel(p, draws, [42]).drop("true_demand", "seed"), iterations=5, depth=4)
     return I.imputation_quality(p, 42, ["supervised", *I.CLOSED_FORM], teacher)
 
 

@@ -181,9 +181,9 @@ PAGE_HINKLEY = f"""SELECT event_type, event_id, n AS ph_n, s-least(0e0, m) AS ph
 
 @query("page_hinkley", "event_type #event_id #ph_n ~ph_score #is_drift", "W09 T04", digits=4, sql=PAGE_HINKLEY)
 def _(spark, sf):
-    e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    e = table(spark, sf, "events").withColumn("minute", F.date_trunc("minute", F.col("ts").cast("timestamp")))
     return V.page_hinkley(e, ["event_type"], ["ts", "event_id"], "value",
-                          DriftConfig(threshold=2000.0, delta=0.0051234567, min_instances=30), bucket="day")
+                          DriftConfig(threshold=2000.0, delta=0.0051234567, min_instances=30), bucket="minute")
 
 
 @query("fold_drift_watch", "data_strategy model_name #fold_id ~mae ~ph_score #is_drift", "E17 W09", "forecasts", digits=5,

@@ -9,6 +9,7 @@ from ..models.naive import seasonal_naive
 from ..operators import features as X
 from ..operators import folds as D
 from ..operators.panel import latest_rows, union_all
+from ..session import materialise
 from .base import cte, query
 from .frames import H, daily_panel, forecasts, supplier_sales
 
@@ -124,7 +125,7 @@ _ROUTED = f"""SELECT *, CASE WHEN {WHOLE} THEN 'model' ELSE 'cold_start_fallback
 @query("inference_with_fallback", "series_id @date prediction_source fallback_level ~fallback_target_lead_time_demand",
        "E07 J03 A28", "patchy", _ROUTED)
 def _(spark, sf):
-    return X.inference_with_fallback(patchy(spark, sf), CFG, H)[0]
+    return X.inference_with_fallback(materialise(patchy(spark, sf), "patchy"), CFG, H)[0]
 
 
 @query("fallback_counts", "#output_rows #model_rows #cold_start_rows #fallback_rows_series #fallback_rows_product "
@@ -134,7 +135,7 @@ def _(spark, sf):
  count(*) FILTER (fallback_level='product') AS fallback_rows_product, count(*) FILTER (fallback_level='third_category') AS fallback_rows_third_category,
  count(*) FILTER (fallback_level='global') AS fallback_rows_global FROM ({_ROUTED})""")
 def _(spark, sf):
-    return X.fallback_counts(X.inference_with_fallback(patchy(spark, sf), CFG, H)[0])
+    return X.fallback_counts(X.inference_with_fallback(materialise(patchy(spark, sf), "patchy"), CFG, H)[0])
 
 
 @query("hierarchical_means", "level key ~mean", "A28", "patchy",
@@ -143,7 +144,7 @@ def _(spark, sf):
  UNION ALL SELECT 'third_category', CAST(third_category_id AS VARCHAR), avg(observed_demand) FROM patchy GROUP BY 2
  UNION ALL SELECT 'global', 'all', avg(observed_demand) FROM patchy""")
 def _(spark, sf):
-    means = X.hierarchical_means(patchy(spark, sf))
+    means = X.hierarchical_means(materialise(patchy(spark, sf), "patchy"))
     out = [df.select(F.lit(k).alias("level"), (F.col(df.columns[0]).cast("string") if k != "global" else F.lit("all"))
                      .alias("key"), F.col(f"mean_{k}").alias("mean")) for k, df in means.items()]
     return union_all(*out)
@@ -155,7 +156,7 @@ _HOLD = "DATE '1998-06-15'"
 @query("holdout_frame", f"series_id @date {FEATURE_SPEC} ~target_lead_time_demand", "E08 U01 J08", "daily",
        f"SELECT * FROM ({feature_sql('daily')}) WHERE date>={_HOLD} AND target_lead_time_demand IS NOT NULL AND {WHOLE}")
 def _(spark, sf):
-    p = daily_panel(spark, sf)
+    p = materialise(daily_panel(spark, sf), "daily-panel")
     return X.holdout_frame(p.where(F.col("date") < "1998-06-15"), p.where(F.col("date") >= "1998-06-15"), CFG, H)
 
 
@@ -175,7 +176,7 @@ def _(spark, sf):
 @query("validation_rows", "series_id @date #fold_id ~observed_demand", "J13 E01", "ordinals",
        f"SELECT s.*, f.fold_id FROM sales s JOIN ({_FOLD_SQL}) f ON s.date BETWEEN f.validation_start_date AND f.validation_end_date")
 def _(spark, sf):
-    s = supplier_sales(spark, sf)
+    s = materialise(supplier_sales(spark, sf), "sales")
     return D.assign_validation(s, D.walk_forward_folds(D.distinct_dates(s), _FOLD_CFG, H))
 
 
@@ -186,7 +187,7 @@ def _(spark, sf):
  count(DISTINCT series_id) FILTER (date BETWEEN validation_start_date AND validation_end_date) AS validation_series
  FROM sales CROSS JOIN ({_FOLD_SQL}) GROUP BY 1""")
 def _(spark, sf):
-    s = supplier_sales(spark, sf)
+    s = materialise(supplier_sales(spark, sf), "sales")
     return D.fold_counts(s, D.walk_forward_folds(D.distinct_dates(s), _FOLD_CFG, H))
 
 
@@ -194,7 +195,7 @@ def _(spark, sf):
        """SELECT series_id, date, date>=(SELECT date FROM ordinals WHERE i=n-least(n-1, greatest(1,
  CAST(round_even(n/3e0, 0) AS BIGINT)))) AS is_validation FROM sales""")
 def _(spark, sf):
-    return D.temporal_masks(supplier_sales(spark, sf))
+    return D.temporal_masks(materialise(supplier_sales(spark, sf), "sales"))
 
 
 @query("calibration_split", "part #rows @first_date @last_date", "E04", "supervised",
@@ -202,7 +203,7 @@ def _(spark, sf):
  WHEN date<=(SELECT max(date) FROM supervised)-28 THEN 'train' WHEN date>(SELECT max(date) FROM supervised)-21 THEN 'calibration' END AS part
  FROM supervised) WHERE part IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
-    frame, _ = X.supervised_frame(supplier_sales(spark, sf), CFG, H)
+    frame = materialise(X.supervised_frame(supplier_sales(spark, sf), CFG, H)[0].select("date"), "dates")
     a, b = D.calibration_split(frame, 21, 7)
     rows = union_all(a.select("date", F.lit("train").alias("part")), b.select("date", F.lit("calibration").alias("part")))
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"),
@@ -258,7 +259,7 @@ def _(spark, sf):
  LEFT JOIN (SELECT d, third_category_id, avg(observed_demand) AS mt FROM {_DATES} JOIN patchy ON date<=d GROUP BY 1, 2) c ON c.d=x.d AND c.third_category_id=x.third_category_id
  LEFT JOIN (SELECT d, avg(observed_demand) AS mg FROM {_DATES} JOIN patchy ON date<=d GROUP BY 1) g ON g.d=x.d""")
 def _(spark, sf):
-    p, days = patchy(spark, sf), _decision_dates(spark, sf)
+    p, days = materialise(patchy(spark, sf), "patchy"), _decision_dates(spark, sf)
     return X.expanding_fallback(X.rows_as_of(p, days), p, days, H)
 
 

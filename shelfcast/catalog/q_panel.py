@@ -10,9 +10,12 @@ from ..operators import profile as R
 from ..operators import quality as Q
 from ..operators import regimes as G
 from ..operators.folds import run_description
+from ..session import materialise
 from .base import query
 from .frames import daily_panel, supplier_panel, supplier_sales
 
+stored = materialise  # operators that read their input more than once are given a stored panel
+
 RAW = ("#city_id #store_id #management_group_id #first_category_id #second_category_id #third_category_id #product_id "
        "@date ~observed_demand ~stockout_hours ~discount #holiday_flag #activity_flag ~precpt ~avg_temperature "
        "~avg_humidity ~avg_wind_level")
@@ -55,7 +58,7 @@ def _(spark, sf):
        """SELECT * FROM (SELECT *, row_number() OVER (ORDER BY store_id, product_id, date) AS rn FROM sales)
  WHERE rn<=(SELECT count(*) FROM sales)*2//3""")
 def _(spark, sf):
-    s = supplier_sales(spark, sf)
+    s = stored(supplier_sales(spark, sf))
     return P.row_cap(s, s.count() * 2 // 3)
 
 
@@ -115,7 +118,7 @@ def _(spark, sf):
  FROM (SELECT DISTINCT date FROM daily)) WHERE o=120) THEN 'train' ELSE 'eval' END AS part FROM daily WHERE series_id IN
  (SELECT series_id FROM (SELECT series_id, sum(observed_demand) AS t FROM daily GROUP BY 1 ORDER BY t DESC, series_id LIMIT 20))""")
 def _(spark, sf):
-    a, b = P.carve_split(daily_panel(spark, sf), 20, 120)
+    a, b = P.carve_split(stored(daily_panel(spark, sf)), 20, 120)
     return P.union_all(a.withColumn("part", F.lit("train")), b.withColumn("part", F.lit("eval")))
 
 
@@ -145,7 +148,7 @@ def _(spark, sf):
        """SELECT *, CASE WHEN stockout_hours>(SELECT median(stockout_hours) FROM sales) THEN 'high_stockout'
  ELSE 'low_stockout' END AS stockout_regime FROM sales""")
 def _(spark, sf):
-    return G.label_stockout_regime(supplier_sales(spark, sf), None)
+    return G.label_stockout_regime(stored(supplier_sales(spark, sf)), None)
 
 
 @query("dataset_summary", "#rows #unique_series @date_min @date_max ~observed_demand_sum ~observed_demand_mean "
@@ -158,7 +161,7 @@ def _(spark, sf):
  (SELECT median(n) FROM h) AS median_history_days, (SELECT min(n) FROM h) AS min_history_days, (SELECT max(n) FROM h) AS max_history_days
  FROM daily""".replace("FROM h)", "FROM (SELECT count(DISTINCT date) AS n FROM daily GROUP BY series_id))"))
 def _(spark, sf):
-    return R.dataset_summary(daily_panel(spark, sf))
+    return R.dataset_summary(stored(daily_panel(spark, sf)))
 
 
 _MISS = ["series_id", "date", "observed_demand", "stockout_hours", "precpt", "avg_temperature", "holiday_flag"]
@@ -193,7 +196,7 @@ _NUM = ["observed_demand", "stockout_hours", "discount", "precpt", "avg_temperat
  min({c}) AS "min", quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS "median", quantile_cont({c}, 0.75) AS p75,
  max({c}) AS "max" FROM sales""" for c in _NUM))
 def _(spark, sf):
-    return R.numeric_summary(supplier_sales(spark, sf).select(*_NUM))
+    return R.numeric_summary(stored(supplier_sales(spark, sf).select(*_NUM)))
 
 
 @query("temporal_summary", "@date_min @date_max #date_span_days #observed_rows #expected_rows_full_grid "
@@ -213,7 +216,7 @@ def _(spark, sf):
  avg(CASE WHEN stockout_hours>0 THEN 1e0 ELSE 0e0 END) AS stockout_day_rate, avg(stockout_hours) AS mean_stockout_hours
  FROM sales GROUP BY 1, 2""")
 def _(spark, sf):
-    return R.weekday_summary(supplier_sales(spark, sf))
+    return R.weekday_summary(stored(supplier_sales(spark, sf).select("date", "observed_demand", "stockout_hours")))
 
 
 @query("series_gap_summary", "series_id #history_days @start_date @end_date #max_gap_days #missing_days_within_span",
@@ -251,7 +254,7 @@ def _(spark, sf):
  avg(observed_demand) AS observed_demand_mean, median(observed_demand) AS observed_demand_median,
  avg(stockout_hours) AS stockout_hours_mean FROM sales GROUP BY 1) ON b=k""")
 def _(spark, sf):
-    return R.stockout_bands(supplier_sales(spark, sf))
+    return R.stockout_bands(stored(supplier_sales(spark, sf).select("observed_demand", "stockout_hours")))
 
 
 @query("correlation_summary", "feature_name ~correlation_with_observed_demand ~absolute_correlation", "A12", "sales",
@@ -330,7 +333,7 @@ def _bins(c: str) -> str:
 @query("covariate_bins", "column_name #bin #n ~x_mid ~mean ~low ~high", "A16", "sales",
        " UNION ALL ".join(_bins(c) for c in ("discount", "precpt", "avg_humidity")))
 def _(spark, sf):
-    return R.covariate_bins(supplier_sales(spark, sf), ["discount", "precpt", "avg_humidity"])
+    return R.covariate_bins(stored(supplier_sales(spark, sf)), ["discount", "precpt", "avg_humidity"])
 
 
 @query("demand_histogram", "#bin ~center #count ~log_count", "A17", "daily",
@@ -339,7 +342,7 @@ def _(spark, sf):
  (SELECT least(CAST(floor((observed_demand-(SELECT min(observed_demand) FROM daily))/((SELECT max(observed_demand)-min(observed_demand) FROM daily)/5e1)) AS INTEGER),49) AS k,
  count(*) AS n FROM daily GROUP BY 1) ON k=b""")
 def _(spark, sf):
-    return R.histogram(daily_panel(spark, sf), "observed_demand", 50)
+    return R.histogram(stored(daily_panel(spark, sf).select("observed_demand")), "observed_demand", 50)
 
 
 @query("stockout_hour_histogram", "#hour #count", "A17", "sales",
@@ -359,7 +362,7 @@ def _(spark, sf):
        f"""SELECT avg(CASE WHEN zero_demand_rate>0.5 THEN 1e0 ELSE 0e0 END)*1e2 AS pct_above_50, count(*) AS series,
  median(zero_demand_rate) AS "median" FROM ({_SERIES})""")
 def _(spark, sf):
-    return R.zero_rate_stats(R.series_summary(daily_panel(spark, sf)))
+    return R.zero_rate_stats(stored(R.series_summary(daily_panel(spark, sf))))
 
 
 @query("sigma_boxes", "series_id ~min ~q1 ~median ~q3 ~max", "A20 L05", "daily",
@@ -381,7 +384,7 @@ def md5_52(*parts: str) -> str:
  (SELECT series_id, row_number() OVER (ORDER BY t DESC, h)-1 AS p, count(*) OVER () AS n FROM (SELECT series_id, sum(observed_demand) AS t,
  {md5_52('series_id')} AS h FROM daily GROUP BY 1))) b ON d.series_id=b.series_id WHERE band IS NOT NULL GROUP BY 1, 2""")
 def _(spark, sf):
-    return R.quartile_boxes(daily_panel(spark, sf))
+    return R.quartile_boxes(stored(daily_panel(spark, sf)))
 
 
 @query("coverage_grid", "series_id @date #present", "A21", "sales",
@@ -390,7 +393,7 @@ def _(spark, sf):
  LEFT JOIN sales x ON x.series_id=s.series_id AND x.date=d.date""".replace("(T)", """(SELECT series_id, sum(observed_demand) AS t FROM sales
  GROUP BY 1 ORDER BY t DESC, series_id LIMIT 20)"""))
 def _(spark, sf):
-    return R.coverage_grid(supplier_sales(spark, sf))
+    return R.coverage_grid(stored(supplier_sales(spark, sf).select("series_id", "date", "observed_demand")))
 
 
 @query("series_by_demand", "series_id ~observed_demand_sum ~observed_demand_mean", "L05 L02", "daily",
@@ -407,7 +410,7 @@ def _(spark, sf):
 
 @query("diverse_series_overlay", "series_id @date ~observed_demand ~stockout_hours ~stockout_scaled", "L08")
 def _(spark, sf):
-    p = supplier_sales(spark, sf)
+    p = stored(supplier_sales(spark, sf))
     return R.series_overlay(p, R.diverse_series(p))
 
 
@@ -440,7 +443,7 @@ def _(spark, sf):
  CASE WHEN (count(*)-count(avg_temperature))/CAST(count(*) AS DOUBLE)>0.05 THEN 1 ELSE 0 END AS warning_count, 0 AS blocking_error_count,
  TRUE AS passed FROM sales""")
 def _(spark, sf):
-    s = supplier_sales(spark, sf)
+    s = stored(supplier_sales(spark, sf))
     return Q.report_header(s, Q.data_quality_report(s))
 
 
@@ -459,7 +462,7 @@ def _(spark, sf):
  UNION ALL SELECT 'config_alignment_summary', 1 UNION ALL SELECT 'missingness_summary', 18
  UNION ALL SELECT 'numeric_summary', 16 UNION ALL SELECT 'correlation_summary', 15""")
 def _(spark, sf):
-    tables = R.profile_panel(supplier_sales(spark, sf))
+    tables = R.profile_panel(stored(supplier_sales(spark, sf)))
     return P.union_all(*[df.agg(F.count(F.lit(1)).alias("n")).withColumn("table_name", F.lit(name))
                          for name, df in tables.items()])
 

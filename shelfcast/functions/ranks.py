@@ -25,15 +25,11 @@ BUCKETS = 256
 SKETCH_ACCURACY = 10_000
 
 
-def value_edges(df: DataFrame, value: str, buckets: int = BUCKETS) -> tuple[int, list[float]]:
-    """Row count and near-equal-mass cut points: one pass with a bounded sketch, a few hundred numbers back."""
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]),
-                            F.lit(SKETCH_ACCURACY)).alias("e"),
-    ).first()
-    return row["n"], sorted(set(row["e"] or []))
+def value_edges(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
+    """Near-equal-mass cut points: one pass with a bounded sketch, a few hundred numbers back."""
+    probs = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: i / F.lit(float(buckets)))
+    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, F.lit(SKETCH_ACCURACY)).alias("e")).first()
+    return sorted(set(row["e"] or []))
 
 
 def bucket_of(x: Column, edges: Sequence[float]) -> Column:
@@ -55,10 +51,9 @@ def value_classes(df: DataFrame, keys: Sequence[str], value: str, weight: str |
     rows = df.where(F.col(value).isNotNull())
     mass = F.count(F.lit(1)) if weight is None else F.sum(c(weight))
     classes = rows.groupBy(*keys, value).agg(mass.alias("mass"))
-    n, edges = value_edges(rows, value)
     order = F.col(value).desc() if descending else F.col(value).asc()
     zero = F.lit(0) if weight is None else F.lit(0.0)
-    if n <= small_rows:
+    if rows_fit(rows, small_rows):
         part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         ordered = part.orderBy(order)
         return classes.select(
@@ -66,7 +61,7 @@ def value_classes(df: DataFrame, keys: Sequence[str], value: str, weight: str |
             F.coalesce(F.sum("mass").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), zero).alias("before"),
             F.sum("mass").over(part).alias("total"),
         )
-    b = bucket_of(F.col(value).cast("double"), edges)
+    b = bucket_of(F.col(value).cast("double"), value_edges(rows, value))
     classes = classes.withColumn("__b", -b if descending else b)
     inner = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = classes.withColumn("__in", F.coalesce(F.sum("mass").over(inner), zero))

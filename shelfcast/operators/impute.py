@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import InventoryConfig
 from ..functions.columns import both, floor0, hash52, HASH_SPAN, ratio, sum0
 from ..functions.ranks import SMALL_ROWS, kth_smallest, value_classes
+from ..session import materialise
 from .panel import OPERATIVE_HOURS
 
 SCALING_FACTOR = 1.2
@@ -115,10 +116,9 @@ def synthetic_censor(panel: DataFrame, seeds: Sequence[int], share: float = CENS
                          (F.col("true_demand") * keep).alias("censored_demand"))
 
 
-def censored_panel(panel: DataFrame, draws: DataFrame) -> DataFrame:
+def censored_panel(panel: DataFrame, draws: DataFrame, seeds: Sequence[int] | None = None) -> DataFrame:
     """The whole panel once per seed with the drawn days censored; ``true_demand`` marks them."""
-    seeds = draws.select("seed").distinct()
-    n = [r["seed"] for r in seeds.collect()]
+    n = list(seeds) if seeds is not None else [r["seed"] for r in draws.select("seed").distinct().collect()]
     each = panel.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in n])))
     j = each.join(draws, ["seed", "series_id", "date"], "left")
     hit = F.col("true_demand").isNotNull()
@@ -132,7 +132,8 @@ def scored_draw(panel: DataFrame, seed: int, strategies: Sequence[str], teacher:
                 small_rows: int = SMALL_ROWS) -> DataFrame:
     """Estimates on the censored days of one draw: (strategy, signal, true_demand) rows."""
     draws = synthetic_censor(panel, [seed], small_rows=small_rows)
-    est = estimates(censored_panel(panel, draws), strategies, teacher).where(F.col("true_demand").isNotNull())
+    cens = materialise(censored_panel(panel, draws, [seed]), "censored-panel")
+    est = estimates(cens, strategies, teacher).where(F.col("true_demand").isNotNull())
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(f"latent_{s}").alias("signal"))
                                for s in strategies]))
     return est.select("series_id", "date", "true_demand", each.alias("e")).select(
@@ -159,7 +160,7 @@ def fair_cost(panel: DataFrame, cfg: InventoryConfig = InventoryConfig(), seed:
     """The same order policy and flat costs on every strategy's signal, charged against one known truth."""
     cu, co = cfg.stockout_cost, cfg.overstock_cost
     z = statistics.NormalDist().inv_cdf(cu / (cu + co))
-    rows = scored_draw(panel, seed, strategies, teacher)
+    rows = materialise(scored_draw(panel, seed, strategies, teacher), "scored-draw")
     spread = rows.groupBy("strategy").agg(F.stddev_pop("true_demand").alias("__sd"))
     rows = rows.join(spread, "strategy")
     q = F.greatest(F.col("signal") + F.lit(z) * F.col("__sd"), F.lit(0.0))
@@ -192,7 +193,7 @@ def fair_cost_sample(panel: DataFrame, n_series: int = 30, cfg: InventoryConfig
 def draw_errors(panel: DataFrame, draws: DataFrame, strategies: Sequence[str],
                 teacher: Teacher | None = None) -> DataFrame:
     """Mean absolute error per seed and closed-form strategy: every draw in one job."""
-    cens = censored_panel(panel, draws)
+    cens = materialise(censored_panel(panel, draws), "censored-panels")
     w = Window.partitionBy("seed", "series_id")
     means = cens.where(is_clean()).groupBy("seed").agg(F.avg("observed_demand").alias("__all"))
     own = F.avg(F.when(is_clean(), F.col("observed_demand"))).over(w)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DatasetConfig, PreprocessingConfig
 from ..functions.columns import nan_to_null, require_columns
 from ..functions.ranks import scalar_quantiles, value_classes
+from ..session import materialise
 
 OPERATIVE_HOURS = 16.0
 STATIC_IDS = ["city_id", "store_id", "management_group_id", "first_category_id",
@@ -51,16 +52,16 @@ def series_key(panel: DataFrame) -> DataFrame:
 def row_cap(panel: DataFrame, max_rows: int | None) -> DataFrame:
     """First ``max_rows`` rows in (store, product, date) order, without a single-task sort.
 
-    Counts per series give each series its start position; only the position inside a
-    series needs a window over its rows.
+    Counts per series give each series its start position, whatever the share of one store;
+    only the position inside a series needs a window over its rows.
     """
     if not max_rows:
         return panel
-    per_series = panel.groupBy("store_id", "product_id").agg(F.count(F.lit(1)).alias("__n"))
+    per_series = materialise(panel.groupBy("store_id", "product_id").agg(F.count(F.lit(1)).alias("__n")), "row-counts")
     stores = value_classes(per_series, [], "store_id", weight="__n").select(
         "store_id", F.col("before").alias("__store_off"))
-    in_store = Window.partitionBy("store_id").orderBy("product_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_series.withColumn("__in", F.coalesce(F.sum("__n").over(in_store), F.lit(0)))
+    starts = value_classes(per_series, ["store_id"], "product_id", weight="__n").select(
+        "store_id", "product_id", F.col("before").alias("__in"))
     starts = starts.join(stores, "store_id").select(
         "store_id", "product_id", (F.col("__store_off") + F.col("__in")).alias("__start"))
     kept = panel.join(starts.where(F.col("__start") < max_rows), ["store_id", "product_id"])
@@ -107,6 +108,8 @@ def fill_defaults(panel: DataFrame) -> DataFrame:
 def weather_fill(panel: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Last reading forward, first reading backward, and the table median for a series with none.
 
+    What the forward fill leaves are leading gaps, and the reading that follows a leading gap is
+    the first of the series: a whole-series frame finds it once instead of once per row.
     The median is only worked out when some series has no reading at all, which one cheap
     aggregate tells.
     """
@@ -114,9 +117,9 @@ def weather_fill(panel: DataFrame, columns: list[str] | None = None) -> DataFram
     if not cols:
         return panel
     back = series_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = series_window().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = series_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = panel.withColumns({
-        n: F.coalesce(F.last(n, True).over(back), F.first(n, True).over(ahead)) for n in cols})
+        n: F.coalesce(F.last(n, True).over(back), F.first(n, True).over(whole)) for n in cols})
     seen = panel.groupBy("series_id").agg(*[F.count(n).alias(n) for n in cols])
     gaps = seen.agg(*[F.coalesce(F.max(F.col(n) == 0), F.lit(False)).alias(n) for n in cols]).first()
     for n in cols:

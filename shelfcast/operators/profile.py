@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import DatasetConfig
 from ..functions.columns import c, hash52, join_same, rate
-from ..functions.ranks import SMALL_ROWS, positions, quantiles, scalar_quantiles
+from ..functions.ranks import SMALL_ROWS, positions, quantiles, rows_fit, scalar_quantiles
 from ..session import materialise
 from .folds import distinct_dates
 from .quality import config_alignment
@@ -91,14 +91,27 @@ def series_summary(panel: DataFrame) -> DataFrame:
 
 
 def numeric_summary(panel: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
-    long = stacked(panel, numeric_columns(panel))
-    base = long.groupBy("column_name").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75], small_rows)
-    return base.join(q, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", F.col("quantiles")[0].alias("p25"),
-        F.col("quantiles")[1].alias("median"), F.col("quantiles")[2].alias("p75"), "max")
+    """Count, mean, deviation, extremes and quartiles per numeric column.
+
+    All columns share one aggregation; only quartiles of a large panel need the long form.
+    """
+    cols = numeric_columns(panel)
+    small = rows_fit(panel, small_rows)
+    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    aggs = []
+    for n in cols:
+        x = F.col(n).cast("double")
+        q = F.percentile(x, probs) if small else F.lit(None).cast("array<double>")
+        aggs.append(F.struct(F.lit(n).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+                             q.alias("q")).alias(n))
+    base = panel.agg(*aggs).select(F.explode(F.array(*[F.col(n) for n in cols])).alias("r")).select("r.*")
+    if not small:
+        q = quantiles(stacked(panel, cols), ["column_name"], "value", [0.25, 0.5, 0.75], small_rows, out="q")
+        base = base.drop("q").join(q, "column_name", "left")
+    q = F.col("q")
+    return base.select("column_name", "count", "mean", "std", "min", q[0].alias("p25"), q[1].alias("median"),
+                       q[2].alias("p75"), "max")
 
 
 def temporal_summary(panel: DataFrame) -> DataFrame:

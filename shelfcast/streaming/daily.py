@@ -34,7 +34,7 @@ def score_batch(batch: DataFrame, root: str, model: ConformalModel, settings: Se
     earlier = f"{root}/history/{batch_id - 1}"
     known = spark.read.parquet(earlier) if exists(spark, f"{earlier}/_SUCCESS") else None
     both = new if known is None else known.unionByName(new)
-    kept = latest_rows(both.dropDuplicates(["series_id", "date"]), history_needed(settings))
+    kept = latest_rows(series_key(dedupe_key(both.select(*new.columns))), history_needed(settings))
     kept.write.mode("overwrite").parquet(f"{root}/history/{batch_id}")
     history = spark.read.parquet(f"{root}/history/{batch_id}")
     touched = history.join(new.select("series_id").distinct(), "series_id", "left_semi")

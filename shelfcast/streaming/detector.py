@@ -15,7 +15,12 @@ STATE = "n bigint, total double, deviation double, lowest double"
 
 def stream_page_hinkley(df: DataFrame, key: str, order: list[str], error: str,
                         cfg: DriftConfig = DriftConfig()) -> DataFrame:
-    """Score per observation, in ``order`` within each batch; batches must come in time order."""
+    """Score per observation, in ``order`` within each batch; batches must come in time order.
+
+    A batch's rows of one key are sorted in one task, so bound the batches at the source
+    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). For a long history in one go use the
+    batch form, ``operators.drift.page_hinkley`` with a bucket.
+    """
     delta, threshold, quiet = cfg.delta, cfg.threshold, cfg.min_instances
     types = dict(df.dtypes)
     schema = ", ".join([f"{key} {types[key]}", *[f"{o} {types[o]}" for o in order],

@@ -109,7 +109,7 @@ def test_scoring_routes_short_series_to_a_fallback(spark, panel):
     assert out["predictions"].count() == 4
 
 
-def test_rolling_origin_uses_the_row_of_the_day(panel):
+def test_rolling_origin_uses_the_row_of_the_day(spark, panel, tmp_path):
     seen = []
 
     def trainer(history):
@@ -124,6 +124,10 @@ def test_rolling_origin_uses_the_row_of_the_day(panel):
     assert run.retrain_events.count() == 1
     done = {r["day_index"]: r["actuals_complete"] for r in out.select("day_index", "actuals_complete").distinct().collect()}
     assert done[0] and done[8] and not done[9]
+    root = str(tmp_path / "sim")
+    store.write_origin_backtest(root, out, run.cadence_summary, run.cadence_comparison, run.retrain_events)
+    assert spark.read.parquet(f"{root}/predictions_by_day").count() == out.count()
+    assert spark.read.json(f"{root}/retrain_events").first()["cadence"] == "every_7d"
 
 
 def stream_of(spark, df, path):

@@ -108,8 +108,10 @@ def test_alignment_failure(panel):
         Q.raise_on_misalignment(Q.config_alignment(panel, DatasetConfig(top_n_series=2)))
 
 
-def test_profiles_use_whole_panel(panel):
+def test_profiles_use_whole_panel(spark, panel, tmp_path):
     tables = R.profile_panel(panel)
+    store.write_tables(str(tmp_path), {k: tables[k] for k in ("dataset_summary", "weekday_summary")})
+    assert spark.read.parquet(f"{tmp_path}/weekday_summary").count() == 7
     assert len(tables) == 12
     s = tables["dataset_summary"].first()
     assert (s["rows"], s["unique_series"], s["median_history_days"]) == (210, 3, 70.0)
