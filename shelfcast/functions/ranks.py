@@ -27,7 +27,7 @@ SKETCH_ACCURACY = 10_000
 
 def value_edges(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
     """Near-equal-mass cut points: one pass with a bounded sketch, a few hundred numbers back."""
-    probs = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: i / F.lit(float(buckets)))
+    probs = F.expr("array(" + ", ".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
     row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, F.lit(SKETCH_ACCURACY)).alias("e")).first()
     return sorted(set(row["e"] or []))
 

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from ..config import BusinessConfig
 
+# The reasons recorded with a decision.
+PROMOTED = "Challenger improves total cost and respects the configured service-level tolerance."
+KEPT = "No challenger satisfied both the minimum cost improvement and service-level guardrail."
+BOOTSTRAPPED = "Registry bootstrapped from configured champion."
+
 REGISTRY = ("data_strategy string, model_name string, backend_name string, promoted_at timestamp, "
             "run_name string, reason string")
 
@@ -51,9 +56,7 @@ def promotion_decision(summary: DataFrame, cfg: BusinessConfig = BusinessConfig(
     picked = (s.where(other).withColumns({"cost_improvement_pct": gain, "service_level_delta": delta,
                                           "promote": F.coalesce(ok, F.lit(False))})
               .orderBy(F.desc("promote"), "total_cost", F.desc("service_level")).limit(1))
-    reason = F.when(F.col("promote"),
-                    "Challenger improves total cost and respects the configured service-level tolerance.").otherwise(
-        "No challenger satisfied both the minimum cost improvement and service-level guardrail.")
+    reason = F.when(F.col("promote"), PROMOTED).otherwise(KEPT)
     return picked.select(
         F.lit(ref["source"]).alias("champion_source"),
         *[F.col(f"__c.{n}").alias(f"champion_{n}") for n in ids], *[F.col(n).alias(f"challenger_{n}") for n in ids],
@@ -76,7 +79,7 @@ def registry_update(summary: DataFrame, decision: DataFrame, cfg: BusinessConfig
     if have and not promoted:
         return spark.createDataFrame([], REGISTRY)
     ref = champion_reference(cfg, registry)
-    reason = "Registry bootstrapped from configured champion."
+    reason = BOOTSTRAPPED
     if promoted:
         ref = {"data_strategy": d["challenger_data_strategy"] if "challenger_data_strategy" in d else None,
                "model_name": d["challenger_model_name"], "backend_name": d["challenger_backend_name"]}
