@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from .bpe import op7_bpe
+from .exact_dedup import SQL as EXACT_SQL
+from .exact_dedup import op2_exact_dedup
+from .graph_dedup import op8_graph_dedup
+from .suffix_dedup import op3_suffix_dedup
+from .url_filter import SQL as URL_SQL
+from .url_filter import op1_url_filter
 
-QUERIES = {
-    "op1_url_filter": url_filter.op1_url_filter,
-    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
-}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_suffix_dedup, op7_bpe, op8_graph_dedup)}
 
-SQL = {
-    "op1_url_filter": url_filter.SQL,
-    "op2_exact_dedup": exact_dedup.SQL,
-}
+SQL = {"op1_url_filter": URL_SQL, "op2_exact_dedup": EXACT_SQL}
