@@ -27,7 +27,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -223,8 +222,8 @@ class TextDecoder:
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row the number of ids, a digest of the ids, and a digest of what they decode to. Null texts are empty; rows are
+def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row the number of ids, a digest of the ids, a digest of what they decode to and, if asked for, the ids. Null texts are empty; rows are
     taken one by one, so repeated rows, null ids and empty tables need no care. Nothing is shuffled."""
 
     def run(batches):
@@ -232,30 +231,25 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in chunks(batches, "text"):
             rows = []
             for text in batch.column("text").to_pylist():
-                n, ids_sha, text_sha, parted = 0, hashlib.sha256(), hashlib.sha256(), b""
+                n, ids_sha, text_sha, parted, kept = 0, hashlib.sha256(), hashlib.sha256(), b"", []
                 for part in vocab.pieces(text):
-                    n += sum(len(ids) for ids, _ in part) // 4
-                    ids_sha.update(b"".join([ids for ids, _ in part]))
+                    raw = b"".join([ids for ids, _ in part])
+                    n += len(raw) // 4
+                    ids_sha.update(raw)
+                    if with_ids:
+                        kept.append(raw)
                     text_sha.update(parted + " ".join([s for _, s in part]).encode())
                     parted = b" "
-                rows.append((n, ids_sha.hexdigest(), text_sha.hexdigest()))
-            n, a, b = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((n, ids_sha.hexdigest(), text_sha.hexdigest(), b"".join(kept)))
+            n, a, b, ids = zip(*rows)
+            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            if with_ids:
+                cuts = pa.array(np.cumsum([0, *n]), pa.int32())
+                cols.append(pa.ListArray.from_arrays(cuts, pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:len(cols)])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, OUTPUT)
-
-
-def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and ``out_col``, the ids as an array (it replaces a column of that name)."""
-
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        vocab = vocabulary(path)
-        return texts.map(lambda t: vocab.encode(t or "").astype(np.int32))
-
-    return docs.withColumn(out_col, run(F.col(f"`{text_col}`")))
+    return rows.mapInArrow(run, OUTPUT + (", ids array<int>" if with_ids else ""))
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

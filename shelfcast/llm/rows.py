@@ -20,19 +20,20 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_rid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_rid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``id``, ``text``, ``rid``: the documents with an integer key that is unique and follows the order of ids.
 
     Where the ids are unique and not null the key is the id itself. Otherwise rows are numbered in
     the order of (id, text), nulls first, and stored, so rows that share an id count as documents
-    of their own. Null texts become empty ones.
+    of their own. Null texts become empty ones. ``carry`` names columns to keep as they are in a struct ``row``.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    extra = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *extra)
     repeated = base.groupBy("id").count().filter("id is null or count > 1")
     if repeated.isEmpty():
         return base.withColumn("rid", F.col("id"))
     schema = T.StructType([*base.schema.fields, T.StructField("rid", T.LongType())])
-    numbered = base.orderBy("id", "text").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+    numbered = base.orderBy("id", "text").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
     return materialise(docs.sparkSession.createDataFrame(numbered, schema), "numbered")
 
 
