@@ -15,8 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfcast.session import materialise
-
 from .repeats import BLOCK, covered, marks_of, mix, repeated
 from .rows import chunks, utf8, with_rid
 from .suffix_dedup import BYTES
@@ -64,7 +62,7 @@ def cut_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Null texts have no words. Texts shorter than the window lose nothing. Rows that share an id are documents of
     their own, so a repeated row of enough words is removed in all its copies.
     """
-    found = repeated(with_rid(docs, id_col, text_col), word_symbols, window, kmer, True, materialise)
+    found = repeated(with_rid(docs, id_col, text_col), word_symbols, window, kmer, True)
 
     def run(batches):
         for batch in chunks(batches, "text", BLOCK):

@@ -19,11 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.session import materialise
-
 from .graph_dedup import word_symbols
 from .repeats import mix, spread
-from .rows import chunks, partitions, utf8, with_rid
+from .rows import chunks, partitions, stored, utf8, with_rid
 
 N, SIMILARITY, RECALL, BLOCK = 5, 0.8, 0.9999, 256
 SIGNATURE = "id long, rid long, a long, b long, size int, bands array<long>"
@@ -195,15 +193,15 @@ def verified(members: DataFrame, bands: int, n: int, similarity: float) -> DataF
 
 def components(edges: DataFrame) -> DataFrame:
     """``rid, label``: the smallest row of each connected group, by hash-to-min with pointer jumping. Every round is a stored table."""
-    both = materialise(edges.select(F.col("rid").alias("x"), F.col("root").alias("y")).unionByName(edges.select(F.col("root").alias("x"), F.col("rid").alias("y")))
+    both = stored(edges.select(F.col("rid").alias("x"), F.col("root").alias("y")).unionByName(edges.select(F.col("root").alias("x"), F.col("rid").alias("y")))
                        .filter("x <> y").distinct(), "edges")
-    labels = materialise(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "rid"), "labels")
+    labels = stored(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "rid"), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("rid", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
         low = labels.join(near, labels["rid"] == near["x"], "left").select("rid", F.least("label", "near").alias("low"), F.col("label").alias("old"))
-        low = materialise(low, "labels")
+        low = stored(low, "labels")
         jump = low.select(F.col("rid").alias("j"), F.col("low").alias("further"))
-        new = materialise(low.join(jump, low["low"] == jump["j"], "left").select("rid", F.least("low", "further").alias("label"), "old"), "labels")
+        new = stored(low.join(jump, low["low"] == jump["j"], "left").select("rid", F.least("low", "further").alias("label"), "old"), "labels")
         if new.filter("label <> old").isEmpty():
             return new.select("rid", "label")
         labels = new.select("rid", "label")
@@ -218,26 +216,26 @@ def similar_groups(base: DataFrame, n: int = N, similarity: float = SIMILARITY,
     """
     bands, rows = banding(similarity, recall)
     shuffle = partitions(base)
-    sig = materialise(signatures(base, n, bands, rows), "signatures")
+    sig = stored(signatures(base, n, bands, rows), "signatures")
     classes = sig.filter("size > 0").groupBy("a", "b", "size").agg(F.min("rid").alias("rep"))
-    classes = materialise(classes, "classes")
+    classes = stored(classes, "classes")
     reps = sig.select("rid", "bands").join(classes.select(F.col("rep").alias("rid")), "rid")
-    placed = materialise(reps.select("rid", F.posexplode("bands").alias("band", "h")).select("rid", "band", "h"), "band-rows")
+    placed = stored(reps.select("rid", F.posexplode("bands").alias("band", "h")).select("rid", "band", "h"), "band-rows")
     sizes = placed.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     met = placed.join(sizes, ["band", "h"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "rid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     met = met.select("rid", "band", F.xxhash64("band", "h", low, high).alias("block"), (low == high).alias("lone"), (F.col("own") == low).alias("side"))
     members = met.join(sig.select("rid", "bands"), "rid").repartition(shuffle, "block").sortWithinPartitions("block")
-    need = materialise(wanted(members, bands), "to-compare")
+    need = stored(wanted(members, bands), "to-compare")
     texts = base.select("rid", "text").join(need.select("rid").distinct(), "rid", "left_semi")
-    found = materialise(verified(need.join(texts, "rid").repartition(shuffle, "block").sortWithinPartitions("block"), bands, n, similarity), "links")
+    found = stored(verified(need.join(texts, "rid").repartition(shuffle, "block").sortWithinPartitions("block"), bands, n, similarity), "links")
     label = components(found.select("rid", "root"))
     links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
     names = sig.select(F.col("rid").alias("label"), F.col("id").alias("class_id")).join(label.select("label").distinct(), "label")
     info = classes.join(links.join(label, "rid").join(names, "label").withColumnRenamed("rid", "rep"), "rep", "left")
     rep_ids = sig.select(F.col("rid").alias("rep"), F.col("id").alias("rep_id"))
-    info = materialise(info.join(rep_ids, "rep"), "class-info")
+    info = stored(info.join(rep_ids, "rep"), "class-info")
     out = sig.select("id", "rid", "a", "b", "size").join(info, ["a", "b", "size"], "left")
     return out.select("rid", F.col("id").alias("doc_id"), F.coalesce("class_id", "rep_id", "id").alias("class_id"), F.coalesce("rep_id", "id").alias("rep_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("rid") == F.coalesce("label", "rep", "rid")).alias("kept"))
@@ -251,7 +249,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first row of each group, with the columns of ``docs``."""
     base = with_rid(docs, id_col, text_col, tuple(docs.columns))
-    gone = materialise(similar_groups(base.select("id", "text", "rid")).filter("not kept").select("rid"), "dropped")
+    gone = stored(similar_groups(base.select("id", "text", "rid")).filter("not kept").select("rid"), "dropped")
     return base.join(gone, "rid", "left_anti").select("row.*")
 
 

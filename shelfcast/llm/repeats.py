@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import chunks, utf8
+from .rows import chunks, stored, utf8
 
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 RUN = "kind int, key long, content long, rid long, start int, n int, many boolean"
@@ -171,12 +171,12 @@ def covered(length: int, start: np.ndarray, n: np.ndarray, window: int) -> np.nd
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated(docs: DataFrame, symbols, window: int, key: int, every: bool, store) -> DataFrame:
+def repeated(docs: DataFrame, symbols, window: int, key: int, every: bool) -> DataFrame:
     """``id, rid, text, marks``: every document with the runs of its windows that count as repeated.
 
     ``docs`` has a unique ``rid``. With ``every`` all occurrences count, else all but the first by (rid, start).
     """
-    first = store(deal(scan(docs, symbols, window, key, every), every), "runs")
-    second = deal(windows(docs, first, symbols, window, every), every)
-    marks = first.filter(F.col("kind") != EXPAND).unionByName(second.filter(F.col("kind") == MARKED))
+    first = stored(deal(scan(docs, symbols, window, key, every), every), "runs")
+    second = stored(deal(windows(docs, first, symbols, window, every), every).filter(F.col("kind") == MARKED), "windows")
+    marks = first.filter(F.col("kind") != EXPAND).unionByName(second)
     return docs.join(by_document(marks), "rid", "left").select("id", "rid", "text", "marks")

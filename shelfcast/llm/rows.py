@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,15 @@ def with_rid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     return materialise(docs.sparkSession.createDataFrame(numbered, schema), "numbered")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back, then let the session drop the shuffle files of the finished step: they are
+    deleted once the driver has collected the plan that made them, which on a quiet driver may be long after."""
+    out = materialise(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string column end to end, and the offsets of its rows (one more than rows)."""
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column

@@ -16,8 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfcast.session import materialise
-
 from .repeats import BLOCK, covered, marks_of, mix, repeated
 from .rows import chunks, utf8, with_rid
 
@@ -36,7 +34,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts are empty. Texts shorter than the window lose nothing. Rows that share an id are documents
     of their own in the order of their texts (``with_rid``).
     """
-    found = repeated(with_rid(docs, id_col, text_col), byte_symbols, window, anchor, False, materialise)
+    found = repeated(with_rid(docs, id_col, text_col), byte_symbols, window, anchor, False)
 
     def run(batches):
         for batch in chunks(batches, "text", BLOCK):
