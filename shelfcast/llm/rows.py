@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back, then let the session drop the shuffle files of the finished step: they are
     deleted once the driver has collected the plan that made them, which on a quiet driver may be long after."""
     out = materialise(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # handles first, then what they held
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return out
 
 
