@@ -141,7 +141,7 @@ def _(spark, sf):
 @query("series_by_volume", "series_id ~volume", "L09", "by_day",
        "SELECT series_id, sum(y_true) AS volume FROM by_day WHERE day_index%7=0 GROUP BY 1 ORDER BY volume DESC, series_id LIMIT 60")
 def _(spark, sf):
-    return B.series_by_volume(rolling(spark, sf).predictions_by_day)
+    return B.series_by_volume(rolling(spark, sf).predictions_by_day, 60)
 
 
 @query("series_trajectory", "#week_index @decision_date ~y_pred ~lower ~upper ~y_true ~order_quantity #covered #actuals_complete", "L11", "by_day", digits=5,

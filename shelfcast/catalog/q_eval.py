@@ -352,7 +352,7 @@ _SKU = f"""SELECT c.series_id, any_value(third_category_id) AS category, round_e
 
 @query("sku_table", "series_id category ~last_actual ~q_star ~coverage_pct status", "A39 P21 E16", "skus", digits=3,
        sql=f"""SELECT * REPLACE (CAST(category AS VARCHAR) AS category), CASE WHEN coverage_pct<92 THEN 'shortage' WHEN coverage_pct>97 THEN 'overstock' ELSE 'ok' END AS status
- FROM ({_SKU}) ORDER BY series_id LIMIT 50""")
+ FROM ({_SKU})""")
 def _(spark, sf):
     return B.sku_table(skus(spark, sf))
 

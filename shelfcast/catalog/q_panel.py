@@ -282,7 +282,7 @@ def _(spark, sf):
  70 AS configured_min_history_days, min(n) AS actual_min_history_days, min(n)>=70 AS min_history_matches_config
  FROM (SELECT count(DISTINCT date) AS n FROM sales GROUP BY series_id)""")
 def _(spark, sf):
-    return Q.config_alignment(supplier_sales(spark, sf), DatasetConfig())
+    return Q.config_alignment(supplier_sales(spark, sf), DatasetConfig(top_n_series=100))
 
 
 @query("demand_acf", "#lag ~acf ~band", "A14", "daily",

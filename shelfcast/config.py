@@ -16,7 +16,7 @@ def _check(ok: bool, message: str) -> None:
 
 @dataclass(frozen=True)
 class DatasetConfig:
-    top_n_series: int | None = 100
+    top_n_series: int | None = None
     min_history_days: int = 70
     max_rows: int | None = None
     horizon: int = 7

@@ -4,32 +4,41 @@ A window or an exact ``percentile`` over one group runs in one task. That is fin
 series (at most one row per calendar day) but not for a category or the whole table. The
 functions here first reduce rows to distinct values with counts, which combines map-side,
 and then cut the value range into buckets of near-equal mass. Ranks inside a bucket come
-from a window on (group, bucket); ranks of a bucket come from a window over at most
-``BUCKETS`` rows. No group is ever held by one task, and the result is exact.
-
-Small inputs skip the buckets: the input is counted first, and when all of it is below
-``SMALL_ROWS`` no group can be larger.
+from a window on (group, bucket); ranks of a bucket come from a window over one row per
+bucket. There are as many buckets as make each hold about ``BUCKET_ROWS`` rows, so no group is
+held by one task, and the result is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import c, join_same
 
-SMALL_ROWS = 2_000_000
-BUCKETS = 256
-SKETCH_ACCURACY = 10_000
+BUCKET_ROWS = 500_000
+FEWEST_BUCKETS = 16
+
+
+def value_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Near-equal-mass cut points from a sketch; their number follows the input: one per ``BUCKET_ROWS`` rows."""
+    if buckets is None:
+        buckets = max(FEWEST_BUCKETS, df.count() // BUCKET_ROWS)
+    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, F.lit(max(10_000, 20 * buckets))).alias("e")).first()
+    return sorted({e for e in row["e"] or [] if e == e and abs(e) != float("inf")})
 
 
-def value_edges(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
-    """Near-equal-mass cut points: one pass with a bounded sketch, a few hundred numbers back."""
-    probs = F.expr("array(" + ", ".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, F.lit(SKETCH_ACCURACY)).alias("e")).first()
-    return sorted(set(row["e"] or []))
+def with_bucket(df: DataFrame, value: str, edges: Sequence[float], out: str) -> DataFrame:
+    """Number of edges at or below the value, by binary search over any number of edges."""
+    if not edges:
+        return df.withColumn(out, F.lit(0))
+    cut = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="__cut", outputCol=out, handleInvalid="keep")
+    found = cut.transform(df.withColumn("__cut", F.col(value).cast("double"))).drop("__cut")
+    return found.withColumn(out, F.col(out).cast("int"))
 
 
 def bucket_of(x: Column, edges: Sequence[float]) -> Column:
@@ -45,7 +54,7 @@ def bucket_of(x: Column, edges: Sequence[float]) -> Column:
 
 
 def value_classes(df: DataFrame, keys: Sequence[str], value: str, weight: str | Column | None = None,
-                  descending: bool = False, small_rows: int = SMALL_ROWS) -> DataFrame:
+                  descending: bool = False) -> DataFrame:
     """One row per distinct (keys, value): its ``mass``, the mass ``before`` it, and the group ``total``."""
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
@@ -53,16 +62,9 @@ def value_classes(df: DataFrame, keys: Sequence[str], value: str, weight: str |
     classes = rows.groupBy(*keys, value).agg(mass.alias("mass"))
     order = F.col(value).desc() if descending else F.col(value).asc()
     zero = F.lit(0) if weight is None else F.lit(0.0)
-    if rows_fit(rows, small_rows):
-        part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        ordered = part.orderBy(order)
-        return classes.select(
-            *keys, value, "mass",
-            F.coalesce(F.sum("mass").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), zero).alias("before"),
-            F.sum("mass").over(part).alias("total"),
-        )
-    b = bucket_of(F.col(value).cast("double"), value_edges(rows, value))
-    classes = classes.withColumn("__b", -b if descending else b)
+    classes = with_bucket(classes, value, value_edges(rows, value), "__b")
+    if descending:
+        classes = classes.withColumn("__b", -F.col("__b"))
     inner = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = classes.withColumn("__in", F.coalesce(F.sum("mass").over(inner), zero))
     per_bucket = classes.groupBy(*keys, "__b").agg(F.sum("mass").alias("__m"))
@@ -77,15 +79,11 @@ def value_classes(df: DataFrame, keys: Sequence[str], value: str, weight: str |
     return joined.select(*keys, value, "mass", (F.col("__off") + F.col("__in")).alias("before"), "total")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-              small_rows: int = SMALL_ROWS, out: str = "quantiles") -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles") -> DataFrame:
     """Exact linear-interpolated quantiles per group as one array column."""
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
-    if rows_fit(rows, small_rows):
-        return rows.groupBy(*keys).agg(
-            F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias(out))
-    cls = value_classes(rows, keys, value, small_rows=small_rows)
+    cls = value_classes(rows, keys, value)
     picks = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("total") - 1)
@@ -100,47 +98,29 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     return g.select(*keys, F.array(*vals).alias(out))
 
 
-def rows_fit(df: DataFrame, limit: int) -> bool:
-    """True when the frame holds at most ``limit`` rows; one counting job."""
-    return limit > 0 and df.count() <= limit
-
-
-def scalar_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                     small_rows: int = SMALL_ROWS) -> list[float | None]:
+def scalar_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
     """Whole-table quantiles as driver scalars."""
-    row = quantiles(df, [], value, probs, small_rows).first()
+    row = quantiles(df, [], value, probs).first()
     got = row["quantiles"] if row is not None else None
     return list(got) if got is not None else [None] * len(probs)
 
 
-def kth_smallest(df: DataFrame, keys: Sequence[str], value: str, k: Column, out: str,
-                 small_rows: int = SMALL_ROWS) -> DataFrame:
+def kth_smallest(df: DataFrame, keys: Sequence[str], value: str, k: Column, out: str) -> DataFrame:
     """The k-th smallest value per group, ``k`` an expression of ``total``; the largest when k exceeds it."""
-    cls = value_classes(df, keys, value, small_rows=small_rows)
+    cls = value_classes(df, keys, value)
     k = F.least(k, F.col("total"))
     hit = (F.col("before") < k) & (k <= F.col("before") + F.col("mass"))
     return cls.groupBy(*keys).agg(F.max(F.when(hit, F.col(value))).alias(out),
                                   F.max("total").alias("n_scores"))
 
 
-def percentile_ranks(df: DataFrame, ranks: dict[str, str], small_rows: int = SMALL_ROWS) -> DataFrame:
+def percentile_ranks(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
     """(average rank - 1)/(n - 1) over the whole table for each ``out: value``.
 
     0.5 when a column has at most one distinct value; a null stays null (or 0.5 in that case).
     """
-    if rows_fit(df, small_rows):
-        whole = Window.partitionBy(F.lit(0))
-        out = {}
-        for name, v in ranks.items():
-            known = Window.partitionBy(F.col(v).isNull())
-            ties = F.count(F.lit(1)).over(Window.partitionBy(v))
-            n = F.count(v).over(whole)
-            one = F.coalesce(F.min(v).over(whole) == F.max(v).over(whole), F.lit(True))
-            avg_rank = F.rank().over(known.orderBy(v)) + (ties - 1) / 2.0
-            out[name] = F.when(one, F.lit(0.5)).when(F.col(v).isNotNull(), (avg_rank - 1.0) / (n - 1.0))
-        return df.withColumns(out)
     for name, v in ranks.items():
-        cls = value_classes(df, [], v, small_rows=small_rows).select(
+        cls = value_classes(df, [], v).select(
             F.col(v).alias("__v"),
             F.when(F.col("mass") == F.col("total"), F.lit(0.5))
             .otherwise((F.col("before") + (F.col("mass") - 1) / 2.0) / (F.col("total") - 1.0)).alias(name))
@@ -148,13 +128,12 @@ def percentile_ranks(df: DataFrame, ranks: dict[str, str], small_rows: int = SMA
     return df
 
 
-def positions(df: DataFrame, value: str, tie: Column, out: str = "position", descending: bool = True,
-              small_rows: int = SMALL_ROWS) -> DataFrame:
+def positions(df: DataFrame, value: str, tie: Column, out: str = "position", descending: bool = True) -> DataFrame:
     """Row position from 0 in ``value`` order; equal values are ordered by the numeric ``tie``."""
     tagged = df.withColumn("__tie", tie)
-    outer = value_classes(tagged, [], value, descending=descending, small_rows=small_rows).select(
+    outer = value_classes(tagged, [], value, descending=descending).select(
         value, F.col("before").alias("__outer"))
-    inner = value_classes(tagged, [value], "__tie", small_rows=small_rows).select(
+    inner = value_classes(tagged, [value], "__tie").select(
         value, "__tie", F.col("before").alias("__inner"))
     placed = join_same(join_same(tagged, inner, [value, "__tie"]), outer, [value])
     return placed.withColumn(out, F.col("__outer") + F.col("__inner")).drop("__tie", "__outer", "__inner")

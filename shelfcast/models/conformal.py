@@ -21,17 +21,18 @@ GROUP = "third_category_id"
 Trainer = Callable[[DataFrame, Sequence[str], Settings], object]
 
 
-def forest_trainer(trees: int = 20, depth: int = 6) -> Trainer:
+def forest_trainer(trees: int | None = None, depth: int | None = None) -> Trainer:
     def train(frame: DataFrame, features: Sequence[str], s: Settings) -> QuantileForest:
         return train_forest(frame, features, quantiles=s.models.quantiles,
-                            point_level=critical_fractile(s.inventory), trees=trees, depth=depth, seed=s.random_seed)
+                            point_level=critical_fractile(s.inventory), trees=trees or s.models.n_estimators,
+                            depth=depth or s.models.max_depth, seed=s.random_seed)
     return train
 
 
 def boost_trainer(stages: int | None = None, depth: int | None = None, rate: float | None = None) -> Trainer:
     def train(frame: DataFrame, features: Sequence[str], s: Settings) -> QuantileBoost:
         return train_boost(frame, features, quantiles=s.models.quantiles, point_level=critical_fractile(s.inventory),
-                           stages=stages or min(s.models.n_estimators, 40), depth=depth or min(s.models.max_depth, 6),
+                           stages=stages or s.models.n_estimators, depth=depth or s.models.max_depth,
                            rate=rate or s.models.learning_rate, seed=s.random_seed)
     return train
 

@@ -17,12 +17,10 @@ from ..functions.columns import pinball, quantile_column, ratio, sum0, winkler
 from ..operators.folds import HOLDOUT_FOLD_ID, temporal_masks
 from ..operators.impute import censored_panel, draw_errors, synthetic_censor
 from ..operators.orders import critical_fractile
-from ..operators.panel import latest_rows
 from ..session import materialise
 from .conformal import boost_trainer
 from .teacher import train_teacher
 
-MAX_TUNING_ROWS = 500_000
 TRIALS = "trial_number int, pinball double, winkler double, n_estimators int, learning_rate double, max_depth int"
 VALIDATION_SEED_OFFSET = 10_000
 
@@ -116,13 +114,7 @@ def tuning_split(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frame.where(F.col("date") <= F.lit(cut)), frame.where(F.col("date") > F.lit(cut))
 
 
-def tuning_rows(train: DataFrame, limit: int = MAX_TUNING_ROWS) -> DataFrame:
-    """The newest rows of every series when there are more than a search needs."""
-    r = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("series_id").alias("k")).first()
-    return train if r["n"] <= limit else latest_rows(train, max(1, limit // r["k"]))
-
-
-def sample_trials(n: int, seed: int = 42, max_stages: int = 40, max_depth: int = 6) -> list[dict]:
+def sample_trials(n: int, seed: int = 42, max_stages: int = 200, max_depth: int = 6) -> list[dict]:
     rng = random.Random(seed)
     return [{"n_estimators": rng.randint(5, max_stages),
              "learning_rate": math.exp(rng.uniform(math.log(0.02), math.log(0.5))),
@@ -139,8 +131,8 @@ def tune_boost(frame: DataFrame, features: Sequence[str], settings: Settings, tr
     train, held = tuning_split(frame)
     if train.isEmpty() or held.isEmpty():
         return spark.createDataFrame([], TRIALS + ", is_on_front boolean, is_selected boolean")
-    train, held = materialise(tuning_rows(train), "tuning-train"), materialise(held, "tuning-held")
-    trials = list(trials or sample_trials(settings.models.tuning_trials, settings.random_seed))
+    train, held = materialise(train, "tuning-train"), materialise(held, "tuning-held")
+    trials = list(trials or sample_trials(settings.models.tuning_trials, settings.random_seed, settings.models.n_estimators, settings.models.max_depth))
     lo, hi = settings.models.quantiles[0], settings.models.quantiles[-1]
     level, alpha = critical_fractile(settings.inventory), lo + (1.0 - hi)
 

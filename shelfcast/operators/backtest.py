@@ -176,9 +176,10 @@ def weekly_blocks(df: DataFrame, lower: str = "q_0_1", upper: str = "q_0_9") ->
         (F.min(ok.cast("int")) == 1).alias("actuals_complete"))
 
 
-def series_by_volume(df: DataFrame, limit: int = 60) -> DataFrame:
+def series_by_volume(df: DataFrame, limit: int | None = None) -> DataFrame:
     rows = df.where(F.col("day_index") % 7 == 0)
-    return rows.groupBy("series_id").agg(sum0("y_true").alias("volume")).orderBy(F.desc("volume"), "series_id").limit(limit)
+    ordered = rows.groupBy("series_id").agg(sum0("y_true").alias("volume")).orderBy(F.desc("volume"), "series_id")
+    return ordered.limit(limit) if limit else ordered
 
 
 def series_trajectory(df: DataFrame, series_id: str, cadence: str = "every_7d", lower: str = "q_0_1",

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import c, floor0, join_same, quantile_level, sum0
-from ..functions.ranks import SMALL_ROWS, value_classes
+from ..functions.ranks import value_classes
 
 
 def value_segments(cap: Column, q_cols: Sequence[str], under: Column, over: Column) -> Column:
@@ -35,8 +35,7 @@ def value_segments(cap: Column, q_cols: Sequence[str], under: Column, over: Colu
 
 
 def capacity_allocate(df: DataFrame, capacity: float | str | Column, keys: Sequence[str], q_cols: Sequence[str] = (),
-                      order: str = "order_quantity", out: str = "allocated", row_id: Sequence[str] = ("series_id",),
-                      small_rows: int = SMALL_ROWS) -> DataFrame:
+                      order: str = "order_quantity", out: str = "allocated", row_id: Sequence[str] = ("series_id",)) -> DataFrame:
     """Allocation per row such that each group of ``keys`` stays within its capacity.
 
     A group whose requests already fit keeps them unchanged. Without ``q_cols`` every unit of
@@ -49,7 +48,7 @@ def capacity_allocate(df: DataFrame, capacity: float | str | Column, keys: Seque
     segs = (df.select(*ids, F.explode(value_segments(F.col(order), q_cols, F.col("c_under"),
                                                      F.col("c_over"))).alias("s"))
             .select(*ids, "s.width", "s.value").where(F.col("value") > 0))
-    cls = value_classes(segs, keys, "value", weight="width", descending=True, small_rows=small_rows)
+    cls = value_classes(segs, keys, "value", weight="width", descending=True)
     cls = join_same(cls, groups.select(*keys, "__cap"), keys) if keys else cls.withColumn(
         "__cap", groups.select("__cap").scalar())
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("__cap") - F.col("before")) / F.col("mass")))
@@ -64,7 +63,7 @@ def capacity_allocate(df: DataFrame, capacity: float | str | Column, keys: Seque
 
 
 def capacity_sweep(df: DataFrame, fractions: Sequence[float], q_cols: Sequence[str],
-                   period: str = "fold_id", small_rows: int = SMALL_ROWS) -> DataFrame:
+                   period: str = "fold_id") -> DataFrame:
     """Shortage penalty of piecewise, flat and proportional allocation at each fraction of the requested total."""
     base = df.withColumn("order_quantity", F.coalesce(floor0("order_quantity"), F.lit(0.0)))
     want = base.groupBy(period).agg(F.sum("order_quantity").alias("__req"))
@@ -72,8 +71,8 @@ def capacity_sweep(df: DataFrame, fractions: Sequence[float], q_cols: Sequence[s
             .withColumn("capacity_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
             .withColumn("__c", F.col("__req") * F.col("capacity_fraction")))
     keys = ["capacity_fraction", period]
-    a = capacity_allocate(grid, "__c", keys, q_cols, out="piecewise", small_rows=small_rows)
-    a = capacity_allocate(a, "__c", keys, (), out="flat", small_rows=small_rows)
+    a = capacity_allocate(grid, "__c", keys, q_cols, out="piecewise")
+    a = capacity_allocate(a, "__c", keys, (), out="flat")
     a = a.withColumn("proportional", F.col("order_quantity") * F.col("capacity_fraction"))
 
     def penalty(x: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import both, c, floor0, join_same, quantile_column, quantile_columns, quantile_level
-from ..functions.ranks import SMALL_ROWS, kth_smallest
+from ..functions.ranks import kth_smallest
 
 
 def conformity_score(df: DataFrame, alpha: float, y: str = "y_true", p: str = "y_pred") -> Column:
@@ -19,24 +19,21 @@ def conformity_score(df: DataFrame, alpha: float, y: str = "y_true", p: str = "y
     return F.abs(c(y) - c(p))
 
 
-def conformal_radius(df: DataFrame, keys: Sequence[str], score: str, alpha: float, out: str = "q_hat",
-                     small_rows: int = SMALL_ROWS) -> DataFrame:
+def conformal_radius(df: DataFrame, keys: Sequence[str], score: str, alpha: float, out: str = "q_hat") -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest score per group, at most the largest, at least 0."""
     k = F.ceil((F.col("total") + 1) * F.lit(1.0 - alpha))
-    found = kth_smallest(df, keys, score, k, out, small_rows)
+    found = kth_smallest(df, keys, score, k, out)
     return found.withColumn(out, F.greatest(F.coalesce(F.col(out), F.lit(0.0)), F.lit(0.0)))
 
 
-def calibrate(df: DataFrame, alpha: float, keys: Sequence[str] = (), group: str | None = "third_category_id",
-              small_rows: int = SMALL_ROWS) -> DataFrame:
+def calibrate(df: DataFrame, alpha: float, keys: Sequence[str] = (), group: str | None = "third_category_id") -> DataFrame:
     """Radius table: per ``keys`` one row with ``scope`` global and one per group."""
     scored = df.withColumn("__score", conformity_score(df, alpha))
-    whole = conformal_radius(scored, keys, "__score", alpha, small_rows=small_rows)
+    whole = conformal_radius(scored, keys, "__score", alpha)
     whole = whole.withColumn("scope", F.lit("global"))
     if group is None or group not in df.columns:
         return whole
-    own = conformal_radius(scored.where(F.col(group).isNotNull()), [*keys, group], "__score", alpha,
-                           small_rows=small_rows).withColumn("scope", F.lit("group"))
+    own = conformal_radius(scored.where(F.col(group).isNotNull()), [*keys, group], "__score", alpha).withColumn("scope", F.lit("group"))
     return whole.unionByName(own, allowMissingColumns=True)
 
 

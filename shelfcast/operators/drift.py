@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DriftConfig
 from ..functions.columns import c, count_edges, join_same
-from ..functions.ranks import SMALL_ROWS, positions, quantiles, running
+from ..functions.ranks import positions, quantiles, running
 
 PSI_WARNING, PSI_CRITICAL = 0.10, 0.20
 SHARE_FLOOR = 1e-4
@@ -54,8 +54,7 @@ def finite(x: str) -> Column:
     return F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(F.col(x)) != float("inf"))
 
 
-def psi(df: DataFrame, keys: Sequence[str], value: str, is_current: str, bins: int = 10,
-        small_rows: int = SMALL_ROWS, bounded: bool = False) -> DataFrame:
+def psi(df: DataFrame, keys: Sequence[str], value: str, is_current: str, bins: int = 10, bounded: bool = False) -> DataFrame:
     """Population stability index per key between rows with ``is_current`` false and true.
 
     ``bounded`` says every key holds few rows (a series); its deciles then need no size check.
@@ -68,7 +67,7 @@ def psi(df: DataFrame, keys: Sequence[str], value: str, is_current: str, bins: i
     if bounded:
         edges = ref.groupBy(*keys).agg(F.percentile("__v", F.array(*[F.lit(p) for p in probs])).alias("q"))
     else:
-        edges = quantiles(ref, keys, "__v", probs, small_rows, out="q")
+        edges = quantiles(ref, keys, "__v", probs, out="q")
     edges = edges.select(*keys, _inner_edges(F.col("q")).alias("__e"))
     if keys:
         tagged = join_same(rows, edges, keys, "left")
@@ -116,7 +115,7 @@ def halves_by_date(df: DataFrame, date: str = "date", out: str = "is_current") -
 
 
 def feature_drift_report(df: DataFrame, importance: DataFrame, top_n: int = 7, bins: int = 10,
-                         date: str = "date", small_rows: int = SMALL_ROWS) -> DataFrame:
+                         date: str = "date") -> DataFrame:
     """PSI of the most important features between the older and newer half, worst first.
 
     ``importance`` has (feature, importance); it has one row per feature, so the pick is made
@@ -129,7 +128,7 @@ def feature_drift_report(df: DataFrame, importance: DataFrame, top_n: int = 7, b
     long = split.select("is_current", F.explode(F.array(*[
         F.struct(F.lit(r["feature"]).alias("name"), F.col(r["feature"]).cast("double").alias("value"))
         for r in top])).alias("x")).select("is_current", "x.name", "x.value")
-    scored = psi(long, ["name"], "value", "is_current", bins, small_rows)
+    scored = psi(long, ["name"], "value", "is_current", bins)
     kinds = (long.where(F.col("value").isNotNull()).groupBy("name")
              .agg(F.when(F.approx_count_distinct("value", 0.01) <= 2, "binary").otherwise("numeric").alias("type")))
     shares = F.create_map(*[x for r in top for x in (F.lit(r["feature"]), F.lit(r["importance"] / total))])

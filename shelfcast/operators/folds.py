@@ -15,6 +15,8 @@ HOLDOUT_FOLD_ID = 999
 
 @dataclass(frozen=True)
 class Fold:
+    """Validation days [start, end]; training stops one horizon before the start."""
+
     fold_id: int
     horizon: int
     train_end_date: date
@@ -22,10 +24,10 @@ class Fold:
     validation_end_date: date
 
     def __post_init__(self):
-        if self.validation_end_date < self.validation_start_date:
-            raise ValueError("validation must not end before it starts")
-        if self.train_end_date != self.validation_start_date - timedelta(days=self.horizon):
-            raise ValueError("train_end_date must be validation_start_date minus the horizon")
+        gap = (self.validation_start_date - self.train_end_date).days
+        if gap != self.horizon or self.validation_end_date < self.validation_start_date:
+            raise ValueError(f"fold {self.fold_id}: a gap of {gap} days for a horizon of {self.horizon}, "
+                             f"validation {self.validation_start_date} to {self.validation_end_date}")
 
 
 def distinct_dates(panel: DataFrame, column: str = "date") -> list[date]:
@@ -34,19 +36,17 @@ def distinct_dates(panel: DataFrame, column: str = "date") -> list[date]:
 
 
 def walk_forward_folds(dates: list[date], cfg: ValidationConfig = ValidationConfig(), horizon: int = 7) -> list[Fold]:
-    need = cfg.initial_train_days + cfg.n_folds * cfg.fold_size_days + horizon - 1
-    if len(dates) < need:
-        raise ValueError(f"walk-forward folds need at least {need} dates, found {len(dates)}")
-    folds = []
-    for i in range(cfg.n_folds):
-        first = cfg.initial_train_days + i * cfg.fold_size_days
-        last = first + cfg.fold_size_days - 1
-        if last > len(dates) - horizon:
-            break
-        folds.append(Fold(i, horizon, dates[first] - timedelta(days=horizon), dates[first], dates[last]))
-    if not folds:
+    """Validation blocks of equal size, end to end from the first day after the initial ones. A block counts if its last
+    day's whole horizon is on the calendar, so the calendar fits (days - horizon + 1 - initial) / size of them."""
+    size, start = cfg.fold_size_days, cfg.initial_train_days
+    wanted = start + cfg.n_folds * size + horizon - 1
+    if wanted > len(dates):
+        raise ValueError(f"walk-forward folds need at least {wanted} dates, found {len(dates)}")
+    fit = min(cfg.n_folds, (len(dates) - horizon + 1 - start) // size)
+    if fit < 1:
         raise ValueError("the configuration allows no fold")
-    return folds
+    blocks = [dates[start + k * size:start + (k + 1) * size] for k in range(fit)]
+    return [Fold(k, horizon, days[0] - timedelta(horizon), days[0], days[-1]) for k, days in enumerate(blocks)]
 
 
 def folds_frame(spark: SparkSession, folds: list[Fold]) -> DataFrame:
@@ -85,12 +85,12 @@ def fold_counts(frame: DataFrame, folds: list[Fold]) -> DataFrame:
 
 
 def temporal_masks(panel: DataFrame, fraction: float = 1.0 / 3.0, out: str = "is_validation") -> DataFrame:
-    """Mark the last ``fraction`` of distinct dates; nothing is removed."""
-    days = distinct_dates(panel)
-    if len(days) < 2:
+    """Mark the rows of the last ``fraction`` of the calendar, at least one day and never all of it; nothing is removed."""
+    *earlier, last = distinct_dates(panel) or [None]
+    if not earlier:
         raise ValueError("a temporal split needs at least two distinct dates")
-    n = min(len(days) - 1, max(1, round(len(days) * fraction)))
-    return panel.withColumn(out, F.col("date") >= F.lit(days[len(days) - n]))
+    held = sorted((1, round((len(earlier) + 1) * fraction), len(earlier)))[1]
+    return panel.withColumn(out, F.col("date") >= F.lit([*earlier, last][-held]))
 
 
 def calibration_split(frame: DataFrame, calibration_days: int = 21,

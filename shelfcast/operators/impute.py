@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import InventoryConfig
 from ..functions.columns import both, floor0, hash52, HASH_SPAN, ratio, sum0
-from ..functions.ranks import SMALL_ROWS, kth_smallest, value_classes
+from ..functions.ranks import kth_smallest, value_classes
 from ..session import materialise
 from .panel import OPERATIVE_HOURS
 
@@ -80,7 +80,7 @@ def latent_long(panel: DataFrame, strategies: Sequence[str] = CLOSED_FORM, teach
 
 
 def synthetic_censor(panel: DataFrame, seeds: Sequence[int], share: float = CENSORED_SHARE,
-                     mask: Column | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+                     mask: Column | None = None) -> DataFrame:
     """Clean days picked for each seed, with a severity drawn from the real stock-outs of the same rows.
 
     Picks are the rows with the smallest hash of (series, date, seed), so a draw depends on
@@ -98,13 +98,13 @@ def synthetic_censor(panel: DataFrame, seeds: Sequence[int], share: float = CENS
     drawn = (clean.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
              .withColumn("__h", hash52("series_id", "date", "seed")))
     n = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(share)))
-    cut = kth_smallest(drawn, ["seed"], "__h", n, "__cut", small_rows).select("seed", "__cut")
+    cut = kth_smallest(drawn, ["seed"], "__h", n, "__cut").select("seed", "__cut")
     picked = drawn.join(cut, "seed").where(F.col("__h") <= F.col("__cut"))
     size = counts["out"]
     u = hash52("series_id", "date", "seed", F.lit("severity"))
     picked = picked.withColumn("__rank", F.floor(u * F.lit(float(size)) / F.lit(HASH_SPAN)))
     slot = F.floor(F.col("__rank") * SLOTS / F.lit(size))
-    sev = value_classes(pool, [], "stockout_hours", small_rows=small_rows)
+    sev = value_classes(pool, [], "stockout_hours")
     sev = sev.select(F.col("stockout_hours").alias("severity_hours"), F.col("before").alias("__lo"),
                      (F.col("before") + F.col("mass")).alias("__hi"),
                      F.explode(F.sequence(F.floor(F.col("before") * SLOTS / F.lit(size)),
@@ -128,10 +128,9 @@ def censored_panel(panel: DataFrame, draws: DataFrame, seeds: Sequence[int] | No
     }).drop("censored_demand", "severity_hours")
 
 
-def scored_draw(panel: DataFrame, seed: int, strategies: Sequence[str], teacher: Teacher | None = None,
-                small_rows: int = SMALL_ROWS) -> DataFrame:
+def scored_draw(panel: DataFrame, seed: int, strategies: Sequence[str], teacher: Teacher | None = None) -> DataFrame:
     """Estimates on the censored days of one draw: (strategy, signal, true_demand) rows."""
-    draws = synthetic_censor(panel, [seed], small_rows=small_rows)
+    draws = synthetic_censor(panel, [seed])
     cens = materialise(censored_panel(panel, draws, [seed]), "censored-panel")
     est = estimates(cens, strategies, teacher).where(F.col("true_demand").isNotNull())
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(f"latent_{s}").alias("signal"))

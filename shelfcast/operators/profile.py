@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import DatasetConfig
 from ..functions.columns import c, hash52, join_same, rate
-from ..functions.ranks import SMALL_ROWS, positions, quantiles, rows_fit, scalar_quantiles
+from ..functions.ranks import positions, quantiles, scalar_quantiles
 from ..session import materialise
 from .folds import distinct_dates
 from .quality import config_alignment
@@ -42,16 +42,16 @@ def dataset_summary(panel: DataFrame) -> DataFrame:
     d, s = F.col("observed_demand"), F.col("stockout_hours")
     per = panel.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("date").alias("a"), F.max("date").alias("b"),
-        F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.count(d).alias("k"),
+        F.sum(d).alias("s1"), F.count(d).alias("k"),
         F.count_if(d == 0).alias("z"), F.count_if(s > 0).alias("o"), F.sum(s).alias("h"), F.count(s).alias("hk"),
         F.count_distinct("date").alias("days"))
     median = quantiles(per, [], "days", [0.5]).select(F.col("quantiles")[0]).scalar()
-    var = F.sum("s2") / F.sum("k") - (F.sum("s1") / F.sum("k")) * (F.sum("s1") / F.sum("k"))
+    spread = panel.agg(F.stddev_pop(d)).scalar()
     return per.agg(
         F.sum("n").alias("rows"), F.count("series_id").alias("unique_series"), F.min("a").alias("date_min"),
         F.max("b").alias("date_max"), F.sum("s1").alias("observed_demand_sum"),
         (F.sum("s1") / F.sum("k")).alias("observed_demand_mean"),
-        F.sqrt(F.greatest(var, F.lit(0.0))).alias("observed_demand_std"),
+        spread.alias("observed_demand_std"),
         (F.sum("z") / F.sum("n")).alias("zero_demand_rate"), (F.sum("o") / F.sum("n")).alias("stockout_day_rate"),
         (F.sum("h") / F.sum("hk")).alias("mean_stockout_hours"), F.min("days").alias("min_history_days"),
         F.max("days").alias("max_history_days")).withColumn("median_history_days", median)
@@ -90,28 +90,22 @@ def series_summary(panel: DataFrame) -> DataFrame:
     ).orderBy(F.desc("observed_demand_sum"), "series_id")
 
 
-def numeric_summary(panel: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def numeric_summary(panel: DataFrame) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles per numeric column.
 
-    All columns share one aggregation; only quartiles of a large panel need the long form.
+    Moments and extremes of all columns share one aggregation; quartiles come from the long form.
     """
     cols = numeric_columns(panel)
-    small = rows_fit(panel, small_rows)
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     aggs = []
     for n in cols:
         x = F.col(n).cast("double")
-        q = F.percentile(x, probs) if small else F.lit(None).cast("array<double>")
         aggs.append(F.struct(F.lit(n).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-                             q.alias("q")).alias(n))
+                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).alias(n))
     base = panel.agg(*aggs).select(F.explode(F.array(*[F.col(n) for n in cols])).alias("r")).select("r.*")
-    if not small:
-        q = quantiles(stacked(panel, cols), ["column_name"], "value", [0.25, 0.5, 0.75], small_rows, out="q")
-        base = base.drop("q").join(q, "column_name", "left")
+    long = quantiles(stacked(panel, cols), ["column_name"], "value", [0.25, 0.5, 0.75], out="q")
     q = F.col("q")
-    return base.select("column_name", "count", "mean", "std", "min", q[0].alias("p25"), q[1].alias("median"),
-                       q[2].alias("p75"), "max")
+    return base.join(long, "column_name", "left").select("column_name", "count", "mean", "std", "min", q[0].alias("p25"), q[1].alias("median"),
+                                                         q[2].alias("p75"), "max")
 
 
 def temporal_summary(panel: DataFrame) -> DataFrame:
@@ -127,13 +121,13 @@ def temporal_summary(panel: DataFrame) -> DataFrame:
                     "duplicate_series_date_rows")
 
 
-def weekday_summary(panel: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def weekday_summary(panel: DataFrame) -> DataFrame:
     df = panel.withColumn("weekday", F.weekday("date"))
     g = df.groupBy("weekday").agg(
         F.count(F.lit(1)).alias("observations"), F.avg("observed_demand").alias("observed_demand_mean"),
         rate(F.col("stockout_hours") > 0).alias("stockout_day_rate"),
         F.avg("stockout_hours").alias("mean_stockout_hours"))
-    q = quantiles(df, ["weekday"], "observed_demand", [0.5], small_rows)
+    q = quantiles(df, ["weekday"], "observed_demand", [0.5])
     names = F.array(*[F.lit(d) for d in DAYS])
     return g.join(q, "weekday", "left").select(
         "weekday", names[F.col("weekday")].alias("weekday_name"), "observations", "observed_demand_mean",
@@ -177,13 +171,13 @@ def stockout_band() -> Column:
             .when((s > 2) & (s <= 6), BANDS[2]).when(s > 6, BANDS[3]))
 
 
-def stockout_bands(panel: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def stockout_bands(panel: DataFrame) -> DataFrame:
     """Demand by stock-out band; a band without rows is kept with a count of 0."""
     df = panel.withColumn("stockout_band", stockout_band()).where(F.col("stockout_band").isNotNull())
     g = df.groupBy("stockout_band").agg(
         F.count(F.lit(1)).alias("observations"), F.avg("observed_demand").alias("observed_demand_mean"),
         F.avg("stockout_hours").alias("stockout_hours_mean"))
-    q = quantiles(df, ["stockout_band"], "observed_demand", [0.5], small_rows)
+    q = quantiles(df, ["stockout_band"], "observed_demand", [0.5])
     every = panel.sparkSession.createDataFrame([(b,) for b in BANDS], "stockout_band string")
     return every.join(g, "stockout_band", "left").join(q, "stockout_band", "left").select(
         "stockout_band", F.coalesce("observations", F.lit(0)).alias("observations"), "observed_demand_mean",
@@ -264,8 +258,7 @@ def top_per_tier(profile: DataFrame, n: int = 7) -> DataFrame:
     return profile.withColumn("rank_in_tier", rn).where(F.col("rank_in_tier") <= n)
 
 
-def covariate_bins(panel: DataFrame, columns: Sequence[str] = tuple(COVARIATES), n_bins: int = 20,
-                   small_rows: int = SMALL_ROWS) -> DataFrame:
+def covariate_bins(panel: DataFrame, columns: Sequence[str] = tuple(COVARIATES), n_bins: int = 20) -> DataFrame:
     """Mean demand with a 95 % band over equal-width bins of each covariate.
 
     Values up to the 1 % quantile go first, then those from the 99 % quantile of the rest.
@@ -273,9 +266,9 @@ def covariate_bins(panel: DataFrame, columns: Sequence[str] = tuple(COVARIATES),
     cols = [n for n in columns if n in panel.columns]
     long = stacked(panel, cols, ["observed_demand"]).where(F.col("value").isNotNull()
                                                            & F.col("observed_demand").isNotNull())
-    q1 = quantiles(long, ["column_name"], "value", [0.01], small_rows, out="__a")
+    q1 = quantiles(long, ["column_name"], "value", [0.01], out="__a")
     mid = long.join(q1, "column_name").where(F.col("value") > F.col("__a")[0]).drop("__a")
-    q2 = quantiles(mid, ["column_name"], "value", [0.99], small_rows, out="__b")
+    q2 = quantiles(mid, ["column_name"], "value", [0.99], out="__b")
     body = mid.join(q2, "column_name").where(F.col("value") < F.col("__b")[0]).drop("__b")
     span = body.groupBy("column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     binned = body.join(span, "column_name").where(F.col("lo") < F.col("hi"))

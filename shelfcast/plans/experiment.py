@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.columns import quantile_columns
+from ..models.teacher import train_teacher
 from ..models.conformal import ConformalModel, Trainer, fit_and_calibrate, forest_trainer
 from ..models.naive import seasonal_naive
 from ..operators import quality
@@ -121,6 +122,8 @@ def run_experiment(panel: DataFrame, settings: Settings = Settings(), learners:
     learners = learners if learners is not None else {"forest": forest_trainer()}
     panel = materialise(panel, "panel")
     how = settings.preprocessing.imputation_strategy
+    if how == "supervised" and teacher is None:
+        teacher = train_teacher(panel, seed=settings.random_seed)
     seen = run_strategy(panel, settings, "Observed", learners, holdout)
     latent = run_strategy(materialise(impute_latent(panel, how, teacher), "latent-panel"), settings, f"Latent_{how}",
                           learners, None if holdout is None else impute_latent(holdout, how, teacher))

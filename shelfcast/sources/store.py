@@ -45,7 +45,7 @@ def load_prepared_panel(spark: SparkSession, raw_root: str, panel_root: str,
     A split other than train keeps exactly train's series; an empty one is an error.
     """
     path = f"{panel_root}/{panel_key(dataset, prep, split)}"
-    if not exists(spark, f"{path}/_SUCCESS"):
+    if not exists(spark, f"{path}/_SUCCESS") or spark.read.parquet(path).isEmpty():
         keep = None
         if split != "train":
             keep = load_prepared_panel(spark, raw_root, panel_root, dataset, prep, "train").select("series_id")
@@ -73,17 +73,18 @@ def new_run_id(name: str) -> str:
 
 def write_run(root: str, run_id: str, artifacts: dict[str, DataFrame], settings: Settings,
               extra: dict | None = None) -> None:
-    """One table per artifact, partitioned by run, so a reader prunes to the run it wants."""
+    """One table per artifact, partitioned by run, so a reader prunes to the run it wants. A run written again replaces itself."""
     spark = None
     for name, df in artifacts.items():
         spark = df.sparkSession
-        df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{root}/{name}")
+        (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_id").parquet(f"{root}/{name}"))
     if spark is not None:
         meta = {"run_id": run_id, "run_mode": settings.run_mode, "config_hash": fingerprint(settings, length=64),
                 "created_at": datetime.now(timezone.utc).isoformat(), "artifacts": ",".join(sorted(artifacts)),
                 **{k: str(v) for k, v in (extra or {}).items()}}
         (spark.createDataFrame([(run_id, json.dumps(meta, sort_keys=True))], "run_id string, body string")
-         .write.mode("append").partitionBy("run_id").json(f"{root}/run_metadata"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{root}/run_metadata"))
 
 
 def runs_with(spark: SparkSession, root: str, required: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,16 +23,28 @@ def history_needed(settings: Settings) -> int:
     return max(*settings.features.lags, *settings.features.rolling_windows) + 1
 
 
+def last_history(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
+    """The newest finished history before a batch; batches without rows leave none, so it may be some batches back."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/history")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    ids = [int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()]
+    for i in sorted((i for i in ids if i < batch_id), reverse=True):
+        if exists(spark, f"{root}/history/{i}/_SUCCESS"):
+            return spark.read.parquet(f"{root}/history/{i}")
+    return None
+
+
 def score_batch(batch: DataFrame, root: str, model: ConformalModel, settings: Settings, batch_id: int) -> None:
     """Score the series a batch touches and renew their recent rows.
 
-    Each batch writes its own folders and reads the history of the one before, so a batch that
+    Each batch writes its own folders and reads the newest history before its own, so a batch that
     is run again after a failure gives the same result.
     """
     spark = batch.sparkSession
     new = series_key(dedupe_key(batch.where(F.col("observed_demand") >= 0)))
-    earlier = f"{root}/history/{batch_id - 1}"
-    known = spark.read.parquet(earlier) if exists(spark, f"{earlier}/_SUCCESS") else None
+    known = last_history(spark, root, batch_id)
     both = new if known is None else known.unionByName(new)
     kept = latest_rows(series_key(dedupe_key(both.select(*new.columns))), history_needed(settings))
     kept.write.mode("overwrite").parquet(f"{root}/history/{batch_id}")
@@ -55,9 +67,9 @@ def stream_scoring(days: DataFrame, root: str, model: ConformalModel, settings:
         if batch.isEmpty():
             return
         if retrain is not None and every and (batch_id + 1) % every == 0:
-            past = f"{root}/history/{batch_id - 1}"
-            if exists(batch.sparkSession, f"{past}/_SUCCESS"):
-                held["model"] = retrain(batch.sparkSession.read.parquet(past))
+            past = last_history(batch.sparkSession, root, batch_id)
+            if past is not None:
+                held["model"] = retrain(past)
                 event = batch.sparkSession.createDataFrame([(batch_id, f"every_{every}")], "day_index bigint, cadence string")
                 event.write.mode("overwrite").parquet(f"{root}/retrain_events/batch={batch_id}")
         score_batch(batch, root, held["model"], settings, batch_id)

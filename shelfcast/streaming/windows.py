@@ -17,8 +17,8 @@ def lead_time_sums(df: DataFrame, time: str, keys: Sequence[str], value: str | C
     """Sum over [d, d + days) for every day d; in append mode a window appears once it is closed."""
     v = F.col(value) if isinstance(value, str) else value
     g = df.groupBy(F.window(time, f"{days} days", "1 day").alias("w"), *keys).agg(
-        F.sum(v).alias("y_true"), F.count(v).alias("rows_observed"))
-    return g.select(*keys, F.to_date("w.start").alias("decision_date"), "y_true", "rows_observed")
+        F.sum(v).alias("y_true"), F.count(v).alias("rows_observed"), F.collect_set(F.when(v.isNotNull(), F.to_date(time))).alias("days"))
+    return g.select(*keys, F.to_date("w.start").alias("decision_date"), "y_true", "rows_observed", F.size("days").alias("days_observed"))
 
 
 def decision_grid(df: DataFrame, time: str, keys: Sequence[str], value: str, days: int) -> DataFrame:

@@ -45,15 +45,14 @@ def loop_psi(ref, cur, bins=10):
     return float(np.sum((b - a) * np.log(b / a)))
 
 
-@pytest.mark.parametrize("small", [0, 10 ** 6])
-def test_psi(spark, small):
+def test_psi(spark):
     rng = np.random.default_rng(0)
     ref = rng.normal(0, 1, 500)
     cases = {"same": rng.normal(0, 1, 500), "shifted": rng.normal(2, 1, 500)}
     rows = [(k, float(v), False) for k in cases for v in ref] + [(k, float(v), True) for k, x in cases.items() for v in x]
     rows += [("constant", 1.0, False)] * 20 + [("constant", 5.0, True)] * 20 + [("alone", 1.0, False)]
     df = spark.createDataFrame(rows, "k string, v double, c boolean")
-    got = {r["k"]: r for r in V.psi(df, ["k"], "v", "c", small_rows=small).collect()}
+    got = {r["k"]: r for r in V.psi(df, ["k"], "v", "c").collect()}
     for k, x in cases.items():
         assert got[k]["psi"] == pytest.approx(loop_psi(ref, x))
     assert got["same"]["psi"] < 0.2 <= got["shifted"]["psi"]
@@ -92,9 +91,8 @@ def test_known_imputations(spark):
         I.impute_latent(df, "supervised")
 
 
-@pytest.mark.parametrize("small", [0, 10 ** 6])
-def test_synthetic_draws(panel, small):
-    draws = I.synthetic_censor(panel, [1, 2], small_rows=small).collect()
+def test_synthetic_draws(panel):
+    draws = I.synthetic_censor(panel, [1, 2]).collect()
     clean = panel.where("stockout_hours = 0").count()
     assert len([d for d in draws if d["seed"] == 1]) == int(clean * 0.3)
     assert {d["severity_hours"] for d in draws} <= {1.0, 2.0}
