@@ -239,7 +239,8 @@ def similar_groups(base: DataFrame, n: int = N, similarity: float = SIMILARITY,
     rep_ids = sig.select(F.col("rid").alias("rep"), F.col("id").alias("rep_id"))
     info = materialise(info.join(rep_ids, "rep"), "class-info")
     out = sig.select("id", "rid", "a", "b", "size").join(info, ["a", "b", "size"], "left")
-    return out.select("rid", F.col("id").alias("doc_id"), F.coalesce("class_id", "rep_id", "id").alias("class_id"), F.coalesce("rep_id", "id").alias("rep_id"),
+    grouped = F.when(F.col("label").isNotNull(), F.col("class_id")).when(F.col("rep").isNotNull(), F.col("rep_id")).otherwise(F.col("id"))
+    return out.select("rid", F.col("id").alias("doc_id"), grouped.alias("class_id"), F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("rep_id")).alias("rep_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("rid") == F.coalesce("label", "rep", "rid")).alias("kept"))
 
 
