@@ -241,8 +241,8 @@ def test_language_id(spark, odd, none):
 
 
 def test_toxicity(spark, odd, none):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    rows = QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").collect()
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").collect()
     toxic = [r["score"] for r in rows if r["toxic"] == 1]
     clean = [r["score"] for r in rows if r["toxic"] == 0]
     assert np.mean([a > b for a in toxic for b in clean]) > 0.85 and np.mean([s >= 0.7 for s in clean]) < 0.05
