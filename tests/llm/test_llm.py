@@ -185,7 +185,8 @@ def base_spans(t):
 
 def test_personal_data(spark):
     texts = [None, "", "é a.b@c.de_x@y.z 1.2.3.4 1.2.3.999 4.3.2.1.5.6.7.8", "4111 1111 1111 1111 and 4111-1111-1111-1112 +1 (212) 555-0100 +12", "9" * 20000, "x" * 20000 + "@a.b",
-             "a@b.c" * 3, "007.08.0009.1 0000000000000000000000001.1.1.1", "@@ + .", "1 " * 700, " ".join(f"10.0.{i * 9}.7" for i in range(30))]
+             "a@b.c" * 3, "007.08.0009.1 0000000000000000000000001.1.1.1", "@@ + .", "1 " * 700, " ".join(f"10.0.{i * 9}.7" for i in range(30)),
+             " ".join(f"10.0.{i % 300}.7 u{i}@h.org" for i in range(3000))]
     df = spark.createDataFrame(list(enumerate(texts)) + [(1, texts[2])], "doc_id long, text string")
     for r in pii.find_personal(df).collect():
         t = texts[2] if r["doc_id"] == 1 and r["n_email"] else texts[r["doc_id"]] or ""
