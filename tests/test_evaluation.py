@@ -129,9 +129,10 @@ def test_first_flag_wins(spark):
     assert {r["severity"] for r in P.alert_rows(P.exceptions(rec), 9).collect()} == {"critical", "warning"}
 
 
-def test_status_and_what_if_input():
-    w = P.WhatIf.from_mapping({"serviceLevel": "90", "shortage_cost": "x", "capacity": None})
-    assert (w.service_level, w.shortage_cost, w.capacity) == (90.0, 18.0, 12000.0)
+def test_what_if_ratios():
+    w = P.WhatIf(service_level=90.0)
+    assert (round(w.alpha, 9), w.shortage_cost, w.capacity) == (0.1, 18.0, 12000.0)
+    assert w.critical_ratio == 18.0 / 22.0
 
 
 def test_sku_table_and_kpis(spark):
