@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-1. Voters. From a bounded sample of labelled rows (``MAX_ROWS``; half of each class where there are enough) words and
-   word beginnings that the toxic class favours become lexicon voters; shouting, repeated marks and the lack of
-   any lexicon hit are pattern voters. A voter votes or abstains.
+1. Voters. A written lexicon of insults (``INSULTS``) votes whatever the labels say. From a bounded sample of labelled rows
+   (``MAX_ROWS``; half of each class where there are enough) words and word beginnings that the toxic class favours become
+   further lexicon voters; shouting, repeated marks and the lack of any lexicon hit are pattern voters. A voter votes or abstains.
 2. Label model. Over the sample and as many unlabelled rows, EM estimates the prior and, for each voter, how often it
    votes in either class; labelled rows start it off. Voters that go together within a class are correlated: the
    residuals' correlations give each voter a weight of one over the votes it shares, so that ten voters for one
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +28,20 @@ from pyspark.sql import functions as F
 from .langid import held_out
 from .rows import chunks
 
-MAX_ROWS, VOTERS, SUPPORT, STRONG, ENOUGH, CUT = 6_000, 600, 4, 28.0, 4, 0.7
+MAX_ROWS, VOTERS, SUPPORT, FALSE, ENOUGH, CUT = 6_000, 600, 4, 0.05, 4, 0.7
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 MARKS = re.compile(r"[!?]{3,}")
 PATTERNS = ("#shout", "#marks")  # the label model also has a voter for the lack of any hit
 START = (4, 5)
 
+#: Everyday insults, in their dictionary forms. Replace them by an argument for other domains and languages.
+INSULTS = ("airhead bastard bigot bimbo bitch blockhead bonehead brainless buffoon bum clown contemptible coward creep cretin crybaby degenerate despicable "
+           "dimwit dirtbag disgrace disgusting dolt dope dork douche dumb dumbass dummy dunce fool freak garbage halfwit hideous hypocrite idiot idiotic "
+           "idiots imbecile imbecilic jackass jerk knucklehead laughable liar loathsome loser losers lowlife lunatic maggot maniac miserable moron moronic morons "
+           "nitwit numbskull obnoxious parasite pathetic pig psycho punk rat repulsive rubbish scum scumbag shameful sicko simpleton skank slob sleazy slut snake "
+           "spineless stupid stupidity sucker swine thug tosser trash traitor twat twit useless vermin vile weakling weasel whore wimp worthless wretch").split()
+
 
 def terms(text: str) -> set[str]:
     """Words in lower case and their beginnings: ``stem*`` where one word of the text has that stem, ``stem*2`` and ``stem*4``
@@ -75,15 +83,17 @@ def likelihood_ratio(a: int, n1: int, c: int, n0: int) -> float:
 def pick_voters(sets: list[set[str]], y: np.ndarray) -> list[str]:
     """Terms that go with class 1 beyond chance, the strongest first.
 
-    A ratio above ``STRONG`` holds for tens of thousands of terms tried at once. Each term must also reach it on the rows that
-    fewer than ``ENOUGH`` stronger terms explain: words that merely stand in copies of a toxic text do not.
+    The ratio a term must exceed grows with the number of terms tried, so that chance lets ``FALSE`` terms pass at most. Each term
+    must also reach it on the rows that fewer than ``ENOUGH`` stronger terms explain: words that merely stand in copies of a toxic
+    text do not.
     """
     toxic, clean = Counter(), Counter()
     for s, label in zip(sets, y):
         (toxic if label else clean).update(s)
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     ratio = {t: likelihood_ratio(a, n1, clean[t], n0) for t, a in toxic.items() if a >= SUPPORT and a * n0 > 3 * clean[t] * n1}
-    ranked = sorted((t for t, g in ratio.items() if g > STRONG), key=lambda t: (-ratio[t], t))
+    strong = 2 * np.log(max(1, sum(a + clean[t] >= SUPPORT for t, a in toxic.items()) + sum(c >= SUPPORT for t, c in clean.items() if t not in toxic)) / FALSE)
+    ranked = sorted((t for t, g in ratio.items() if g > strong), key=lambda t: (-ratio[t], t))
     where = {t: [] for t in ranked}
     for i, (s, label) in enumerate(zip(sets, y)):
         if label:
@@ -93,12 +103,19 @@ def pick_voters(sets: list[set[str]], y: np.ndarray) -> list[str]:
     for t in ranked:
         rows = np.array(where[t])
         fresh = int((cover[rows] < ENOUGH).sum())
-        if fresh >= SUPPORT and likelihood_ratio(fresh, n1, clean[t], n0) > STRONG:
+        if fresh >= SUPPORT and likelihood_ratio(fresh, n1, clean[t], n0) > strong:
             cover[rows] += 1
             out.append(t)
     return out[:VOTERS]
 
 
+def contradicted(term: str, sets: list[set[str]], y: np.ndarray) -> bool:
+    """Whether labelled rows of class 1 have the term less than three times as often as those of class 0, as with a word that is
+    harmless in another language. A term that no row of class 0 has is not contradicted."""
+    has = np.array([term in s for s in sets])
+    return bool(3 * has[y == 0].mean() > has[y == 1].mean())
+
+
 def votes(texts: list[str], sets: list[set[str]], voters: list[str]) -> np.ndarray:
     lex = np.array([[t in s for t in voters] for s in sets], np.float64).reshape(len(sets), len(voters))
     shout = np.array([[bool(SHOUT.search(t)), bool(MARKS.search(t))] for t in texts], np.float64).reshape(len(texts), 2)
@@ -144,9 +161,10 @@ def logistic(x: np.ndarray, q: np.ndarray, steps: int = 300, ridge: float = 1e-3
     return w, b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+                 lexicon: Sequence[str] = INSULTS) -> ToxicityModel:
     """A model from labelled rows and as many unlabelled ones. A document with several labels takes the largest; null labels count as
-    none. Without a label of each class every score is 0.5 at most."""
+    none. Without a label of each class every score is 0.5 at most. Words of the lexicon that no row of the sample has do not vote."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").alias("y")).filter("id is not null and y is not null")
     marks = marks.groupBy("id").agg(F.max("y").alias("y"))
@@ -164,7 +182,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not ((y == 1).any() and (y == 0).any()):
         return ToxicityModel({}, -2.0, frozenset())
     sets = [terms(t) for t in texts]
-    voters = pick_voters([s for s, k in zip(sets, y) if k >= 0], y[y >= 0])
+    written = [t for t in sorted(set(lexicon).intersection(set().union(*sets))) if not contradicted(t, sets, y)]
+    learnt = pick_voters([s for s, k in zip(sets, y) if k >= 0], y[y >= 0])
+    voters = written + [t for t in learnt if t not in written]
     v = votes(texts, sets, voters)
     q = label_model(v, y)
     x = v[:, :-1]

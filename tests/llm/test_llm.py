@@ -247,10 +247,30 @@ def test_toxicity(spark, odd, none):
     toxic = [r["score"] for r in rows if r["toxic"] == 1]
     clean = [r["score"] for r in rows if r["toxic"] == 0]
     assert np.mean([a > b for a in toxic for b in clean]) > 0.85 and np.mean([s >= 0.7 for s in clean]) < 0.05
+    for sf, least in (("sf0.001", 0.7), ("sf0.01", 0.75)):  # few labels: the written lexicon carries the model; texts without evidence tie
+        few = QUERIES["op6_toxicity"](spark, f"/root/testdata/{sf}").join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id").collect()
+        assert np.mean([(r["score"] > s["score"]) + (r["score"] == s["score"]) / 2 for r in few for s in few if r["toxic"] == 1 and s["toxic"] == 0]) > least
+    assert not any(r["predicted"] for r in few if r["toxic"] == 0)
     model = toxicity.fit_toxicity(odd, labels.limit(0))
     assert toxicity.score_toxicity(odd, model).filter("score > 0.5").count() == 0 and toxicity.score_toxicity(none, model).count() == 0
 
 
+def test_toxicity_lexicon_is_checked_against_labels():
+    sets, y = [{"fool"}, {"fool", "vile"}, {"vile"}, {"vile"}, {"tree"}], np.array([1, 1, 0, 0, -1])
+    assert not toxicity.contradicted("fool", sets, y) and toxicity.contradicted("vile", sets, y) and not toxicity.contradicted("scum", sets, y)
+
+
+def test_pipeline_stages_keep_clashing_columns(spark):
+    clash = ("score", "lang_pred", "rejected", "row", "_", "rid", "id", "norm", "judged", "w", "kept")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in clash])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialise(stage(spark, docs, SF), name)
+        assert out.columns == docs.columns
+        assert out.filter(" or ".join(f"`{c}` is null or `{c}` <> concat('{c}', doc_id)" for c in clash)).isEmpty()
+        docs = out
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {(r["doc_id"], r["text"]) for r in docs.collect()}
