@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfcast.llm.bpe import encode_digests
 from shelfcast.llm.decontaminate import drop_leaks
 from shelfcast.llm.exact_dedup import drop_copies
-from shelfcast.llm.langid import fit_languages, predict_languages
+from shelfcast.llm.langid import fit_languages, keep_languages
 from shelfcast.llm.ngram_join import drop_similar
 from shelfcast.session import materialise
 
@@ -23,8 +23,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the model, fitted on the labelled ones among them, rejects."""
-    kept = predict_languages(docs, fit_languages(docs)).filter("not rejected")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return keep_languages(docs, fit_languages(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both id and text one is kept: of equal ids, the first of the sorted run. An empty table gives no rows.
     """
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), normalised(F.col(f"`{text_col}`")).alias("norm"),
-                       F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("row"))
+                       F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")]).alias("row"))
     base = base.withColumn("h", F.xxhash64("norm"))
     n, total = partitions(docs), docs.count()
     most = max(2, total // (4 * n))

@@ -173,6 +173,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, text_col: st
     return rows.mapInArrow(run, f"{ddl}, lang_pred string, score double, rejected boolean")
 
 
+def keep_languages(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows that are not rejected, with the columns of ``docs`` and their values, however they are named."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("judged"))
+    return predict_languages(rows, model, "judged").filter("not rejected").select("row.*")
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), 4, 2)
