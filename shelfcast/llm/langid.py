@@ -22,6 +22,7 @@ from .rows import chunks, utf8
 
 PER_LANG, MAX_ROWS = 800, 8_000
 BUCKETS, DIM, EPOCHS, BATCH, KEEP = 1 << 13, 16, 12, 64, 0.999
+STEP = 1 << 18  # bytes whose pieces are held at once
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -35,8 +36,9 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def subwords(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length: bucket of every piece, and where the rows begin among them; pieces of borders only are left out."""
+def subwords(data: np.ndarray, offsets: np.ndarray, starts: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length: bucket of every piece that starts in the first ``starts`` bytes (all by default), and where the rows begin
+    among them; pieces of borders only are left out."""
     folded = _FOLD[data]
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     out = []
@@ -51,7 +53,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
             h = (h ^ folded[i:i + n]) * np.uint32(0x01000193)
             ink |= folded[i:i + n] != 32
         h ^= h >> np.uint32(15)
-        use = np.flatnonzero(ink & (row[:n] == row[size - 1:]))
+        use = np.flatnonzero((ink & (row[:n] == row[size - 1:]))[:starts])
         out.append(((h[use] & np.uint32(BUCKETS - 1)).astype(np.int64), np.searchsorted(row[use], np.arange(len(offsets)))))
     return out
 
@@ -69,11 +71,13 @@ class LanguageModel:
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total = np.zeros((len(offsets) - 1, len(self.langs)))
         count = np.zeros(len(offsets) - 1)
-        for bucket, cuts in subwords(data, offsets):
-            full = np.flatnonzero(np.diff(cuts))
-            if len(full):
-                total[full] += np.add.reduceat(self.table[bucket], cuts[full], axis=0, dtype=np.float64)
-                count[full] += np.diff(cuts)[full]
+        for at in range(0, len(data), STEP):  # a piece belongs to the step that it starts in, so no text is too long
+            part = data[at:at + STEP + 3]
+            for bucket, cuts in subwords(part, np.clip(offsets - at, 0, len(part)), STEP):
+                full = np.flatnonzero(np.diff(cuts))
+                if len(full):
+                    total[full] += np.add.reduceat(self.table[bucket], cuts[full], axis=0, dtype=np.float64)
+                    count[full] += np.diff(cuts)[full]
         logits = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)

@@ -241,6 +241,18 @@ def test_language_id(spark, odd, none):
     assert langid.predict_languages(none, langid.fit_languages(none)).count() == 0
 
 
+def test_language_scores_do_not_depend_on_the_step(monkeypatch):
+    texts = ["", "ab", words(1, 400), "é" * 90, words(2, 3), "x", words(3, 150), ""]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]])
+    model = langid.LanguageModel(("a", "b", "c"), np.random.default_rng(1).normal(size=(langid.BUCKETS, 3)).astype(np.float32), np.zeros(3), 1.0, 0.1)
+    whole = model.probabilities(data, offsets)
+    one_by_one = np.vstack([model.probabilities(data[a:b], np.array([0, b - a])) for a, b in zip(offsets, offsets[1:])])
+    assert np.allclose(whole, one_by_one)
+    for step in (1, 7, 64):
+        monkeypatch.setattr(langid, "STEP", step)
+        assert np.allclose(whole, model.probabilities(data, offsets))
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").collect()
