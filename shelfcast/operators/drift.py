@@ -119,7 +119,8 @@ def feature_drift_report(df: DataFrame, importance: DataFrame, top_n: int = 7, b
     """PSI of the most important features between the older and newer half, worst first.
 
     ``importance`` has (feature, importance); it has one row per feature, so the pick is made
-    on the driver. The features are stacked and measured in one grouped job.
+    on the driver. The features are stacked and measured in one grouped job. A feature of at most two
+    values, whose deciles collapse into one bin, is measured with one bin per value.
     """
     ranked = [r for r in importance.orderBy(F.desc("importance"), "feature").collect() if r["feature"] in df.columns]
     total = sum(r["importance"] for r in importance.collect()) or 1.0
@@ -129,12 +130,17 @@ def feature_drift_report(df: DataFrame, importance: DataFrame, top_n: int = 7, b
         F.struct(F.lit(r["feature"]).alias("name"), F.col(r["feature"]).cast("double").alias("value"))
         for r in top])).alias("x")).select("is_current", "x.name", "x.value")
     scored = psi(long, ["name"], "value", "is_current", bins)
-    kinds = (long.where(F.col("value").isNotNull()).groupBy("name")
-             .agg(F.when(F.approx_count_distinct("value", 0.01) <= 2, "binary").otherwise("numeric").alias("type")))
+    few = (long.where(F.col("value").isNotNull()).groupBy("name").agg(F.approx_count_distinct("value", 0.01).alias("n"))
+           .where("n <= 2").collect())  # one row per picked feature at most
+    two_valued = [r["name"] for r in few]
+    by_value = category_psi(long.where(F.col("name").isin(two_valued)), ["name"], "value", "is_current")
+    scored = scored.join(by_value.withColumnRenamed("psi", "__by_value"), "name", "left")
+    kind = F.when(F.col("name").isin(two_valued), "binary").otherwise("numeric")
+    score = F.coalesce("__by_value", "psi")
     shares = F.create_map(*[x for r in top for x in (F.lit(r["feature"]), F.lit(r["importance"] / total))])
-    out = scored.join(kinds, "name", "left").select(
-        "name", "type", F.round(F.element_at(shares, F.col("name")), 4).alias("importance"),
-        F.round("psi", 4).alias("psi"), psi_status("psi").alias("status"), "pre", "post")
+    out = scored.select(
+        "name", kind.alias("type"), F.round(F.element_at(shares, F.col("name")), 4).alias("importance"),
+        F.round(score, 4).alias("psi"), psi_status(score).alias("status"), "pre", "post")
     return out.orderBy(F.desc("psi"), "name")
 
 

@@ -131,11 +131,11 @@ def weather_fill(panel: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def densify(panel: DataFrame, start: str, end: str, zero: tuple[str, ...] = ("observed_demand", "stockout_hours"),
             carry: tuple[str, ...] = ()) -> DataFrame:
-    """Put every series on the full calendar [start, end]; missing days get 0 in ``zero`` columns, null elsewhere.
+    """Put every series that has a row in [start, end] on that calendar; missing days get 0 in ``zero`` columns, null elsewhere.
 
     Each row also emits the missing days up to the series' next row, so one exchange on
-    ``series_id`` does it, and later series windows find their rows in place. ``carry`` names
-    columns that are fixed per series.
+    ``series_id`` does it, and later series windows find their rows in place. Repeated rows of a
+    day all stay. ``carry`` names columns that are fixed per series.
     """
     a, b = F.to_date(F.lit(start)), F.to_date(F.lit(end))
     inside = panel.where(F.col("date").between(a, b))
@@ -143,7 +143,7 @@ def densify(panel: DataFrame, start: str, end: str, zero: tuple[str, ...] = ("ob
     nxt = F.lead("date").over(w)
     first = F.row_number().over(w) == 1
     days = F.sequence(F.when(first, a).otherwise(F.col("date")),
-                      F.when(nxt.isNull(), b).otherwise(F.date_sub(nxt, 1)), F.expr("interval 1 day"))
+                      F.when(nxt.isNull(), b).otherwise(F.greatest(F.col("date"), F.date_sub(nxt, 1))), F.expr("interval 1 day"))
     full = inside.withColumn("__days", days).withColumn("__day", F.explode("__days"))
     own = F.col("__day") == F.col("date")
     out = {}

@@ -1,3 +1,4 @@
+import math
 from datetime import date, timedelta
 
 import numpy as np
@@ -69,6 +70,16 @@ def test_feature_drift_ranks_and_types(spark):
     assert {r["name"]: r["type"] for r in got} == {"rising": "numeric", "flag": "binary", "still": "numeric"}
 
 
+def test_two_valued_feature_is_measured_by_value(spark):
+    rows = [(date(2025, 1, 1) + timedelta(days=i), float(i >= 90 or i % 10 == 0)) for i in range(100)]
+    df = spark.createDataFrame(rows, "date date, flag double")
+    imp = spark.createDataFrame([("flag", 1.0)], "feature string, importance double")
+    got = V.feature_drift_report(df, imp).first()
+    old, new = 5 / 50, 14 / 50
+    want = (new - old) * math.log(new / old) + (old - new) * math.log((1 - new) / (1 - old))
+    assert got["type"] == "binary" and got["psi"] == pytest.approx(want, abs=1e-4) and got["status"] == "critical"
+
+
 def test_page_hinkley_alarm(spark):
     df = spark.createDataFrame([("a", i, i // 7, 1.0 if i < 20 else 10.0) for i in range(40)], "k string, i int, b int, e double")
     cfg = DriftConfig(threshold=5.0, min_instances=10)

@@ -55,6 +55,9 @@ def test_densify_fills_both_ends_and_gaps(panel):
     got = P.densify(few, "2025-01-01", "2025-01-08", carry=("store_id",)).orderBy("date").collect()
     assert len(got) == 8 and [r["observed_demand"] > 0 for r in got] == [False, False, True, False, False, True, False, False]
     assert {r["store_id"] for r in got} == {1}
+    twice = P.densify(few.unionByName(few), "2025-01-01", "2025-01-08", carry=("store_id",)).groupBy("date").count().orderBy("date").collect()
+    assert [r["count"] for r in twice] == [1, 1, 2, 1, 1, 2, 1, 1]
+    assert P.densify(few, "2026-01-01", "2026-01-08").isEmpty()
 
 
 def test_eval_split_inherits_train_series(spark, panel, tmp_path):
