@@ -4,7 +4,7 @@ Numbers, names and units of measure become typed placeholders, so a question ask
 same template. Windows of ``WINDOW`` template words of the documents are hash-joined with those of the benchmark items,
 and an item is found in a document that holds ``SIMILARITY`` of its windows. Where a window has placeholders
 the values of both sides are compared: windows with equal values count as they are, the others only if
-the document gives one item value one value of its own throughout (the slots are consistent). Windows of fewer than
+one occurrence gives one item value one value of its own throughout (the slots are consistent). Windows of fewer than
 two plain words say nothing about an item and are left out on both sides.
 
 The benchmark is the stated query set. Its windows are joined in blocks of ``BLOCK_ROWS`` rows, each of a known size and so
@@ -26,6 +26,7 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l gal ms s sec min h hr hrs ho
          "meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms liter liters litre litres second seconds minute minutes")
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 FIRST_PLAIN = "\x04"
+PAIRS = "array<struct<i:string,d:string>>"
 
 
 def marked_words(rows: DataFrame, text_col: str = "text", out: str = "w") -> DataFrame:
@@ -70,25 +71,69 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     return as_is.unionByName(inside.select("item_id", "h", F.lit(1).alias("item_at"), F.col("slots").alias("item_slots"))).distinct()
 
 
+def consistent(pairs: Column) -> Column:
+    """Whether one item value has one value of the document throughout."""
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) == F.size(pairs)
+
+
+def judge(hits: DataFrame, total: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The rows of ``find_leaks`` from the windows found: ``doc_id, part, at, item_id, item_at, equal, pairs``.
+
+    A line is what one text holds of an item at one shift (place in the document minus place in the item). An occurrence is made of
+    consistent lines whose shifts differ by less than the item is long, the longest first, so that words may be put in or left out and other
+    variants or chance matches elsewhere do not count against it. What a document holds in scattered pieces is judged as a whole.
+    """
+    key = ["doc_id", "item_id"]
+    found = hits.groupBy(*key, "part", (F.col("at") - F.col("item_at")).alias("shift"), "item_at").agg(F.max("equal").alias("equal"), F.first("pairs").alias("pairs"))
+    lines = found.groupBy(*key, "part", "shift").agg(F.collect_list(F.struct("item_at", "equal", "pairs")).alias("found"))  # as long as an item at most
+    lines = materialise(lines.withColumns({"n": F.size("found"), "all_pairs": F.array_distinct(F.flatten(F.col("found")["pairs"]))}), "leak-lines")
+    single = lines.select(*key, "part", "shift", "n", F.explode("found").alias("f")).select(*key, "part", "shift", "n", "f.*")
+    placed = single.groupBy(*key, "item_at").agg(F.max("equal").alias("equal"), F.max_by("pairs", F.struct("n", -F.col("shift"), "part")).alias("pairs"))
+    whole = placed.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_found"), F.sum(F.col("equal").cast("long")).alias("n_equal"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))  # as long as an item at most
+    width = F.col("n_windows") + (size - 1)
+    near = F.array(2 * F.floor(F.col("shift") / width), 2 * F.floor(F.col("shift") / width + 0.5) + 1)  # each half covered twice
+    line = F.struct((-F.col("n")).alias("order"), "shift", F.col("found")["item_at"].alias("places"), F.col("all_pairs").alias("pairs"))
+    spread = lines.filter(consistent(F.col("all_pairs"))).join(total, "item_id").select(*key, "part", F.explode(near).alias("near"), line.alias("line"))
+    groups = spread.groupBy(*key, "part", "near").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+
+    def add(held: Column, more: Column) -> Column:
+        places, pairs = F.array_union(held["places"], more["places"]), F.array_union(held["pairs"], more["pairs"])
+        fits = (F.size(places) > F.size(held["places"])) & consistent(pairs)
+        return F.when(fits, F.struct(places.alias("places"), pairs.alias("pairs"))).otherwise(held)
+
+    empty = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast(PAIRS).alias("pairs"))
+    best = groups.select(*key, F.size(F.aggregate("lines", empty, add)["places"]).alias("n")).groupBy(*key).agg(F.max("n").alias("n_best"))
+    same = [whole[c].eqNullSafe(best[c]) for c in key]
+    judged = whole.join(best, same[0] & same[1], "left").select(*[whole[c] for c in whole.columns], F.coalesce("n_best", F.lit(0)).alias("n_best")).join(total, "item_id")
+    held = F.greatest("n_best", F.when(consistent(F.col("pairs")), F.col("n_found")).otherwise(0))
+    copied = F.col("n_equal") >= similarity * F.col("n_windows")
+    share = F.when(copied, F.col("n_equal")).otherwise(held) / F.col("n_windows")
+    kind = F.when(copied, "copy").when(held >= similarity * F.col("n_windows"), "reworked")
+    return judged.withColumns({"share": share, "kind": kind}).filter("kind is not null")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                item_text: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, item_id, n_windows, n_found, n_equal, share, kind``: one row for each item that a document holds.
 
     ``kind`` is ``copy`` where windows with equal values alone reach the similarity, else ``reworked``. Items shorter than the
     window are one window of their own length; null or wordless texts and items match nothing. Rows that share a doc_id, null
-    included, are judged together as one document, and repeated items once. A reworked item needs consistent slots.
+    included, are judged together as one document, and repeated items once. A reworked item needs an occurrence with consistent slots.
     """
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text"))
     items = items.withColumn("text_", F.col("text"))
     items = marked_words(items, "text_").withColumn("size", F.least(F.size("w"), F.lit(window))).filter("size > 0").drop("w")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` of them
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows.withColumn("part", F.xxhash64("text"))
     schema = "item_id " + benchmark.schema[item_col].dataType.simpleString()
     out = docs.sparkSession.createDataFrame([], f"doc_id long, {schema}, n_windows long, n_found long, n_equal long, share double, kind string")
     for size in sizes:
         sought = materialise(item_windows(items.filter(F.col("size") == size), size), "item-windows")
         blocks = -(-sought.count() // BLOCK_ROWS)
-        seen = windows_of(rows, size, "doc_id")
+        seen = windows_of(rows, size, "doc_id", "part")
         hits = None
         for k in range(max(1, blocks)):
             part = sought if blocks <= 1 else sought.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == k)
@@ -96,17 +141,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             hits = found if hits is None else hits.unionByName(found)
         equal = F.col("slots").eqNullSafe(F.col("item_slots"))
         pairs = F.when(F.col("slots").isNotNull(), F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
-        # one row per document, item and place first, so that a text that repeats an item does not pile up
-        placed = hits.groupBy("doc_id", "item_id", "item_at").agg(F.max(equal).alias("equal"), F.min(pairs).alias("pairs"))
-        per = placed.groupBy("doc_id", "item_id").agg(
-            F.count(F.lit(1)).alias("n_found"), F.sum(F.col("equal").cast("long")).alias("n_equal"),
-            F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))  # as long as an item at most
         total = sought.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"))
-        values = F.array_distinct(F.transform("pairs", lambda p: p["i"]))
-        judged = per.join(F.broadcast(total), "item_id") if blocks <= 1 else per.join(total, "item_id")
-        share = F.when(F.col("n_equal") >= similarity * F.col("n_windows"), F.col("n_equal")).otherwise(F.col("n_found")) / F.col("n_windows")
-        kind = F.when(F.col("n_equal") >= similarity * F.col("n_windows"), "copy").when(F.size(values) == F.size("pairs"), "reworked")
-        judged = judged.withColumns({"share": share, "kind": kind}).filter((F.col("n_found") >= similarity * F.col("n_windows")) & F.col("kind").isNotNull())
+        of_items = F.broadcast(total) if blocks <= 1 else total
+        judged = judge(hits.withColumns({"equal": equal, "pairs": F.coalesce(pairs, F.array().cast(PAIRS))}), of_items, size, similarity)
         out = out.unionByName(judged.select(*out.columns))
     return out
 

@@ -230,6 +230,18 @@ def test_decontamination(spark, none):
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "a farmer with 11 cows and 12 goats bought 13 ducks and then sold 11 cows to a friend who paid 14 coins for 12 goats and the rest"
+    first, second = (item.replace("11", a).replace("12", b).replace("13", c).replace("14", d) for a, b, c, d in (("90", "20", "7", "65"), ("3", "85", "41", "5")))
+    mixed = first.replace("sold 90", "sold 11")
+    rows = [(1, first + " . " + second), (2, first), (2, second), (3, first + " " + words(1, 90) + " the barn with 77 cows and 5 goats bought nothing"),
+            (4, mixed), (5, first.replace("bought", "gladly bought"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.find_leaks(docs, bench).collect()
+    agree([(r["doc_id"], r["kind"]) for r in got], [(1, "reworked"), (2, "reworked"), (3, "reworked"), (5, "reworked")])
+
+
 def test_language_id(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = QUERIES["op10_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
