@@ -5,7 +5,7 @@ same template. Windows of ``WINDOW`` template words of the documents are hash-jo
 and an item is found in a document that holds ``SIMILARITY`` of its windows. Where a window has placeholders
 the values of both sides are compared: windows with equal values count as they are, the others only if
 one occurrence gives one item value one value of its own throughout (the slots are consistent). Windows of fewer than
-two plain words say nothing about an item and are left out on both sides.
+two plain words are found with equal values only: they count for copies, and are left out where other values are allowed.
 
 The benchmark is the stated query set. Its windows are joined in blocks of ``BLOCK_ROWS`` rows, each of a known size and so
 broadcast; the documents are scanned in place, and only matches are shuffled, by document and item.
@@ -27,6 +27,7 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l gal ms s sec min h hr hrs ho
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 FIRST_PLAIN = "\x04"
 PAIRS = "array<struct<i:string,d:string>>"
+COPY, PLAIN = 0, 1  # readings of the windows
 
 
 def marked_words(rows: DataFrame, text_col: str = "text", out: str = "w") -> DataFrame:
@@ -45,8 +46,13 @@ def marked_words(rows: DataFrame, text_col: str = "text", out: str = "w") -> Dat
     return rows.select(*kept, named.alias("named")).select(*kept, F.array_remove(words, "").alias(out))
 
 
+def dense(slots: str, size: int) -> Column:
+    return F.coalesce(F.size(slots) > max(0, size - 2), F.lit(False))
+
+
 def windows_of(rows: DataFrame, size: int, *keep: str) -> DataFrame:
-    """``h, at, slots`` of every window: template hash, place, and the placeholders' values (null where there are none).
+    """``h, at, slots`` of every window: template hash, place, and the placeholders' values (null where there are none). The hash
+    of a dense window, one of fewer than two plain words, covers its values too.
 
     Each step is a column that the next uses more than once, so the planner keeps it out of the per-window expressions.
     """
@@ -58,9 +64,9 @@ def windows_of(rows: DataFrame, size: int, *keep: str) -> DataFrame:
     plain = F.transform("t", lambda x, i: F.struct(hashed(x, i).alias("h"), (i + 1).alias("at"), none.alias("slots")))
     mixed = F.transform("t", lambda x, i: F.struct(hashed(x, i).alias("h"), (i + 1).alias("at"),
                                                    F.filter(F.slice("w", i + 1, size), lambda w: w < FIRST_PLAIN).alias("slots")))
-    mixed = F.filter(mixed, lambda x: F.size(x["slots"]) <= max(0, size - 2))
     each = words.select(*keep, F.size("w").alias("n"), F.inline(F.when(F.col("slotted"), mixed).otherwise(plain))).filter(F.col("at") <= F.col("n") - (size - 1))
-    return each.select(*keep, "h", "at", F.when(F.size("slots") > 0, F.col("slots")).alias("slots"))
+    h = F.when(dense("slots", size), F.xxhash64("h", "slots")).otherwise(F.col("h"))
+    return each.select(*keep, h.alias("h"), "at", F.when(F.size("slots") > 0, F.col("slots")).alias("slots"))
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
@@ -77,14 +83,19 @@ def consistent(pairs: Column) -> Column:
 
 
 def judge(hits: DataFrame, total: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The rows of ``find_leaks`` from the windows found: ``doc_id, part, at, item_id, item_at, equal, pairs``.
+    """The rows of ``find_leaks`` from the windows found: ``doc_id, part, at, item_id, item_at, equal, pairs, readings``.
+
+    Each reading is judged on its own: ``COPY`` by windows with equal values, the others by windows that may have other values.
+    ``total`` has the windows of each item in each reading.
 
     A line is what one text holds of an item at one shift (place in the document minus place in the item). An occurrence is made of
     consistent lines whose shifts differ by less than the item is long, the longest first, so that words may be put in or left out and other
     variants or chance matches elsewhere do not count against it. What a document holds in scattered pieces is judged as a whole.
     """
-    key = ["doc_id", "item_id"]
-    found = hits.groupBy(*key, "part", (F.col("at") - F.col("item_at")).alias("shift"), "item_at").agg(F.max("equal").alias("equal"), F.first("pairs").alias("pairs"))
+    key = ["doc_id", "item_id", "reading"]
+    hits = hits.withColumn("reading", F.explode("readings")).withColumn("pairs", F.when(F.col("reading") == COPY, F.array().cast(PAIRS)).otherwise(F.col("pairs")))
+    found = hits.groupBy(*key, "part", (F.col("at") - F.col("item_at")).alias("shift"), "item_at").agg(
+        F.max("equal").alias("equal"), F.min_by("pairs", F.size("pairs")).alias("pairs"))
     lines = found.groupBy(*key, "part", "shift").agg(F.collect_list(F.struct("item_at", "equal", "pairs")).alias("found"))  # as long as an item at most
     lines = materialise(lines.withColumns({"n": F.size("found"), "all_pairs": F.array_distinct(F.flatten(F.col("found")["pairs"]))}), "leak-lines")
     single = lines.select(*key, "part", "shift", "n", F.explode("found").alias("f")).select(*key, "part", "shift", "n", "f.*")
@@ -92,10 +103,10 @@ def judge(hits: DataFrame, total: DataFrame, size: int, similarity: float) -> Da
     whole = placed.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_found"), F.sum(F.col("equal").cast("long")).alias("n_equal"),
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))  # as long as an item at most
-    width = F.col("n_windows") + (size - 1)
+    width = F.col("n_all") + (size - 1)
     near = F.array(2 * F.floor(F.col("shift") / width), 2 * F.floor(F.col("shift") / width + 0.5) + 1)  # each half covered twice
     line = F.struct((-F.col("n")).alias("order"), "shift", F.col("found")["item_at"].alias("places"), F.col("all_pairs").alias("pairs"))
-    spread = lines.filter(consistent(F.col("all_pairs"))).join(total, "item_id").select(*key, "part", F.explode(near).alias("near"), line.alias("line"))
+    spread = lines.filter(consistent(F.col("all_pairs"))).join(total, ["item_id", "reading"]).select(*key, "part", F.explode(near).alias("near"), line.alias("line"))
     groups = spread.groupBy(*key, "part", "near").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
     def add(held: Column, more: Column) -> Column:
@@ -106,12 +117,16 @@ def judge(hits: DataFrame, total: DataFrame, size: int, similarity: float) -> Da
     empty = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast(PAIRS).alias("pairs"))
     best = groups.select(*key, F.size(F.aggregate("lines", empty, add)["places"]).alias("n")).groupBy(*key).agg(F.max("n").alias("n_best"))
     same = [whole[c].eqNullSafe(best[c]) for c in key]
-    judged = whole.join(best, same[0] & same[1], "left").select(*[whole[c] for c in whole.columns], F.coalesce("n_best", F.lit(0)).alias("n_best")).join(total, "item_id")
-    held = F.greatest("n_best", F.when(consistent(F.col("pairs")), F.col("n_found")).otherwise(0))
-    copied = F.col("n_equal") >= similarity * F.col("n_windows")
-    share = F.when(copied, F.col("n_equal")).otherwise(held) / F.col("n_windows")
-    kind = F.when(copied, "copy").when(held >= similarity * F.col("n_windows"), "reworked")
-    return judged.withColumns({"share": share, "kind": kind}).filter("kind is not null")
+    read = whole.join(best, same[0] & same[1] & same[2], "left").select(*[whole[c] for c in whole.columns], F.coalesce("n_best", F.lit(0)).alias("n_best"))
+    read = read.join(total, ["item_id", "reading"])
+    held = F.greatest("n_best", "n_equal", F.when(consistent(F.col("pairs")), F.col("n_found")).otherwise(0))
+    share = F.when(held >= similarity * F.col("n_read"), held / F.col("n_read"))
+    copied = F.col("reading") == COPY
+    judged = read.withColumn("share", share).groupBy("doc_id", "item_id").agg(
+        F.first("n_all").alias("n_windows"), F.max("n_found").alias("n_found"), F.coalesce(F.max(F.when(copied, F.col("n_equal"))), F.lit(0)).alias("n_equal"),
+        F.max(F.when(copied, F.col("share"))).alias("copy"), F.max(F.when(~copied, F.col("share"))).alias("reworked"))
+    kind = F.when(F.col("copy").isNotNull(), "copy").when(F.col("reworked").isNotNull(), "reworked")
+    return judged.withColumns({"share": F.coalesce("copy", "reworked"), "kind": kind}).filter("kind is not null")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -141,9 +156,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             hits = found if hits is None else hits.unionByName(found)
         equal = F.col("slots").eqNullSafe(F.col("item_slots"))
         pairs = F.when(F.col("slots").isNotNull(), F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
-        total = sought.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"))
-        of_items = F.broadcast(total) if blocks <= 1 else total
-        judged = judge(hits.withColumns({"equal": equal, "pairs": F.coalesce(pairs, F.array().cast(PAIRS))}), of_items, size, similarity)
+        loose = ~dense("item_slots", size)
+        places = {COPY: F.lit(True), PLAIN: loose}
+        total = sought.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_all"), *[F.count_distinct(F.when(c, F.col("item_at"))).alias(f"n{r}") for r, c in places.items()])
+        total = total.select("item_id", "n_all", F.inline(F.array(*[F.struct(F.lit(r).alias("reading"), F.col(f"n{r}").alias("n_read")) for r in places])))
+        readings = F.array_compact(F.array(F.when(equal, F.lit(COPY)), F.when(loose, F.lit(PLAIN))))
+        hits = hits.withColumns({"equal": equal, "pairs": F.coalesce(pairs, F.array().cast(PAIRS)), "readings": readings}).filter(F.size("readings") > 0)
+        judged = judge(hits, F.broadcast(total) if blocks <= 1 else total, size, similarity)
         out = out.unionByName(judged.select(*out.columns))
     return out
 

@@ -242,6 +242,15 @@ def test_decontamination_judges_each_occurrence(spark):
     agree([(r["doc_id"], r["kind"]) for r in got], [(1, "reworked"), (2, "reworked"), (3, "reworked"), (5, "reworked")])
 
 
+def test_decontamination_finds_copies_of_dense_items(spark):
+    items = [(1, "3 + 4 * 5 - 6 / 2 = 8 + 9 - 1"), (2, "Anna Bert, Carl Dora, Emil Fritz, Gina Hans"), (3, "room 12"),
+             (4, "what is the next number of the series 2 3 5 7 11 13 17 19 23 29 31 37")]
+    rows = [(1, "solve 3 + 4 * 5 - 6 / 2 = 8 + 9 - 1 now"), (2, "we saw Anna Bert, Carl Dora, Emil Fritz, Gina Hans there"), (3, "go to room 12 or room 14"),
+            (4, items[3][1]), (11, "solve 3 + 4 * 5 - 7 / 2 = 9 + 9 - 1 now"), (13, "room 13"), (14, "what is the next number of the series 4 6 8 9 10 12 14 15 16 18 20 21")]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    agree([(r["doc_id"], r["item_id"], r["kind"]) for r in got], [(1, 1, "copy"), (2, 2, "copy"), (3, 3, "copy"), (4, 4, "copy"), (14, 4, "reworked")])
+
+
 def test_language_id(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = QUERIES["op10_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
