@@ -7,13 +7,16 @@ the values of both sides are compared: windows with equal values count as they a
 one occurrence gives one item value one value of its own throughout (the slots are consistent). Windows of fewer than
 two plain words are found with equal values only: they count for copies, and are left out where other values are allowed.
 
+A capital in mid-sentence makes a name. Where it opens a sentence, line or quotation, it may be that of a plain word or of a name: windows
+that hold such a word are made both ways, and items are judged in two readings, with these words plain and as names.
+
 The benchmark is the stated query set. Its windows are joined in blocks of ``BLOCK_ROWS`` rows, each of a known size and so
 broadcast; the documents are scanned in place, and only matches are shuffled, by document and item.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.session import materialise
@@ -25,18 +28,20 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l gal ms s sec min h hr hrs ho
          "mph kph hz khz mhz ghz w kw mw v kv a j kj cal kcal pa kpa bar usd eur gbp dollar dollars euro euros cent cents percent "
          "meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms liter liters litre litres second seconds minute minutes")
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
-FIRST_PLAIN = "\x04"
+INITIAL = "\x04"  # a word that has a capital perhaps only because of its place
+FIRST_PLAIN = "\x05"
 PAIRS = "array<struct<i:string,d:string>>"
-COPY, PLAIN = 0, 1  # readings of the windows
+COPY, PLAIN, NAMED = 0, 1, 2  # readings of the windows
 
 
 def marked_words(rows: DataFrame, text_col: str = "text", out: str = "w") -> DataFrame:
     """``rows`` with its text replaced by words in lower case, parted by anything that is no letter or digit; a placeholder carries
     its mark in front of the value. Texts without digits, most of them, take a plainer pattern."""
     text = F.col(text_col)
-    marks = NUMBER + NAME + UNIT
-    clean = F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "   ")).otherwise(text)
-    named = F.lower(F.regexp_replace(clean, r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", NAME))
+    marks = NUMBER + NAME + UNIT + INITIAL
+    clean = F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, " " * len(marks))).otherwise(text)
+    capital = F.regexp_replace(clean, r"\p{Lu}(?=\p{Ll})(?<![\p{L}\p{N}]\p{Lu})", INITIAL + "$0")
+    named = F.lower(F.regexp_replace(capital, rf"{INITIAL}(?<=[\p{{Ll}}\p{{N}},;:] {INITIAL})", NAME))
     units = "|".join(sorted(UNITS.split(), key=len, reverse=True))
     number = r"([0-9]+(?:[.,][0-9]+)*)(?: ?(?:(%)|(" + units + r"))(?![\p{L}\p{N}]))?"
     counted = F.regexp_replace("named", number, f" {NUMBER}$1 {UNIT}$2$3 ")
@@ -51,30 +56,46 @@ def dense(slots: str, size: int) -> Column:
 
 
 def windows_of(rows: DataFrame, size: int, *keep: str) -> DataFrame:
-    """``h, at, slots`` of every window: template hash, place, and the placeholders' values (null where there are none). The hash
-    of a dense window, one of fewer than two plain words, covers its values too.
+    """``h, at, slots, named`` of every window: template hash, place, the placeholders' values (null where there are none), and whether
+    words that open a sentence are taken for names, in windows that hold some and so are made both ways. The hash of a dense window,
+    one of fewer than two plain words, covers its values too.
 
     Each step is a column that the next uses more than once, so the planner keeps it out of the per-window expressions.
     """
-    template = F.transform("w", lambda w: F.xxhash64(F.when(w < FIRST_PLAIN, F.substring(w, 1, 1)).otherwise(w)))
-    slotted = F.exists("w", lambda w: w < FIRST_PLAIN)
-    words = marked_words(rows.select(*keep, "text")).select(*keep, "w", template.alias("t"), slotted.alias("slotted"))
-    hashed = lambda x, i: F.xxhash64(x, *[F.get("t", i + k) for k in range(1, size)])
+    code = lambda w: F.when(w < INITIAL, F.substring(w, 1, 1)).when(w < FIRST_PLAIN, F.substring(w, 2, 1 << 20)).otherwise(w)
+    template = F.transform("w", lambda w: F.xxhash64(code(w)))
+    slotted = F.exists("w", lambda w: w < INITIAL)
+    words = marked_words(rows.select(*keep, "text")).select(*keep, "w", template.alias("t"), slotted.alias("slotted"), F.size("w").alias("n"))
+    initial = F.array_compact(F.transform("w", lambda w, i: F.when((w >= INITIAL) & (w < FIRST_PLAIN), i)))
+    words = words.select("*", initial.alias("initial"))
+    name = lambda w: (w >= INITIAL) & (w < FIRST_PLAIN)
+    as_names = F.when(F.size("initial") > 0, F.transform("w", lambda w: F.when(name(w), F.translate(w, INITIAL, NAME)).otherwise(w)))
+    codes = F.when(F.size("initial") > 0, F.zip_with("w", "t", lambda w, t: F.when(name(w), F.xxhash64(F.lit(NAME))).otherwise(t)))
+    starts = F.array_distinct(F.flatten(F.transform("initial", lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, F.col("n") - size)))))
+    words = words.select("*", as_names.alias("wn"), codes.alias("tn"), F.when((F.col("n") >= size) & (F.size("initial") > 0), starts).alias("starts"))
+    hashed = lambda t, i: F.xxhash64(*[F.get(t, i + k) for k in range(size)])
+    values = lambda w, i: F.filter(F.slice(w, i + 1, size), lambda x: x < INITIAL)
+    window = lambda h, i, slots, named: F.struct(h.alias("h"), (i + 1).alias("at"), slots.alias("slots"), F.lit(named).alias("named"))
     none = F.lit(None).cast("array<string>")
-    plain = F.transform("t", lambda x, i: F.struct(hashed(x, i).alias("h"), (i + 1).alias("at"), none.alias("slots")))
-    mixed = F.transform("t", lambda x, i: F.struct(hashed(x, i).alias("h"), (i + 1).alias("at"),
-                                                   F.filter(F.slice("w", i + 1, size), lambda w: w < FIRST_PLAIN).alias("slots")))
-    each = words.select(*keep, F.size("w").alias("n"), F.inline(F.when(F.col("slotted"), mixed).otherwise(plain))).filter(F.col("at") <= F.col("n") - (size - 1))
+    plain = F.transform("t", lambda x, i: window(hashed("t", i), i, none, False))
+    mixed = F.transform("t", lambda x, i: window(hashed("t", i), i, values("w", i), False))
+    both = F.transform("starts", lambda i: window(hashed("tn", i), i, values("wn", i), True))
+    made = F.when(F.col("slotted"), mixed).otherwise(plain)
+    made = F.when(F.col("starts").isNotNull(), F.concat(made, both)).otherwise(made)
+    each = words.select(*keep, "n", F.inline(made)).filter(F.col("at") <= F.col("n") - (size - 1))
     h = F.when(dense("slots", size), F.xxhash64("h", "slots")).otherwise(F.col("h"))
-    return each.select(*keep, h.alias("h"), "at", F.when(F.size("slots") > 0, F.col("slots")).alias("slots"))
+    return each.select(*keep, h.alias("h"), "at", F.when(F.size("slots") > 0, F.col("slots")).alias("slots"), "named")
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
     """The windows of the items. A passage may go on in mid-sentence where a capital counts as a name, so an item's first window is
     also made as if a word stood before it."""
-    as_is = windows_of(items, size, "item_id").select("item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    inside = windows_of(items.withColumn("text", F.concat(F.lit("a "), F.ltrim("text"))), size, "item_id").filter("at = 2")
-    return as_is.unionByName(inside.select("item_id", "h", F.lit(1).alias("item_at"), F.col("slots").alias("item_slots"))).distinct()
+    as_is = windows_of(items, size, "item_id").select("item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("named").alias("item_named"))
+    inside = windows_of(items.withColumn("text", F.concat(F.lit("a "), F.ltrim("text"))), size, "item_id").filter("at = 2 and not named")
+    made = as_is.unionByName(inside.select("item_id", "h", F.lit(1).alias("item_at"), F.col("slots").alias("item_slots"), F.col("named").alias("item_named")))
+    made = made.groupBy("item_id", "h", "item_at", "item_slots").agg(F.min("item_named").alias("item_named"))
+    # a window that is dense with names for all its capitals is left out where they are names
+    return made.withColumn("item_loose", ~F.max(dense("item_slots", size)).over(Window.partitionBy("item_id", "item_at")))
 
 
 def consistent(pairs: Column) -> Column:
@@ -95,7 +116,7 @@ def judge(hits: DataFrame, total: DataFrame, size: int, similarity: float) -> Da
     key = ["doc_id", "item_id", "reading"]
     hits = hits.withColumn("reading", F.explode("readings")).withColumn("pairs", F.when(F.col("reading") == COPY, F.array().cast(PAIRS)).otherwise(F.col("pairs")))
     found = hits.groupBy(*key, "part", (F.col("at") - F.col("item_at")).alias("shift"), "item_at").agg(
-        F.max("equal").alias("equal"), F.min_by("pairs", F.size("pairs")).alias("pairs"))
+        F.max("equal").alias("equal"), F.max_by("pairs", F.size("pairs")).alias("pairs"))
     lines = found.groupBy(*key, "part", "shift").agg(F.collect_list(F.struct("item_at", "equal", "pairs")).alias("found"))  # as long as an item at most
     lines = materialise(lines.withColumns({"n": F.size("found"), "all_pairs": F.array_distinct(F.flatten(F.col("found")["pairs"]))}), "leak-lines")
     single = lines.select(*key, "part", "shift", "n", F.explode("found").alias("f")).select(*key, "part", "shift", "n", "f.*")
@@ -157,10 +178,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         equal = F.col("slots").eqNullSafe(F.col("item_slots"))
         pairs = F.when(F.col("slots").isNotNull(), F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
         loose = ~dense("item_slots", size)
-        places = {COPY: F.lit(True), PLAIN: loose}
+        places = {COPY: F.lit(True), PLAIN: loose & ~F.col("item_named"), NAMED: F.col("item_loose")}
         total = sought.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_all"), *[F.count_distinct(F.when(c, F.col("item_at"))).alias(f"n{r}") for r, c in places.items()])
         total = total.select("item_id", "n_all", F.inline(F.array(*[F.struct(F.lit(r).alias("reading"), F.col(f"n{r}").alias("n_read")) for r in places])))
-        readings = F.array_compact(F.array(F.when(equal, F.lit(COPY)), F.when(loose, F.lit(PLAIN))))
+        readings = F.array_compact(F.array(F.when(equal, F.lit(COPY)), F.when(loose & ~F.col("item_named") & ~F.col("named"), F.lit(PLAIN)),
+                                           F.when(F.col("item_loose"), F.lit(NAMED))))
         hits = hits.withColumns({"equal": equal, "pairs": F.coalesce(pairs, F.array().cast(PAIRS)), "readings": readings}).filter(F.size("readings") > 0)
         judged = judge(hits, F.broadcast(total) if blocks <= 1 else total, size, similarity)
         out = out.unionByName(judged.select(*out.columns))

@@ -251,6 +251,18 @@ def test_decontamination_finds_copies_of_dense_items(spark):
     agree([(r["doc_id"], r["item_id"], r["kind"]) for r in got], [(1, 1, "copy"), (2, 2, "copy"), (3, 3, "copy"), (4, 4, "copy"), (14, 4, "reworked")])
 
 
+def test_decontamination_takes_sentence_openers_for_names(spark):
+    item = "Tom has 5 apples in the bag. Tom gives 3 apples to the girl. How many apples are left?"
+    redo = item.replace("Tom", "Anna")
+    rows = [(1, redo), (2, "Here it is: " + redo), (3, '"' + redo + '"'), (4, item.lower()), (5, item.replace("Tom gives", "Anna gives")), (6, "so " + item), (7, words(1, 80))]
+    other = "The cat sat on the warm mat by the old door. The dog ran over the wide green field to the small river and slept there"
+    rows += [(8, other.replace("The cat", "A cat"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    got = decontaminate.find_leaks(docs, bench).collect()
+    agree([(r["doc_id"], r["item_id"], r["kind"]) for r in got], [(1, 1, "reworked"), (2, 1, "reworked"), (3, 1, "reworked"), (4, 1, "copy"), (6, 1, "copy"), (8, 2, "copy")])
+
+
 def test_language_id(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = QUERIES["op10_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
