@@ -3,12 +3,13 @@
 1. Voters. A written lexicon of insults (``INSULTS``) votes whatever the labels say. From a bounded sample of labelled rows
    (``MAX_ROWS``; half of each class where there are enough) words and word beginnings that the toxic class favours become
    further lexicon voters; shouting, repeated marks and the lack of any lexicon hit are pattern voters. A voter votes or abstains.
-2. Label model. Over the sample and as many unlabelled rows, EM estimates the prior and, for each voter, how often it
+2. Label model. Over the vote patterns of every row, labelled or not, counted on the executors, EM estimates the prior and, for each voter, how often it
    votes in either class; labelled rows start it off. Voters that go together within a class are correlated: the
    residuals' correlations give each voter a weight of one over the votes it shares, so that ten voters for one
    word count as one.
-3. Classifier. Logistic regression on the posteriors, over the same vocabulary and the patterns; its intercept is moved
-   so that 0.7 parts the posterior classes best.
+3. Classifier. Logistic regression on the posteriors of the sample and of about half as many unlabelled rows, over the same vocabulary and
+   the patterns; its intercept is moved so that 0.7 parts the posterior classes of all rows best. Written insults
+   that these rows lack get the mean weight of those they have.
 
 Scoring needs no shuffle: the model is a small dictionary, and every row's whole text is read once.
 """
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .langid import held_out
 from .rows import chunks
 
@@ -109,41 +111,109 @@ def pick_voters(sets: list[set[str]], y: np.ndarray) -> list[str]:
     return out[:VOTERS]
 
 
+def outweighed(clean, toxic):
+    """Whether a share of class 1 is less than three times that of class 0; two shares of zero are not."""
+    return 3 * clean > toxic
+
+
 def contradicted(term: str, sets: list[set[str]], y: np.ndarray) -> bool:
     """Whether labelled rows of class 1 have the term less than three times as often as those of class 0, as with a word that is
     harmless in another language. A term that no row of class 0 has is not contradicted."""
     has = np.array([term in s for s in sets])
-    return bool(3 * has[y == 0].mean() > has[y == 1].mean())
+    return bool(outweighed(has[y == 0].mean(), has[y == 1].mean()))
+
+
+def voted(text: str, at: dict[str, int]) -> list[int]:
+    """The voters of ``at`` that vote for a text, in ascending order; shouting and marks are the last two."""
+    out = [k for t in terms(text) if (k := at.get(t)) is not None]
+    return sorted(out) + [len(at)] * bool(SHOUT.search(text)) + [len(at) + 1] * bool(MARKS.search(text))
+
+
+def vote_patterns(rows: DataFrame, marks: DataFrame, voters: list[str]) -> DataFrame:
+    """``pattern, y, n``: how many rows of ``id, text`` have these votes and label (-1: none)."""
+    at = {t: k for k, t in enumerate(voters)}
+
+    def run(batches):
+        for batch in chunks(batches, "text"):
+            found = pa.array([voted(t, at) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), found], names=["id", "pattern"])
+
+    marked = rows.mapInArrow(run, "id long, pattern array<int>").join(marks, "id", "left")
+    return materialise(marked.groupBy("pattern", F.coalesce(F.col("y").cast("int"), F.lit(-1)).alias("y")).agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
+
+
+@dataclass(frozen=True)
+class LabelModel:
+    """Posteriors of vote patterns. ``kept`` are the voters in use; the last voter, for the lack of any lexicon hit, is implied."""
+
+    kept: np.ndarray
+    base: float = 0.0
+    gain: np.ndarray | None = None
+
+    def matrix(self, patterns: list[list[int]]) -> np.ndarray:
+        v = np.zeros((len(patterns), len(self.kept) + 1))
+        for i, pattern in enumerate(patterns):
+            v[i, pattern] = 1.0
+        v[:, :-1] *= self.kept
+        v[:, -1] = 1.0 - v[:, :-3].max(axis=1, initial=0.0)
+        return v
+
+    def posterior(self, v: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if self.gain is None:
+            return np.where(y == 1, 0.98, np.where(y == 0, 0.02, 0.1))
+        z = self.base + v @ self.gain + np.where(y == 1, 2.0, np.where(y == 0, -2.0, 0.0))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def sums(patterns: DataFrame, model: LabelModel, of, size: int) -> np.ndarray:
+    """The sum over all patterns of ``of(v, y, q, n)``, an array of ``size`` numbers for each step of rows."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                v, y = model.matrix(part.column("pattern").to_pylist()), part.column("y").to_numpy()
+                total += of(v, y, model.posterior(v, y), part.column("n").to_numpy().astype(np.float64))
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k], pa.float64())], names=["k", "x"])
+
+    out = np.zeros(size)
+    for r in patterns.mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toArrow().to_pylist():
+        out[r["k"]] = r["x"]
+    return out
 
 
-def votes(texts: list[str], sets: list[set[str]], voters: list[str]) -> np.ndarray:
-    lex = np.array([[t in s for t in voters] for s in sets], np.float64).reshape(len(sets), len(voters))
-    shout = np.array([[bool(SHOUT.search(t)), bool(MARKS.search(t))] for t in texts], np.float64).reshape(len(texts), 2)
-    return np.hstack([lex, shout, 1.0 - lex.max(axis=1, initial=0.0, keepdims=True)])
+def label_model(patterns: DataFrame, kept: np.ndarray, rounds: int = 15) -> LabelModel:
+    """EM over all rows; labelled rows start it off and count on as evidence."""
+    m, model = len(kept) + 1, LabelModel(kept)
+    weight = np.ones(m)
 
+    def step(known):
+        def of(v, y, q, n):
+            n = n * (y >= 0) if known else n
+            a = n * q
+            return np.concatenate([[n.sum(), a.sum(), (a * q).sum()], a @ v, n @ v])
+        return of
 
-def label_model(v: np.ndarray, y: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Posterior of class 1 for each row; ``y`` is 0, 1 or -1 (unknown). Labelled rows start EM and count on as evidence."""
-    known = y >= 0
-    q = np.where(known, np.where(y == 1, 0.98, 0.02), 0.1)
-    use, weight = known, np.ones(v.shape[1])
     for i in range(rounds):
-        a, b = q[use], v[use]
-        rate1 = (a @ b + 0.5) / (a.sum() + 1)
-        rate0 = ((1 - a) @ b + 0.5) / ((1 - a).sum() + 1)
-        prior = float(np.clip(a.mean(), 1e-3, 1 - 1e-3))
+        got = sums(patterns, model, step(i == 0), 3 + 2 * m)
+        n, a, aa, s1, s = *got[:3], got[3:3 + m], got[3 + m:]
+        rate1 = (s1 + 0.5) / (a + 1)
+        rate0 = (s - s1 + 0.5) / (n - a + 1)
+        prior = float(np.clip(a / n, 1e-3, 1 - 1e-3))
         if i == 1:  # correlations of what the classes do not explain
-            rest = b - np.outer(a, rate1) - np.outer(1 - a, rate0)
-            scale = np.sqrt((rest ** 2).mean(axis=0)) + 1e-6
-            corr = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
+            both = sums(patterns, model, lambda v, y, q, n: (v.T @ (v * n[:, None])).ravel(), m * m).reshape(m, m)
+            one, zero = np.outer(s1, rate1), np.outer(s - s1, rate0)
+            mixed = np.outer(rate1, rate0)
+            rest = both - one - one.T - zero - zero.T + aa * np.outer(rate1, rate1) + (a - aa) * (mixed + mixed.T) + (n - 2 * a + aa) * np.outer(rate0, rate0)
+            scale = np.sqrt(np.maximum(np.diag(rest), 0) / n) + 1e-6
+            corr = rest / n / np.outer(scale, scale)
             weight = 1 / np.maximum(1.0, np.where(corr > 0.3, corr, 0).sum(axis=1))
-        yes = np.log(rate1 / rate0)
-        no = np.log((1 - rate1) / (1 - rate0))
-        z = np.log(prior / (1 - prior)) + (v * yes + (1 - v) * no) @ weight
-        z += np.where(y == 1, 2.0, np.where(y == 0, -2.0, 0.0))
-        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        use = np.ones(len(v), bool)
-    return q
+        yes, no = np.log(rate1 / rate0) * weight, np.log((1 - rate1) / (1 - rate0)) * weight
+        use = np.append(kept, True)
+        model = LabelModel(kept, float(np.log(prior / (1 - prior)) + no[use].sum()), np.where(use, yes - no, 0.0))
+    return model
 
 
 def logistic(x: np.ndarray, q: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -163,8 +233,9 @@ def logistic(x: np.ndarray, q: np.ndarray, steps: int = 300, ridge: float = 1e-3
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                  lexicon: Sequence[str] = INSULTS) -> ToxicityModel:
-    """A model from labelled rows and as many unlabelled ones. A document with several labels takes the largest; null labels count as
-    none. Without a label of each class every score is 0.5 at most. Words of the lexicon that no row of the sample has do not vote."""
+    """A model from a sample of labelled and unlabelled rows and the vote patterns of all. A document with several labels takes the largest; null labels count as
+    none. Without a label of each class every score is 0.5 at most. Words of the lexicon vote unless the labelled rows of class 1 have
+    them less than three times as often as those of class 0, as with a word that is harmless in another language."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").alias("y")).filter("id is not null and y is not null")
     marks = marks.groupBy("id").agg(F.max("y").alias("y"))
@@ -181,21 +252,38 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     y = np.array([int(r["y"]) for r in labelled] + [-1] * len(unlabelled), int)
     if not ((y == 1).any() and (y == 0).any()):
         return ToxicityModel({}, -2.0, frozenset())
-    sets = [terms(t) for t in texts]
-    written = [t for t in sorted(set(lexicon).intersection(set().union(*sets))) if not contradicted(t, sets, y)]
-    learnt = pick_voters([s for s, k in zip(sets, y) if k >= 0], y[y >= 0])
-    voters = written + [t for t in learnt if t not in written]
-    v = votes(texts, sets, voters)
-    q = label_model(v, y)
+    pool: dict[str, str] = {}  # one string for each term
+    sets = [{pool.setdefault(t, t) for t in terms(r["text"])} for r in labelled]
+    written = sorted({t.lower() for t in lexicon})
+    learnt = pick_voters(sets, y[y >= 0])
+    del sets, pool
+    voters = written + [t for t in learnt if t not in set(written)]
+    size = len(voters) + 2
+    patterns = vote_patterns(rows, marks, voters)
+    everyone = LabelModel(np.ones(size, bool))
+    has = sums(patterns, everyone, lambda v, y, q, n: np.concatenate([np.append((n * (y == k)) @ v, (n * (y == k)).sum()) for k in (0, 1)]), 2 * (size + 2)).reshape(2, -1)
+    of0, of1 = has[0] / max(1, has[0, -1]), has[1] / max(1, has[1, -1])
+    kept = np.ones(size, bool)
+    kept[:len(written)] = ~outweighed(of0, of1)[:len(written)]
+    model = label_model(patterns, kept)
+    at = {t: k for k, t in enumerate(voters)}
+    v = model.matrix([voted(t, at) for t in texts])
     x = v[:, :-1]
-    w, b = logistic(x, q)
-    p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-    want = q >= 0.5
-    # clean rows weigh as in the labels, where they were not halved
-    clean = max(1.0, counts.get(0, 0) / max(1, counts.get(1, 0)) * want.sum() / max(1, (~want).sum()))
-    cuts = np.quantile(p, np.linspace(0.02, 0.999, 400))
-    f1 = [2 * (want & (p >= c)).sum() / (want.sum() + (want & (p >= c)).sum() + clean * (~want & (p >= c)).sum() + 1e-9) for c in cuts]
-    best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
+    w, b = logistic(x, model.posterior(v, y))
+    seen, own = x.any(axis=0), np.arange(size) < len(written)
+    if (own & kept & ~seen).any():  # no evidence of their own
+        like = next((w[k] for k in (own & seen, seen & (np.arange(size) < len(voters))) if k.any()), np.array([np.log(CUT / (1 - CUT)) - b]))
+        w = np.where(own & kept & ~seen, max(0.0, float(like.mean())), w)
+    score = lambda v: 1 / (1 + np.exp(-np.clip(v[:, :-1] @ w + b, -30, 30)))
+    cuts = np.quantile(score(v), np.linspace(0.02, 0.999, 400))
+
+    def parted(v, y, q, n):
+        place = np.searchsorted(cuts, score(v), side="right")
+        return np.concatenate([np.bincount(place, n * (q >= 0.5), len(cuts) + 1), np.bincount(place, n * (q < 0.5), len(cuts) + 1)])
+
+    hit, wrong = (np.cumsum(h[::-1])[::-1] for h in sums(patterns, model, parted, 2 * (len(cuts) + 1)).reshape(2, -1))
+    f1 = 2 * hit[1:] / (hit[0] + hit[1:] + wrong[1:] + 1e-9)
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     cut = float(np.clip(cuts[best[-1]], 1e-4, 1 - 1e-4))
     b += np.log(CUT / (1 - CUT)) - np.log(cut / (1 - cut))
     stems = frozenset(t.split("*")[0] for t in voters if "*" in t)

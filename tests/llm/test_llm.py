@@ -216,6 +216,13 @@ def test_bpe_matches_the_library(spark, odd, none):
     assert bpe.encode_digests(none, PATH).count() == 0
 
 
+def test_toxicity_uses_every_lexicon_word(spark):
+    docs = [(i, f"you {('idiot', 'moron')[i % 2]} " + words(i, 30) if i < 40 else words(i, 30)) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert model.score("you imbecile vermin") > model.score("you table lamp") and model.score("you clown") > model.score("you")
+
+
 def test_decontamination(spark, none):
     item = "In the shop the clerk Anna sold 12 apples for 3 dollars and then sold 12 pears for 5 dollars to the old friend called Bert"
     redo = item.replace("12", "40").replace("Anna", "Greta").replace(" 3 ", " 9 ")
