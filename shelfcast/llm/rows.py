@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,3 +72,22 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+
+
+def numbered(df: DataFrame, order: list[Column], out: str, name: str = "numbered") -> DataFrame:
+    """The stored rows with their place from 0 in the global order: range partitions sorted apart, and an offset for each
+    (one number per partition is all the driver sees)."""
+    part, row = F.shiftright(F.col("__at"), 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    at = df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order)
+    stored_rows = materialise(at.withColumn("__at", F.monotonically_increasing_id()), name)
+    sizes = {r["p"]: r["n"] for r in stored_rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, offsets = 0, []
+    for p in sorted(sizes):
+        offsets.append((p, before))
+        before += sizes[p]
+    if not offsets:
+        return stored_rows.drop("__at").withColumn(out, F.lit(0).cast("long"))
+    spark = df.sparkSession
+    starts = spark.createDataFrame(offsets, "__part long, __start long")
+    return (stored_rows.withColumn("__part", part).join(F.broadcast(starts), "__part")  # a row per partition
+            .withColumn(out, F.col("__start") + row).drop("__at", "__part", "__start"))
