@@ -3,7 +3,7 @@
 1. ``plan``: one row per source with weight, words, target and a quota of blocks. Targets share the words of the mix by
    weight; one that reaches ``most`` times its source's words stops there and the others share the rest.
 2. ``lines``: the documents of a source stand in hashed order in one long line of words, cut into blocks of equal
-   length. Places in the line are running sums over hash buckets of bounded size, so a source of any size is spread out.
+   length. Places in the line are running sums over ranges of the hash that hold few documents, so a source of any size is spread out.
 3. ``draws``: the quotas are the colours of an urn. A node of the tree gives its left half of output shards as many
    blocks as these shards hold, drawn from the multivariate hypergeometric law; at the leaves each shard
    has an exact number of blocks of each source, and the numbers of a source add up to its quota. The
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.session import materialise
 
-from .rows import numbered
+from .rows import numbered, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS = 256, 256, 500_000_000
@@ -159,7 +159,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     plan = plan.withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(widest), F.floor(size / LEAST_BLOCKS))).cast("long"))
     plan = plan.withColumn("n_blocks", F.ceil(size / F.col("block_words")).cast("long"))
     plan = plan.withColumn("quota", F.when(size > 0, F.round(F.col("target") * F.col("n_blocks") / size)).otherwise(0).cast("long"))
-    plan = materialise(plan.withColumn("buckets", F.ceil(F.col("docs") / BUCKET_DOCS).cast("int")), "plan")
+    n_docs = plan.agg(F.sum("docs")).first()[0] or 1
+    most_docs = max(1, min(BUCKET_DOCS, n_docs // (4 * partitions(docs))))  # a quarter of a fair partition at most
+    plan = materialise(plan.withColumn("buckets", F.ceil(F.col("docs") / most_docs).cast("long")), "plan")
 
     facts = plan.select(F.col("source").alias("__source"), "source_no", "source_size", "target", "block_words", "buckets")
     if n_sources <= INLINE_SOURCES:
@@ -169,7 +171,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         spread = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
         known = sized.withColumn("__s", salt).join(spread, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__s") == F.col("__salt"))).drop("__s", "__salt")
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    known = known.drop("__source").withColumn("mixed", mixed).withColumn("bucket", F.pmod("mixed", F.col("buckets")).cast("int"))
+    known = known.drop("__source").withColumn("mixed", mixed)  # buckets are ranges of the hash: the order of a line does not depend on their number
+    known = known.withColumn("bucket", F.shiftright((F.shiftright("mixed", 32) + F.lit(1 << 31)) * F.col("buckets"), 32))
     per = Window.partitionBy("source_no", "bucket").orderBy("mixed", "doc_id", "size")
     placed = known.withColumns({"line": F.row_number().over(per), "before": F.sum("size").over(per.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     sums = known.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
