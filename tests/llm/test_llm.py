@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -216,6 +217,31 @@ def test_bpe_matches_the_library(spark, odd, none):
     assert bpe.encode_digests(none, PATH).count() == 0
 
 
+def test_bpe_takes_long_texts_block_by_block(monkeypatch):
+    lib, vocab = Tokenizer.from_file(PATH), bpe.Vocabulary(PATH)
+    rng = random.Random(8)
+    monkeypatch.setattr(bpe, "TEXT_BLOCK", 50)
+    text = "".join(rng.choice(["the ", "don't", "É", "e\u0301", " \u0301", "\n", "\t", "日本", "Σας ", "3", "!? ", "<|endoftext|>", "ſ", "a" * 90]) for _ in range(3000))
+    ids = lib.encode(text, add_special_tokens=False).ids
+    blocks = [np.frombuffer(b, "<u4").tolist() for b in vocab.pieces(text)]
+    assert len(blocks) > 100 and [i for b in blocks for i in b] == ids
+    decoder = bpe.TextDecoder(vocab, spelled=False)
+    assert "".join(decoder.feed(b) for b in blocks) + decoder.feed((), True) == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_memory_is_bounded():
+    vocab, rng = bpe.vocabulary(PATH), random.Random(1)
+    text = " ".join("".join(rng.choice("etaoinshrdlucmfwypvbgk") for _ in range(rng.randint(3, 12))) for _ in range(250_000))
+    tracemalloc.start()
+    for piece in vocab.pieces(text):
+        assert piece
+    held, peak = tracemalloc.get_traced_memory()
+    assert peak < 60 << 20 and len(vocab.new) + len(vocab.old) <= 2 * bpe.WORDS_KEPT
+    vocab.forget()
+    assert tracemalloc.get_traced_memory()[0] < 2 << 20 < held
+    tracemalloc.stop()
+
+
 def test_toxicity_uses_every_lexicon_word(spark):
     docs = [(i, f"you {('idiot', 'moron')[i % 2]} " + words(i, 30) if i < 40 else words(i, 30)) for i in range(240)]
     labels = spark.createDataFrame([(i, int(i < 40)) for i in range(240)], "doc_id long, toxic int")
