@@ -22,7 +22,8 @@ from .rows import chunks, utf8
 
 PER_LANG, MAX_ROWS = 800, 8_000
 BUCKETS, DIM, EPOCHS, BATCH, KEEP = 1 << 13, 16, 12, 64, 0.999
-STEP = 1 << 18  # bytes whose pieces are held at once
+STEP = 1 << 17  # bytes whose pieces are held at once
+KEPT_CHUNK = 1 << 20  # bytes of text that are judged and sent on at once
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -178,9 +179,22 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, text_col: st
 
 
 def keep_languages(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """The rows that are not rejected, with the columns of ``docs`` and their values, however they are named."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("judged"))
-    return predict_languages(rows, model, "judged").filter("not rejected").select("row.*")
+    """The rows that are not rejected, with the columns of ``docs`` and their values, however they are named. Each text goes to
+    the worker once, and only kept rows come back; without a model, or rows, none are."""
+    if model is None:
+        return docs.limit(0)
+    at = f"c{docs.columns.index(text_col)}"
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    schema = rows.schema
+    rows = rows.filter(F.col(at).rlike(r"\p{L}"))  # a null text has no letter either
+
+    def run(batches):
+        for batch in chunks(batches, at, KEPT_CHUNK):
+            p = model.probabilities(*utf8(batch.column(at)))
+            yield batch.filter(pa.array(p.max(axis=1) >= model.reject_below))
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
