@@ -16,6 +16,7 @@ from shelfcast.llm.ngram_join import drop_similar
 from shelfcast.session import materialise
 
 VOCABULARY = "word_bpe_49k.json"
+WORDS_KEPT = 30_000  # the workers of earlier stages are still there: less memory for words than the operator takes alone
 
 #: Learnt and probabilistic stages have no SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -43,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and the digests of ids and of the decoded text."""
-    return encode_digests(docs, public_tokenizers.path(VOCABULARY), with_ids=True)
+    return encode_digests(docs, public_tokenizers.path(VOCABULARY), with_ids=True, words_kept=WORDS_KEPT)
 
 
 STAGES = [
