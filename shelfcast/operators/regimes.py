@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import scalar_quantiles
@@ -16,12 +16,15 @@ def label_stockout_regime(df: DataFrame, threshold: float | None = 1.0) -> DataF
     return df.withColumn("stockout_regime", F.when(high, "high_stockout").otherwise("low_stockout"))
 
 
-def series_mean(column: str = "observed_demand"):
-    return F.avg(column).over(Window.partitionBy("series_id"))
+def series_mean(column: str = "observed_demand", so_far: bool = False) -> Column:
+    """Mean of a row's series; ``so_far`` leaves later rows out."""
+    w = Window.partitionBy("series_id")
+    return F.avg(column).over(w.orderBy("date").rowsBetween(Window.unboundedPreceding, 0) if so_far else w)
 
 
-def label_velocity_regime(df: DataFrame, threshold: float = 1.0) -> DataFrame:
-    fast = series_mean() >= F.lit(threshold)
+def label_velocity_regime(df: DataFrame, threshold: float = 1.0, mean: Column | None = None) -> DataFrame:
+    """Fast from a mean demand of ``threshold`` on; the mean is the series' own unless one is given."""
+    fast = (series_mean() if mean is None else mean) >= F.lit(threshold)
     return df.withColumn("velocity_regime", F.when(fast, "fast_moving").otherwise("slow_moving"))
 
 
@@ -41,7 +44,7 @@ def label_season_regime(df: DataFrame, column: str = "holiday_flag") -> DataFram
 
 
 def label_all_regimes(df: DataFrame, velocity_threshold: float = 1.0,
-                      stockout_threshold: float | None = 1.0) -> DataFrame:
+                      stockout_threshold: float | None = 1.0, mean: Column | None = None) -> DataFrame:
     return (df.transform(label_stockout_regime, stockout_threshold)
-            .transform(label_velocity_regime, velocity_threshold)
+            .transform(label_velocity_regime, velocity_threshold, mean)
             .transform(label_promo_regime).transform(label_season_regime))

@@ -18,7 +18,7 @@ from shelfcast.plans.experiment import run_experiment
 from shelfcast.plans.rolling import run_rolling_origin
 from shelfcast.plans.scoring import score_latest, train_champion
 from shelfcast.sources import store
-from shelfcast.streaming.daily import stream_scoring
+from shelfcast.streaming.daily import score_batch, stored_days, stream_scoring, sums_table
 from shelfcast.streaming.detector import stream_page_hinkley
 from shelfcast.streaming.windows import event_time, lead_time_sums
 
@@ -183,6 +183,44 @@ def test_daily_stream_scores_touched_series(spark, panel, tmp_path):
     assert spark.read.parquet(f"{root}/retrain_events").count() == 1
 
 
+class Lag:
+    """A model without learning: yesterday's demand."""
+
+    model_name, backend_name = "lag", "none"
+
+    def predict(self, rows):
+        return rows.withColumns({"y_pred": F.col("demand_lag_1"), "q_0_1": F.lit(0.0), "q_0_5": F.col("demand_lag_1"), "q_0_9": F.col("demand_lag_1") * 2})
+
+
+def test_daily_state_equals_the_whole_panel(spark, panel, tmp_path):
+    """Batch by batch, run again after a failure, with late rows: each batch scores as ``score_latest`` does on all days so far."""
+    root, cuts = str(tmp_path), [date(2025, 2, 10), date(2025, 3, 1), date(2025, 3, 12)]
+    lo = date(2024, 1, 1)
+    rows = panel.withColumn("observed_demand", F.when(F.col("store_id") != 2, F.col("observed_demand")))
+    for n, hi in enumerate(cuts):
+        batch = rows.where((F.col("date") >= lo) & (F.col("date") < hi) & ((F.col("store_id") != 3) | (F.lit(n) != 1))).drop("series_id")
+        late = rows.where((F.col("store_id") < 3) & (F.col("date") < lo) & (F.col("date") >= lo - timedelta(days=2))).drop("series_id").withColumn("observed_demand", F.lit(99.0))
+        for _ in range(2):  # the second time as after a failure
+            score_batch(batch.unionByName(late), root, Lag(), CFG, 2 * n, buckets=4)
+        so_far = rows.where((F.col("date") < hi) & ((F.col("store_id") != 3) | (F.col("date") < cuts[0]) | (F.lit(n) == 2) & (F.col("date") >= cuts[1])))
+        want = score_latest(so_far, Lag(), CFG, check=False)["predictions"]
+        cols = ["series_id", "date", "prediction_source", "fallback_level", "velocity_regime", "stockout_regime"]
+        got = spark.read.parquet(f"{root}/predictions/batch_id={2 * n}")
+        touched = {r["series_id"] for r in got.collect()}
+        assert touched == ({"1_101", "2_102", "3_103"} if n != 1 else {"1_101", "2_102"})
+        want = want.where(F.col("series_id").isin(list(touched)))
+        assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
+        y = {r["series_id"]: (r["y_pred"], r["order_quantity"]) for r in want.collect()}
+        assert all((r["y_pred"], r["order_quantity"]) == pytest.approx(y[r["series_id"]]) for r in got.collect())
+        lo = hi
+    stored = stored_days(spark, root, 99)
+    assert stored.count() == stored.select("series_id", "date").distinct().count() and stored.where("observed_demand = 99").isEmpty()
+    assert stored_days(spark, root, 99, late=True).where("observed_demand = 99").count() == 8
+    sums = sums_table(spark, root, 4)
+    assert sums.versions() == [2, 4]
+    assert sums.read(5).where("scope = 'global'").first()["demand_n"] == stored.where("observed_demand is not null").count()
+
+
 def test_runs_round_trip(spark, panel, tmp_path):
     root = str(tmp_path / "runs")
     df = spark.createDataFrame([("Observed", "m", "b", 1.0)], "data_strategy string, model_name string, backend_name string, y_pred double")
