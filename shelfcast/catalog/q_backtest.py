@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..models.teacher import train_teacher
 from ..operators import backtest as B
 from ..operators import impute as I
 from ..operators.features import feature_frame, lead_time_target, supervised_frame
+from ..operators.panel import series_window
 from ..plans.experiment import run_experiment
 from ..plans.rolling import run_rolling_origin
 from ..plans.scoring import run_metadata, score_latest, train_champion
@@ -30,45 +33,57 @@ SIM = Settings(
     dataset=DatasetConfig(top_n_series=None),
     features=FeatureConfig(lags=(1, 7), rolling_windows=(28,), include_static_ids=False, include_weather_lags=False,
                            include_discount_lags=False, include_stockout_lags=False),
-    simulation=SimulationConfig(retrain_cadences=(None, 7, 20), simulation_days=56))
-CADENCES = ["never", "every_7d", "every_20d"]
+    simulation=SimulationConfig(retrain_cadences=(None, 1, 7, 20), simulation_days=56))
+
 
+class RatioTrainer:
+    """Forecast = 28-day mean scaled by how demand has run against it so far; all versions come from one pass."""
 
-def ratio_trainer(history: DataFrame):
-    """Forecast = 28-day mean scaled by how demand has run against it so far."""
-    frame, _ = feature_frame(history, SIM.features)
-    y = lead_time_target("observed_demand", H)
-    m = F.col("demand_roll_mean_28") * float(H)
-    pairs = frame.select(y.alias("y"), m.alias("m")).where(F.col("y").isNotNull() & F.col("m").isNotNull())
-    r = pairs.agg((F.sum("y") / F.sum("m")).alias("r")).first()["r"]
+    @staticmethod
+    def fit_versions(panel: DataFrame, cutoffs: dict):
+        """A pair of demand and mean counts for a version if its last day is not after the version's cutoff."""
+        frame, _ = feature_frame(panel, SIM.features)
+        pairs = frame.select(F.lead("date", H - 1).over(series_window()).alias("known"), lead_time_target("observed_demand", H).alias("y"),
+                             (F.col("demand_roll_mean_28") * float(H)).alias("m")).where("y is not null and m is not null")
+        by_day = pairs.groupBy("known").agg(F.sum("y").alias("y"), F.sum("m").alias("m")).collect()  # a row per calendar day
+        scales = []
+        for version, last in cutoffs.items():
+            seen = [r for r in by_day if r["known"] <= last]
+            scales.append((version, math.fsum(r["y"] for r in seen) / math.fsum(r["m"] for r in seen)))
+        table = F.broadcast(panel.sparkSession.createDataFrame(scales, "model_version int, scale double"))
 
-    def score(df: DataFrame) -> DataFrame:
-        mid = F.col("demand_roll_mean_28") * F.lit(float(H) * r)
-        spread = F.col("demand_roll_std_28") * F.lit(H ** 0.5 * Z90)
-        return df.withColumns({"y_pred": mid, "q_0_1": floor0(mid - spread), "q_0_5": mid, "q_0_9": mid + spread})
+        def score(df: DataFrame) -> DataFrame:
+            mid = F.col("demand_roll_mean_28") * (F.lit(float(H)) * F.col("scale"))
+            spread = F.col("demand_roll_std_28") * F.lit(H ** 0.5 * Z90)
+            return df.join(table, "model_version").withColumns({"y_pred": mid, "q_0_1": floor0(mid - spread), "q_0_5": mid, "q_0_9": mid + spread}).drop("scale")
 
-    return score
+        return score
 
 
 def rolling(spark, sf):
     p = materialise(daily_panel(spark, sf), "daily-panel")
-    return run_rolling_origin(p.where(F.col("date") < "1998-05-01"), p.where(F.col("date") >= "1998-05-01"), SIM, ratio_trainer)
+    return run_rolling_origin(p.where(F.col("date") < "1998-05-01"), p.where(F.col("date") >= "1998-05-01"), SIM, RatioTrainer())
 
 
-# 56 decision dates from day 120 on; each cadence serves a version trained at the last retrain day.
+# 56 decision dates from day 120 on; each cadence serves a version trained at the last retrain day. Regimes know the past only.
 cte("sim_features", """SELECT *, CAST(date - DATE '1998-05-01' AS INTEGER) AS day_index,
  CASE WHEN count(*) OVER p=28 THEN avg(observed_demand) OVER p END AS m28, CASE WHEN count(*) OVER p=28 THEN stddev_samp(observed_demand) OVER p END AS s28,
- sum(observed_demand) OVER n AS y7, count(*) OVER n AS n7 FROM daily
+ sum(observed_demand) OVER n AS y7, count(*) OVER n AS n7,
+ CASE WHEN stockout_hours>1 THEN 'high_stockout' ELSE 'low_stockout' END AS stockout_regime,
+ CASE WHEN avg(observed_demand) OVER (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING)>=1 THEN 'fast_moving' ELSE 'slow_moving' END AS velocity_regime,
+ CASE WHEN discount>0 THEN 'on_promotion' ELSE 'baseline_price' END AS promo_regime,
+ CASE WHEN holiday_flag>0 THEN 'peak_holiday' ELSE 'standard_season' END AS seasonal_regime FROM daily
  WINDOW p AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING),
  n AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)""", "daily")
-cte("sim_versions", """SELECT v, sum(y7)/sum(m28*7e0) AS r FROM (SELECT -1 AS v UNION ALL SELECT 7*i+6 FROM range(8) t(i) UNION ALL SELECT 20*i+19 FROM range(2) t(i)) vs
+cte("sim_versions", """SELECT v, sum(y7)/sum(m28*7e0) AS r FROM (SELECT i-1 AS v FROM range(57) t(i)) vs
  JOIN sim_features ON day_index+6<=v WHERE m28 IS NOT NULL AND n7=7 GROUP BY 1""", "sim_features")
 cte("sim_serving", """SELECT 'never' AS cadence, i AS day_index, -1 AS v, FALSE AS retrained_this_step FROM range(56) t(i)
+ UNION ALL SELECT 'every_1d', i, i, TRUE FROM range(56) t(i)
  UNION ALL SELECT 'every_7d', i, CASE WHEN i<6 THEN -1 ELSE ((i+1)//7)*7-1 END, (i+1)%7=0 FROM range(56) t(i)
  UNION ALL SELECT 'every_20d', i, CASE WHEN i<19 THEN -1 ELSE ((i+1)//20)*20-1 END, (i+1)%20=0 FROM range(56) t(i)""", "sim_versions")
 cte("by_day", """SELECT *, greatest(order_quantity-y_true,0e0) AS overstock_units, greatest(y_true-order_quantity,0e0) AS stockout_units,
  greatest(order_quantity-y_true,0e0)+4e0*greatest(y_true-order_quantity,0e0) AS total_cost FROM (SELECT *,
- (q_0_9-q_0_5)/4e-1*(8e-1-5e-1)+q_0_5 AS order_quantity FROM (SELECT s.cadence, s.retrained_this_step, f.day_index, f.date AS decision_date, f.series_id, f.y7 AS y_true,
+ (q_0_9-q_0_5)/4e-1*(8e-1-5e-1)+q_0_5 AS order_quantity FROM (SELECT s.cadence, s.v AS model_version, s.retrained_this_step, stockout_regime, velocity_regime, promo_regime, seasonal_regime, f.day_index, f.date AS decision_date, f.series_id, f.y7 AS y_true,
  m28*(7e0*r) AS y_pred, greatest(m28*(7e0*r)-s28*(sqrt(7e0)*1.2815515655446008e0),0e0) AS q_0_1, m28*(7e0*r) AS q_0_5,
  m28*(7e0*r)+s28*(sqrt(7e0)*1.2815515655446008e0) AS q_0_9, (min(n7) OVER (PARTITION BY f.date))>=7 AS actuals_complete
  FROM sim_features f JOIN sim_serving s ON s.day_index=f.day_index JOIN sim_versions USING (v)))""", "sim_features", "sim_serving", "sim_versions")
@@ -76,7 +91,7 @@ _GRID = "SELECT * FROM by_day WHERE day_index%7=0 AND actuals_complete"
 
 
 @query("rolling_origin_backtest", "cadence @decision_date #day_index series_id ~y_true ~y_pred ~q_0_1 ~q_0_9 ~order_quantity ~total_cost "
-       "#actuals_complete #retrained_this_step", "E10 J05 J11 J12 T06", "by_day", "SELECT * FROM by_day", digits=5)
+       "#actuals_complete #retrained_this_step #model_version stockout_regime velocity_regime promo_regime seasonal_regime", "E10 J05 J11 J12 T06", "by_day", "SELECT * FROM by_day", digits=5)
 def _(spark, sf):
     return rolling(spark, sf).predictions_by_day
 
@@ -91,7 +106,7 @@ def _(spark, sf):
        sql=f"""SELECT cadence, count(DISTINCT decision_date) AS n_origins, count(*) AS n_observations, sum(total_cost) AS total_cost,
  sum(total_cost)/count(*) AS mean_cost_per_observation, sum(stockout_units) AS total_stockout_units, sum(overstock_units) AS total_overstock_units,
  sum(y_true-stockout_units)/sum(y_true) AS fill_rate, avg(CASE WHEN stockout_units=0 THEN 1e0 ELSE 0e0 END) AS service_level,
- CASE cadence WHEN 'never' THEN 0 WHEN 'every_7d' THEN 8 ELSE 2 END AS n_retrains FROM ({_GRID}) GROUP BY 1""")
+ CASE cadence WHEN 'never' THEN 0 WHEN 'every_1d' THEN 56 WHEN 'every_7d' THEN 8 ELSE 2 END AS n_retrains FROM ({_GRID}) GROUP BY 1""")
 def _(spark, sf):
     return rolling(spark, sf).cadence_summary
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import InventoryConfig
@@ -55,15 +55,35 @@ def origin_rows(features: DataFrame, names: Sequence[str], panel: DataFrame, dat
                                 F.when(cold, F.col("fallback_target_lead_time_demand"))})
 
 
-def score_versions(origins: DataFrame, versions: Sequence[tuple[str, int, int, Scorer]],
-                   retrained: dict[str, list[int]]) -> DataFrame:
-    """Score each (cadence, first day, last day, model); a model serves the days until the next retrain."""
-    parts = []
-    for label, first, last, scorer in versions:
-        rows = origins.where(F.col("day_index").between(first, last))
-        parts.append(scorer(rows).withColumns({
-            "cadence": F.lit(label), "retrained_this_step": F.col("day_index").isin(retrained.get(label, []))}))
-    return union_all(*parts)
+def serving_table(spark: SparkSession, n_days: int, cadences: Sequence[int | None]) -> DataFrame:
+    """``cadence, day_index, model_version, retrained_this_step``: the model that each cadence serves on each day.
+
+    A version is the day on which it was trained, -1 for the first model. As many rows as cadences times days.
+    """
+    rows = []
+    for k in cadences:
+        days, version = set(retrain_days(n_days, k)), -1
+        for day in range(n_days):
+            version = day if day in days else version
+            rows.append((cadence_label(k), day, version, day in days))
+    return spark.createDataFrame(rows, "cadence string, day_index int, model_version int, retrained_this_step boolean")
+
+
+def score_versions(origins: DataFrame, serving: DataFrame, scorer: Scorer | dict[int, Scorer]) -> DataFrame:
+    """Every origin under every cadence, scored by the version that serves on its day.
+
+    A single ``scorer`` knows all versions by the column ``model_version``: the origins meet the serving table by day and are
+    read once, whatever the number of versions. Scorers by version each read the days that their version serves in any
+    cadence, and score an origin once for all cadences that share it; keep the origins partitioned by day for that.
+    """
+    calendar = F.broadcast(serving)  # a row per cadence and day
+    if not isinstance(scorer, dict):
+        return scorer(origins.join(calendar, "day_index"))
+    days: dict[int, set[int]] = {}
+    for r in serving.select("model_version", "day_index").distinct().collect():
+        days.setdefault(r["model_version"], set()).add(r["day_index"])
+    parts = [scorer[v](origins.where(F.col("day_index").isin(sorted(d)))).withColumn("model_version", F.lit(v)) for v, d in sorted(days.items())]
+    return union_all(*parts).join(calendar, ["day_index", "model_version"])
 
 
 def cost_origins(scored: DataFrame, eval_panel: DataFrame, dates: Sequence[date], horizon: int,

@@ -58,11 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, columnar, of known size.
 
-    For a frame that several later steps read; the files outlive any executor.
+    For a frame that several later steps read; the files outlive any executor. With ``partition_by``, readers of some
+    values of that column open their files only.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*([partition_by] if partition_by else [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,12 +11,14 @@ from shelfcast.models.boost import train_boost
 from shelfcast.models.conformal import ConformalModel, boost_trainer, fit_and_calibrate, forest_trainer
 from shelfcast.models.forest import train_forest
 from shelfcast.models.teacher import train_teacher
+from shelfcast.operators import backtest as B
 from shelfcast.operators import impute as I
 from shelfcast.operators.drift import page_hinkley
 from shelfcast.operators.features import supervised_frame
 from shelfcast.plans.experiment import run_experiment
-from shelfcast.plans.rolling import run_rolling_origin
+from shelfcast.plans.rolling import champion_trainer, run_rolling_origin
 from shelfcast.plans.scoring import score_latest, train_champion
+from shelfcast.session import materialise
 from shelfcast.sources import store
 from shelfcast.streaming.daily import score_batch, stored_days, stream_scoring, sums_table
 from shelfcast.streaming.detector import stream_page_hinkley
@@ -130,6 +132,52 @@ def test_rolling_origin_uses_the_row_of_the_day(spark, panel, tmp_path):
     assert spark.read.json(f"{root}/retrain_events").first()["cadence"] == "every_7d"
 
 
+def test_versions_meet_origins_in_one_scan(spark, panel):
+    """One scorer for all versions reads the origins once; scorers by version open the days that they serve only."""
+    days = [date(2025, 2, 20) + timedelta(days=i) for i in range(12)]
+    origins = panel.where(F.col("date").isin(days)).withColumn("day_index", F.datediff("date", F.lit(days[0])))
+    origins = materialise(origins, "origins", partition_by="day_index")
+    serving = B.serving_table(spark, 12, [None, 1, 5])
+    assert serving.count() == 36 and serving.where("cadence = 'every_5d' and model_version = 9").count() == 3
+    one = B.score_versions(origins, serving, lambda df: df.withColumn("y_pred", F.col("model_version") * 1.0))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "NestedLoop" not in plan
+    read = []
+
+    def scorer(v):
+        def score(df):
+            read.append((v, sorted(r[0] for r in df.select("day_index").distinct().collect()), df._jdf.queryExecution().executedPlan().toString()))
+            return df.withColumn("y_pred", F.lit(float(v)))
+        return score
+
+    each = B.score_versions(origins, serving, {v: scorer(v) for v in range(-1, 12)})
+    key = ["cadence", "day_index", "series_id", "y_pred", "model_version", "retrained_this_step"]
+    assert sorted(map(tuple, one.select(*key).collect())) == sorted(map(tuple, each.select(*key).collect())) and one.count() == 36 * 3
+    assert all("PartitionFilters: [" in plan and "PartitionFilters: []" not in plan for _, _, plan in read)
+    assert {v: d for v, d, _ in read}[4] == [4, 5, 6, 7, 8] and {v: d for v, d, _ in read}[3] == [3]
+
+
+def test_rolling_champion_and_causal_regimes(panel):
+    cut = date(2025, 2, 25)
+    slow = panel.withColumn("observed_demand", F.when((F.col("store_id") == 2) & (F.col("date") < cut), 0.0).otherwise(F.col("observed_demand")))
+    run = run_rolling_origin(slow.where(F.col("date") < cut), slow.where(F.col("date") >= cut), CFG, champion_trainer(CFG, forest_trainer(2, 2)))
+    out = run.predictions_by_day
+    assert out.where("y_pred is null or q_0_1 > q_0_5 or q_0_5 > q_0_9").isEmpty() and out.count() == 2 * 10 * 3
+    assert {(r["cadence"], r["model_version"]) for r in out.select("cadence", "model_version").distinct().collect()} == {("never", -1), ("every_7d", -1), ("every_7d", 6)}
+    labels = {(r["day_index"], r["velocity_regime"]) for r in out.where("series_id = '2_102'").collect()}
+    assert (0, "slow_moving") in labels and (9, "fast_moving") in labels
+
+
+def test_listed_dates_between():
+    from shelfcast.operators.features import listed_between
+    from pyspark.sql import SparkSession
+    spark, days = SparkSession.getActiveSession(), [date(2025, 1, 1), date(2025, 1, 2), date(2025, 1, 9), date(2025, 2, 1)]
+    around = [date(2024, 12, 25) + timedelta(days=i) for i in range(50)]
+    df = spark.createDataFrame([(a, b) for a in around for b in around[::3]], "a date, b date")
+    for r in df.withColumn("got", listed_between(days[::-1], F.col("a"), F.col("b"))).collect():
+        assert (r["got"] or []) == [d for d in days if r["a"] <= d < r["b"]]
+
+
 def stream_of(spark, df, path):
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
