@@ -6,6 +6,7 @@ bigint, ``@x`` a string; a bare name is taken as it is.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -72,8 +73,10 @@ def query(name: str, spec: str, ids: str, needs: str = "", sql: str | None = Non
         text = None
         if sql is not None:
             names = _ordered(tuple(needs.split()), [])
-            parts = [f"{n} AS ({CTES[n][0]})" for n in names] + [f"answer AS ({sql})"]
-            recursive = "RECURSIVE " if "RECURSIVE" in sql or any("UNION ALL" in CTES[n][0] for n in names) else ""
+            # a table read twice is computed once: sums of two copies may differ in the last digit
+            itself = {n for n in names if re.search(rf"\b(FROM|JOIN) {n}\b", CTES[n][0])}
+            parts = [f"{n} AS {'' if n in itself else 'MATERIALIZED '}({CTES[n][0]})" for n in names] + [f"answer AS ({sql})"]
+            recursive = "RECURSIVE " if itself else ""
             text = f"WITH {recursive}" + ",\n".join(parts) + f"\nSELECT {shape_sql(spec, digits)} FROM answer"
         REGISTRY[name] = Query(lambda spark, sf: shape(fn(spark, sf), spec, digits), text, tuple(ids.split()))
         return fn

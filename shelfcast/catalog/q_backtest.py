@@ -231,25 +231,27 @@ def _(spark, sf):
     return I.imputation_quality(p, 42, ["supervised", *I.CLOSED_FORM], teacher)
 
 
-@query("policy_frontier", "data_strategy model_name ~order_scale ~total_cost ~service_level ~fill_rate #is_on_front", "E12", "costed", digits=4,
-       sql="""SELECT a.*, NOT EXISTS (SELECT 1 FROM (G) b WHERE b.data_strategy=a.data_strategy AND b.total_cost<=a.total_cost AND b.service_level>=a.service_level
- AND b.fill_rate>=a.fill_rate AND (b.total_cost<a.total_cost OR b.service_level>a.service_level OR b.fill_rate>a.fill_rate)) AS is_on_front FROM (G) a""".replace(
-           "(G)", """(SELECT data_strategy, model_name, k AS order_scale, sum(greatest(order_quantity*k-y_true,0e0)+4e0*greatest(y_true-order_quantity*k,0e0)) AS total_cost,
- avg(CASE WHEN y_true-order_quantity*k<=0 THEN 1e0 ELSE 0e0 END) AS service_level, 1e0-sum(greatest(y_true-order_quantity*k,0e0))/sum(y_true) AS fill_rate
- FROM costed CROSS JOIN (VALUES (8e-1),(9e-1),(1e0),(11e-1),(12e-1)) v(k) GROUP BY 1, 2, 3)"""))
+cte("policies", """SELECT data_strategy, model_name, k AS order_scale, round(sum(greatest(order_quantity*k-y_true,0e0)+4e0*greatest(y_true-order_quantity*k,0e0)), 6) AS total_cost,
+ round(avg(CASE WHEN y_true-order_quantity*k<=0 THEN 1e0 ELSE 0e0 END), 6) AS service_level, round(1e0-sum(greatest(y_true-order_quantity*k,0e0))/sum(y_true), 6) AS fill_rate
+ FROM costed CROSS JOIN (VALUES (8e-1),(9e-1),(1e0),(11e-1),(12e-1)) v(k) GROUP BY 1, 2, 3""", "costed")
+cte("trials", """SELECT series_id, round(avg(abs(y_pred-y_true)),6) AS mae, round(avg(q_0_9-q_0_1),6) AS width FROM forecasts WHERE model_name='rolling_normal' GROUP BY 1""", "forecasts")
+
+
+@query("policy_frontier", "data_strategy model_name ~order_scale ~total_cost ~service_level ~fill_rate #is_on_front", "E12", "policies", digits=4,
+       sql="""SELECT a.*, NOT EXISTS (SELECT 1 FROM policies b WHERE b.data_strategy=a.data_strategy AND b.total_cost<=a.total_cost AND b.service_level>=a.service_level
+ AND b.fill_rate>=a.fill_rate AND (b.total_cost<a.total_cost OR b.service_level>a.service_level OR b.fill_rate>a.fill_rate)) AS is_on_front FROM policies a""")
 def _(spark, sf):
     return U.policy_frontier(costed_forecasts(spark, sf), [0.8, 0.9, 1.0, 1.1, 1.2])
 
 
-@query("trial_front", "series_id ~mae ~width #is_on_front", "E12 L10", "forecasts",
-       """SELECT a.*, NOT EXISTS (SELECT 1 FROM (G) b WHERE b.mae<=a.mae AND b.width<=a.width AND (b.mae<a.mae OR b.width<a.width)) AS is_on_front FROM (G) a""".replace(
-           "(G)", """(SELECT series_id, round(avg(abs(y_pred-y_true)),6) AS mae, round(avg(q_0_9-q_0_1),6) AS width FROM forecasts WHERE model_name='rolling_normal' GROUP BY 1)"""))
+@query("trial_front", "series_id ~mae ~width #is_on_front", "E12 L10", "trials",
+       "SELECT a.*, NOT EXISTS (SELECT 1 FROM trials b WHERE b.mae<=a.mae AND b.width<=a.width AND (b.mae<a.mae OR b.width<a.width)) AS is_on_front FROM trials a")
 def _(spark, sf):
     from .frames import forecasts
     f = forecasts(spark, sf).where(F.col("model_name") == "rolling_normal")
     g = f.groupBy("series_id").agg(F.round(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))), 6).alias("mae"),
                                    F.round(F.avg(F.col("q_0_9") - F.col("q_0_1")), 6).alias("width"))
-    return U.pareto_front(materialise(g, "trials"), ["mae", "width"])
+    return U.pareto_front(g, ["mae", "width"])
 
 
 @query("paired_interval", "~mean ~low ~high #n", "E11", "forecasts", digits=4,

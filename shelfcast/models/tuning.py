@@ -17,37 +17,14 @@ from ..functions.columns import pinball, quantile_column, ratio, sum0, winkler
 from ..operators.folds import HOLDOUT_FOLD_ID, temporal_masks
 from ..operators.impute import censored_panel, draw_errors, synthetic_censor
 from ..operators.orders import critical_fractile
+from ..operators.skyline import pareto_front
 from ..session import materialise
 from .conformal import boost_trainer
 from .teacher import train_teacher
 
 TRIALS = "trial_number int, pinball double, winkler double, n_estimators int, learning_rate double, max_depth int"
 VALIDATION_SEED_OFFSET = 10_000
-
-
-def pareto_front(df: DataFrame, losses: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Marks rows no other row beats on every minimised loss. For tables of trials or policies."""
-    if len(losses) == 2:
-        a, b = losses
-        part = Window.partitionBy(*(keys or [F.lit(0)]))
-        best = df.groupBy(*keys, a).agg(F.min(b).alias("__b"))
-        prev = F.min("__b").over(part.orderBy(a).rowsBetween(Window.unboundedPreceding, -1))
-        best = best.withColumn("__prev", prev)
-        joined = df.join(best, [*keys, a], "left")
-        front = (F.col(b) == F.col("__b")) & (F.col("__prev").isNull() | (F.col(b) < F.col("__prev")))
-        return joined.withColumn("is_on_front", F.coalesce(front, F.lit(False))).drop("__b", "__prev")
-    tagged = df.withColumn("__id", F.struct(*df.columns))
-    other = tagged.select(*[F.col(n).alias(f"__o_{n}") for n in (*keys, *losses)])
-    beats = F.lit(True)
-    strict = F.lit(False)
-    for k in keys:
-        beats = beats & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
-    for n in losses:
-        beats = beats & (F.col(f"__o_{n}") <= F.col(n))
-        strict = strict | (F.col(f"__o_{n}") < F.col(n))
-    front = tagged.join(other, beats & strict, "left_anti").select("__id", F.lit(True).alias("__front"))
-    return (tagged.join(front, "__id", "left").withColumn("is_on_front", F.coalesce("__front", F.lit(False)))
-            .drop("__id", "__front"))
+LOSS_DIGITS = 6
 
 
 def policy_frontier(df: DataFrame, scales: Sequence[float], keys: Sequence[str] = ("data_strategy",)) -> DataFrame:
@@ -61,6 +38,7 @@ def policy_frontier(df: DataFrame, scales: Sequence[float], keys: Sequence[str]
         sum0(F.col("c_over") * over + F.col("c_under") * short).alias("total_cost"),
         F.avg((short <= 0).cast("double")).alias("service_level"),
         (1.0 - ratio(F.sum(short), F.sum("y_true"))).alias("fill_rate"))
+    g = g.withColumns({n: F.round(n, LOSS_DIGITS) for n in ("total_cost", "service_level", "fill_rate")})  # sums depend on the order of rows
     g = g.withColumns({"__s": -F.col("service_level"), "__f": -F.col("fill_rate")})
     return pareto_front(g, ["total_cost", "__s", "__f"], keys).drop("__s", "__f")
 
