@@ -5,8 +5,8 @@ series (at most one row per calendar day) but not for a category or the whole ta
 functions here first reduce rows to distinct values with counts, which combines map-side,
 and then cut the value range into buckets of near-equal mass. Ranks inside a bucket come
 from a window on (group, bucket); ranks of a bucket come from a window over one row per
-bucket. There are as many buckets as make each hold about ``BUCKET_ROWS`` rows, so no group is
-held by one task, and the result is exact.
+bucket. The distinct values are stored, so the input is read once; there is a bucket for each ``BUCKET_ROWS /
+FEWEST_BUCKETS`` of them, so no group is held by one task, and the result is exact.
 """
 
 from __future__ import annotations
@@ -17,19 +17,32 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .columns import c, join_same
 
-BUCKET_ROWS = 500_000
-FEWEST_BUCKETS = 16
+BUCKET_ROWS = 800_000
+FEWEST_BUCKETS = 16  # so many for ``BUCKET_ROWS`` distinct values, and in proportion for more or fewer
+FINEST = 256  # cut points that the first pass takes, enough for some millions of values
+INLINE_CLASSES = 100_000  # distinct values, of 16 bytes, up to which ranks are looked up rather than joined by a shuffle of tied values
 
 
 def value_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Near-equal-mass cut points from a sketch; their number follows the input: one per ``BUCKET_ROWS`` rows."""
-    if buckets is None:
-        buckets = max(FEWEST_BUCKETS, df.count() // BUCKET_ROWS)
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, F.lit(max(10_000, 20 * buckets))).alias("e")).first()
-    return sorted({e for e in row["e"] or [] if e == e and abs(e) != float("inf")})
+    """Near-equal-mass cut points from a sketch, taken in the same pass as the count that says how many: none for a table of few rows."""
+    x = F.col(value).cast("double")
+
+    def sketch(n: int):
+        return F.percentile_approx(x, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(max(10_000, 20 * n))).alias("e")
+
+    row = df.agg(F.count(F.lit(1)).alias("n"), sketch(buckets or FINEST)).first()
+    wanted = buckets or -(-row["n"] * FEWEST_BUCKETS // BUCKET_ROWS)
+    if wanted <= 1:
+        return []
+    found = row["e"] or []
+    if buckets is None and wanted > FINEST:
+        found = df.agg(sketch(wanted)).first()["e"] or []
+    elif buckets is None:
+        found = [found[min(len(found), round(i * FINEST / wanted)) - 1] for i in range(1, wanted)] if found else []
+    return sorted({e for e in found if e == e and abs(e) != float("inf")})
 
 
 def with_bucket(df: DataFrame, value: str, edges: Sequence[float], out: str) -> DataFrame:
@@ -41,28 +54,16 @@ def with_bucket(df: DataFrame, value: str, edges: Sequence[float], out: str) ->
     return found.withColumn(out, F.col(out).cast("int"))
 
 
-def bucket_of(x: Column, edges: Sequence[float]) -> Column:
-    """Number of edges at or below ``x`` by nested halving, so the test depth is log2(edges)."""
-
-    def halve(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x >= F.lit(float(edges[mid])), halve(mid + 1, hi)).otherwise(halve(lo, mid))
-
-    return halve(0, len(edges))
-
-
 def value_classes(df: DataFrame, keys: Sequence[str], value: str, weight: str | Column | None = None,
                   descending: bool = False) -> DataFrame:
     """One row per distinct (keys, value): its ``mass``, the mass ``before`` it, and the group ``total``."""
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
     mass = F.count(F.lit(1)) if weight is None else F.sum(c(weight))
-    classes = rows.groupBy(*keys, value).agg(mass.alias("mass"))
+    classes = materialise(rows.groupBy(*keys, value).agg(mass.alias("mass")), "value-classes")  # the input is read once
     order = F.col(value).desc() if descending else F.col(value).asc()
     zero = F.lit(0) if weight is None else F.lit(0.0)
-    classes = with_bucket(classes, value, value_edges(rows, value), "__b")
+    classes = with_bucket(classes, value, value_edges(classes, value), "__b")
     if descending:
         classes = classes.withColumn("__b", -F.col("__b"))
     inner = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -119,12 +120,15 @@ def percentile_ranks(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
 
     0.5 when a column has at most one distinct value; a null stays null (or 0.5 in that case).
     """
+    columns = sorted(set(ranks.values()))
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("__of"), F.col(v).cast("double").alias("__v")) for v in columns])).alias("s")).select("s.*")
+    mean = (F.col("before") + (F.col("mass") - 1) / 2.0) / (F.col("total") - 1.0)
+    classes = materialise(value_classes(stacked, ["__of"], "__v").select("__of", "__v", F.when(F.col("mass") == F.col("total"), F.lit(0.5)).otherwise(mean).alias("__rank")), "rank-classes")
+    sizes = {r["__of"]: r["n"] for r in classes.groupBy("__of").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per ranked column
     for name, v in ranks.items():
-        cls = value_classes(df, [], v).select(
-            F.col(v).alias("__v"),
-            F.when(F.col("mass") == F.col("total"), F.lit(0.5))
-            .otherwise((F.col("before") + (F.col("mass") - 1) / 2.0) / (F.col("total") - 1.0)).alias(name))
-        df = df.join(cls, df[v] == cls["__v"], "left").drop("__v")
+        cls = classes.where(F.col("__of") == v).select("__v", F.col("__rank").alias(name))
+        cls = F.broadcast(cls) if sizes.get(v, 0) <= INLINE_CLASSES else cls
+        df = df.join(cls, F.col(v).cast("double") == F.col("__v"), "left").drop("__v")
     return df
 
 
