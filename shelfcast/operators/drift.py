@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import DriftConfig
 from ..functions.columns import c, count_edges, join_same
-from ..functions.ranks import positions, quantiles, running
+from ..functions.ranks import positions, quantiles
+from ..session import materialise
 
 PSI_WARNING, PSI_CRITICAL = 0.10, 0.20
 SHARE_FLOOR = 1e-4
@@ -164,24 +165,68 @@ def page_hinkley(df: DataFrame, keys: Sequence[str], order: Sequence[str], error
     pieces; without it each key is one window, for short sequences such as fold errors.
     """
     keys = list(keys)
-    if bucket is None:
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumns({"ph_n": F.count(F.lit(1)).over(w), "ph_mean": F.avg(error).over(w)})
-        out = out.withColumn("__dev", F.col(error) - F.col("ph_mean") - F.lit(cfg.delta))
-        out = out.withColumn("ph_sum", F.sum("__dev").over(w))
-        out = out.withColumn("ph_min", F.least(F.lit(0.0), F.min("ph_sum").over(w)))
-    else:
-        out = running(df.withColumn("__one", F.lit(1)), keys, bucket, order,
-                      {"ph_n": ("sum", "__one"), "__err": ("sum", error)})
-        out = out.withColumn("ph_mean", F.col("__err") / F.col("ph_n")).drop("__one", "__err")
-        out = out.withColumn("__dev", F.col(error) - F.col("ph_mean") - F.lit(cfg.delta))
-        out = running(out, keys, bucket, order, {"ph_sum": ("sum", "__dev")})
-        out = running(out, keys, bucket, order, {"ph_min": ("min", "ph_sum")})
-        out = out.withColumn("ph_min", F.least(F.lit(0.0), "ph_min"))
+    if bucket is not None:
+        return page_hinkley_scan(df, keys, order, error, bucket, cfg)[0]
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns({"ph_n": F.count(F.lit(1)).over(w), "ph_mean": F.avg(error).over(w)})
+    out = out.withColumn("__dev", F.col(error) - F.col("ph_mean") - F.lit(cfg.delta))
+    out = out.withColumn("ph_sum", F.sum("__dev").over(w))
+    return _flagged(out.withColumn("ph_min", F.least(F.lit(0.0), F.min("ph_sum").over(w))).drop("__dev"), cfg)
+
+
+def _flagged(df: DataFrame, cfg: DriftConfig) -> DataFrame:
     score = F.col("ph_sum") - F.col("ph_min")
-    return out.withColumns({"ph_score": score, "is_drift": (F.col("ph_n") > cfg.min_instances)
-                            & (score > cfg.threshold)}).drop("__dev")
+    return df.withColumns({"ph_score": score, "is_drift": (F.col("ph_n") > cfg.min_instances) & (score > cfg.threshold)})
+
+
+PH_STATE = "n bigint, total double, deviation double, lowest double"
+
+
+def page_hinkley_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], error: str, bucket: str, cfg: DriftConfig = DriftConfig(),
+                      state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The scored rows, and per key the four numbers (``PH_STATE``) from which the next rows go on; ``state`` is where these begin.
+
+    The input is read once, into a stored table. A row per (key, bucket) has its count and sum; what lies before a bucket is a
+    running total over those few rows. With it a window over one bucket gives the deviations, their running sum and its minimum
+    from the bucket's start on, and a second small table says what to add. Rows are shuffled once, by (key, bucket).
+    """
+    keys = list(keys)
+    own = [*keys, bucket]
+    rows = materialise(df, "ph-rows")
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    start = {"n": F.lit(0), "total": F.lit(0.0), "deviation": F.lit(0.0), "lowest": F.lit(0.0)}
+
+    def begun(table: DataFrame) -> DataFrame:
+        """``table`` with the state its key starts from."""
+        names = [f"__{n}" for n in start]
+        if state is None:
+            return table.withColumns(dict(zip(names, start.values())))
+        if not keys:
+            return table.join(state.select(*[F.col(n).alias(f"__{n}") for n in start]))
+        joined = join_same(table, state.select(*keys, *[F.col(n).alias(f"__{n}") for n in start]), keys, "left")
+        return joined.withColumns({f"__{n}": F.coalesce(f"__{n}", v) for n, v in start.items()})
+
+    sizes = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("__c"), F.sum(error).alias("__s"))
+    ahead = begun(sizes).select(*own, (F.col("__n") + F.coalesce(F.sum("__c").over(before), F.lit(0))).alias("__n0"),
+                                (F.col("__total") + F.coalesce(F.sum("__s").over(before), F.lit(0.0))).alias("__t0"))
+    w = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = join_same(rows, ahead, own)
+    placed = placed.withColumns({"ph_n": F.col("__n0") + F.count(F.lit(1)).over(w), "__t": F.col("__t0") + F.sum(error).over(w)})
+    placed = placed.withColumn("ph_mean", F.col("__t") / F.col("ph_n"))
+    placed = placed.withColumn("__dev", F.col(error) - F.col("ph_mean") - F.lit(cfg.delta)).withColumn("__sum", F.sum("__dev").over(w))
+    local = materialise(placed.withColumn("__min", F.min("__sum").over(w)).drop("__n0", "__t0"), "ph-local")
+
+    parts = begun(local.groupBy(*own).agg(F.sum("__dev").alias("__d"), F.min("__min").alias("__m"), F.count(F.lit(1)).alias("__c"), F.sum(error).alias("__s")))
+    parts = parts.withColumn("__s0", F.col("__deviation") + F.coalesce(F.sum("__d").over(before), F.lit(0.0)))
+    low = F.least(F.col("__lowest"), F.min(F.col("__s0") + F.col("__m")).over(before))
+    parts = materialise(parts.withColumn("__m0", low), "ph-parts")
+    out = join_same(local, parts.select(*own, "__s0", "__m0"), own)
+    out = out.withColumns({"ph_sum": F.col("__s0") + F.col("__sum"), "ph_min": F.least(F.col("__m0"), F.col("__s0") + F.col("__min"))})
+    after = parts.groupBy(*keys).agg((F.max("__n") + F.sum("__c")).alias("n"), (F.max("__total") + F.sum("__s")).alias("total"),
+                                     (F.max("__deviation") + F.sum("__d")).alias("deviation"), F.least(F.min("__lowest"), F.min(F.col("__s0") + F.col("__m"))).alias("lowest"))
+    scored = _flagged(out.select(*df.columns, "ph_n", "ph_mean", "ph_sum", "ph_min"), cfg)
+    return scored, after
 
 
 def fold_drift_watch(fold_metrics: DataFrame, cfg: DriftConfig = DriftConfig(), holdout: int = 999) -> DataFrame:

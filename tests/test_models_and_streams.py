@@ -21,7 +21,7 @@ from shelfcast.plans.scoring import score_latest, train_champion
 from shelfcast.session import materialise
 from shelfcast.sources import store
 from shelfcast.streaming.daily import score_batch, stored_days, stream_scoring, sums_table
-from shelfcast.streaming.detector import stream_page_hinkley
+from shelfcast.streaming.detector import scan_page_hinkley, stream_page_hinkley
 from shelfcast.streaming.windows import event_time, lead_time_sums
 
 CFG = Settings(
@@ -215,6 +215,25 @@ def test_stream_detector_equals_batch(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_scanned_detector_goes_on_from_its_state(spark, tmp_path):
+    """Batches with a key of any length, run again after a failure, equal one pass; the scan reads its input once."""
+    rows = [(k, i, i // 13, float((i * 7919 + ord(k)) % 23) + (9.0 if i > 400 else 0.0)) for k in "ab" for i in range(600)] + [("c", 700, 60, 5.0)]
+    df = spark.createDataFrame(rows, "k string, i int, b int, e double")
+    cfg = DriftConfig(threshold=50.0, min_instances=10)
+    want = {(r["k"], r["i"]): (r["ph_n"], r["ph_score"], r["is_drift"]) for r in page_hinkley(df, ["k"], ["i"], "e", cfg).collect()}
+    whole = page_hinkley(df, ["k"], ["i"], "e", cfg, bucket="b")
+    root = str(tmp_path)
+    for part in (df.where("i < 220"), df.where("i >= 220 and i < 221"), df.limit(0), df.where("i >= 221")):
+        part.write.mode("append").parquet(f"{root}/in")
+        scan_page_hinkley(spark.readStream.schema(df.schema).parquet(f"{root}/in"), ["k"], ["i"], "e", "b", root, f"{root}/c", cfg, buckets=2).awaitTermination()
+    for got in (whole, spark.read.parquet(f"{root}/scores")):
+        got = {(r["k"], r["i"]): (r["ph_n"], r["ph_score"], r["is_drift"]) for r in got.collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert any(d for _, _, d in want.values())
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "LocalTableScan" not in plan
+
+
 def test_daily_stream_scores_touched_series(spark, panel, tmp_path):
     model = train_champion(panel, CFG, forest_trainer(2, 2))
     days, root = str(tmp_path / "days"), str(tmp_path / "root")
