@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfcast.session import materialise
 
@@ -34,9 +33,9 @@ def with_rid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     repeated = base.groupBy("id").count().filter("id is null or count > 1")
     if repeated.isEmpty():
         return base.withColumn("rid", F.col("id"))
-    schema = T.StructType([*base.schema.fields, T.StructField("rid", T.LongType())])
-    numbered = base.orderBy("id", "text").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return materialise(docs.sparkSession.createDataFrame(numbered, schema), "numbered")
+    # splitters are drawn on the beginning of a text, so the driver sees short keys however long texts are
+    head = [F.col("id").asc_nulls_first(), F.substring("text", 1, 64)]
+    return numbered(base, head, "rid", "numbered", [*head, F.col("text")])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -74,11 +73,11 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             start = end
 
 
-def numbered(df: DataFrame, order: list[Column], out: str, name: str = "numbered") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], out: str, name: str = "numbered", within: list[Column] | None = None) -> DataFrame:
     """The stored rows with their place from 0 in the global order: range partitions sorted apart, and an offset for each
-    (one number per partition is all the driver sees)."""
+    (one number per partition is all the driver sees). ``within`` is a finer order that agrees with ``order``."""
     part, row = F.shiftright(F.col("__at"), 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    at = df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order)
+    at = df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*(within or order))
     stored_rows = materialise(at.withColumn("__at", F.monotonically_increasing_id()), name)
     sizes = {r["p"]: r["n"] for r in stored_rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, offsets = 0, []
