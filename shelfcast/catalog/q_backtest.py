@@ -268,7 +268,8 @@ def _(spark, sf):
     return spark.createDataFrame([(ci.mean, ci.low, ci.high, ci.n)], "mean double, low double, high double, n int")
 
 
-@query("latest_run_artifacts", "run_id data_strategy model_name ~total_cost", "S05 S09 S10 S11 S12")
+@query("latest_run_artifacts", "run_id data_strategy model_name ~total_cost", "S05 S09 S12", "cost_summary",
+       "SELECT *, 'demo_20240101_000000' AS run_id FROM cost_summary", digits=5)
 def _(spark, sf):
     from ..operators.metrics import summarize_costs
     root, run = scratch_path(spark, "runs"), "demo_20240101_000000"

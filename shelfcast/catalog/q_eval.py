@@ -217,12 +217,17 @@ def _(spark, sf):
     return I.impute_latent(daily_panel(spark, sf), "historical_mean")
 
 
-_SEEDED = f"(SELECT series_id, date, observed_demand AS true_demand, 42 AS seed, {md5_52('series_id', 'date', '42')} AS h FROM daily WHERE stockout_hours=0)"
-cte("draws", f"""SELECT series_id, date, true_demand, hours AS severity_hours, true_demand*(1e0-hours/16e0) AS censored_demand FROM (SELECT *,
- CAST(floor({md5_52('series_id', 'date', '42', "'severity'")}*CAST((SELECT count(*) FROM daily WHERE stockout_hours>0) AS DOUBLE)/4503599627370496e0) AS BIGINT) AS k
- FROM (SELECT *, row_number() OVER (ORDER BY h) AS rn, count(*) OVER () AS n FROM {_SEEDED}) WHERE rn<=greatest(1, CAST(floor(n*3e-1) AS BIGINT)))
+def drawn(source: str, seed: int, panel: str = "") -> str:
+    """Clean days of ``source`` that a seed censors, with the severity of a real stock-out of the same rows."""
+    rows = f"(SELECT series_id, date, observed_demand AS true_demand, {seed} AS seed, {md5_52('series_id', 'date', str(seed))} AS h FROM {source} WHERE stockout_hours=0)"
+    return f"""SELECT series_id, date, true_demand, hours AS severity_hours, true_demand*(1e0-hours/16e0) AS censored_demand FROM (SELECT *,
+ CAST(floor({md5_52('series_id', 'date', str(seed), "'severity'")}*CAST((SELECT count(*) FROM {source} WHERE stockout_hours>0) AS DOUBLE)/4503599627370496e0) AS BIGINT) AS k
+ FROM (SELECT *, row_number() OVER (ORDER BY h) AS rn, count(*) OVER () AS n FROM {rows}) WHERE rn<=greatest(1, CAST(floor(n*3e-1) AS BIGINT)))
  JOIN (SELECT stockout_hours AS hours, sum(count(*)) OVER (ORDER BY stockout_hours)-count(*) AS lo, sum(count(*)) OVER (ORDER BY stockout_hours) AS hi
- FROM daily WHERE stockout_hours>0 GROUP BY 1) ON k>=lo AND k<hi""", "daily")
+ FROM {source} WHERE stockout_hours>0 GROUP BY 1) ON k>=lo AND k<hi"""
+
+
+cte("draws", drawn("daily", 42), "daily")
 
 
 @query("synthetic_censoring", "series_id @date ~true_demand ~severity_hours ~censored_demand", "E03 A33", "draws", "SELECT * FROM draws")
@@ -230,12 +235,19 @@ def _(spark, sf):
     return I.synthetic_censor(materialise(daily_panel(spark, sf), "daily-panel"), [42])
 
 
-cte("censored", """SELECT d.series_id, d.date, x.true_demand, coalesce(x.censored_demand, d.observed_demand) AS y, coalesce(x.severity_hours, d.stockout_hours) AS hrs
- FROM daily d LEFT JOIN draws x USING (series_id, date)""", "draws")
-cte("signals", """SELECT * FROM (SELECT series_id, date, true_demand, unnest([{'strategy': 'none', 'signal': y}, {'strategy': 'historical_mean',
- 'signal': greatest(y, coalesce(own, overall))}, {'strategy': 'clipped_scaling', 'signal': y*12e-1}], recursive := true) FROM (SELECT *,
- avg(CASE WHEN hrs=0 THEN y END) OVER (PARTITION BY series_id) AS own, avg(CASE WHEN hrs=0 THEN y END) OVER () AS overall FROM censored)) WHERE true_demand IS NOT NULL""",
-    "censored")
+def censored(panel: str, draws: str) -> str:
+    return f"""SELECT d.series_id, d.date, x.true_demand, coalesce(x.censored_demand, d.observed_demand) AS y, coalesce(x.severity_hours, d.stockout_hours) AS hrs
+ FROM {panel} d LEFT JOIN {draws} x USING (series_id, date)"""
+
+
+def signals(source: str) -> str:
+    return f"""SELECT * FROM (SELECT series_id, date, true_demand, unnest([{{'strategy': 'none', 'signal': y}}, {{'strategy': 'historical_mean',
+ 'signal': greatest(y, coalesce(own, overall))}}, {{'strategy': 'clipped_scaling', 'signal': y*12e-1}}], recursive := true) FROM (SELECT *,
+ avg(CASE WHEN hrs=0 THEN y END) OVER (PARTITION BY series_id) AS own, avg(CASE WHEN hrs=0 THEN y END) OVER () AS overall FROM {source})) WHERE true_demand IS NOT NULL"""
+
+
+cte("censored", censored("daily", "draws"), "draws")
+cte("signals", signals("censored"), "censored")
 _QUAL = """SELECT strategy, avg(abs(signal-true_demand)) AS mae, sqrt(avg((signal-true_demand)*(signal-true_demand))) AS rmse, avg(signal-true_demand) AS bias,
  avg(CASE WHEN true_demand>0 THEN abs(signal-true_demand)/true_demand END)*1e2 AS mape, count(*) AS n_eval FROM signals WHERE strategy<>'none' GROUP BY 1"""
 
@@ -262,7 +274,14 @@ def _(spark, sf):
     return I.fair_cost(materialise(daily_panel(spark, sf), "daily-panel"))
 
 
-@query("fair_cost_sample", "strategy ~signal_mae ~total_cost ~fill_rate #source_panel_series #sampled_series #n_eval", "A33 A32")
+cte("sampled", f"SELECT * FROM daily WHERE series_id IN (SELECT series_id FROM (SELECT DISTINCT series_id FROM daily) ORDER BY {md5_52('series_id', '42')} LIMIT 30)", "daily")
+cte("sampled_draws", drawn("sampled", 42), "sampled")
+cte("sampled_signals", signals(f"({censored('sampled', 'sampled_draws')})"), "sampled_draws")
+
+
+@query("fair_cost_sample", "strategy ~signal_mae ~total_cost ~fill_rate #source_panel_series #sampled_series #n_eval", "A33 A32", "sampled_signals",
+       f"""SELECT *, (SELECT count(DISTINCT series_id) FROM daily) AS source_panel_series, (SELECT count(DISTINCT series_id) FROM sampled) AS sampled_series
+ FROM ({_FAIR.replace("FROM signals", "FROM sampled_signals")})""", digits=4)
 def _(spark, sf):
     return I.fair_cost_sample(materialise(daily_panel(spark, sf), "daily-panel"), 30)
 
@@ -270,7 +289,15 @@ def _(spark, sf):
 _SEEDS = (1, 2, 3, 4)
 
 
-@query("draw_errors", "#seed strategy ~mae #n_eval", "M12 E03 E02")
+cte("late_days", """SELECT * FROM daily WHERE date>=(SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date)-1 AS i, count(*) OVER () AS n FROM calendar)
+ WHERE i=n-least(n-1, greatest(1, CAST(round_even(n/3e0, 0) AS BIGINT))))""", "daily", "calendar")
+for _seed in _SEEDS:
+    cte(f"draws_{_seed}", drawn("late_days", _seed), "late_days")
+
+
+@query("draw_errors", "#seed strategy ~mae #n_eval", "E03 E02 A31", " ".join(f"draws_{s}" for s in _SEEDS),
+       " UNION ALL ".join(f"SELECT {s} AS seed, strategy, avg(abs(signal-true_demand)) AS mae, count(*) AS n_eval FROM ({signals('(' + censored('daily', f'draws_{s}') + ')')}) GROUP BY 2"
+                          for s in _SEEDS))
 def _(spark, sf):
     p = materialise(temporal_masks(daily_panel(spark, sf)), "masked-panel")
     draws = I.synthetic_censor(p, _SEEDS, mask=F.col("is_validation"))
@@ -372,7 +399,10 @@ def _(spark, sf):
     return B.sku_kpis(skus(spark, sf), B.WhatIf(capacity=300.0))
 
 
-@query("forecast_chart_rows", "#day label date ~actual ~predicted ~lower ~upper", "A39 A41")
+@query("forecast_chart_rows", "#day label date ~actual ~predicted ~lower ~upper", "A39 A41", "skus",
+       f"""SELECT row_number() OVER (ORDER BY date) AS day, strftime(date, '%d/%m') AS label, strftime(date, '%Y-%m-%d') AS date, round_even(y_true, 0) AS actual,
+ round_even(y_pred, 0) AS predicted, round_even(greatest(0e0, y_pred-width), 0) AS lower, round_even(y_pred+width, 0) AS upper FROM skus
+ JOIN ({_CONF.replace("CAST(1-(1-0.95) AS DOUBLE)", "0.95")}) USING (series_id) WHERE series_id=(SELECT min(series_id) FROM skus)""")
 def _(spark, sf):
     s = skus(spark, sf)
     return B.forecast_series(s, s.agg(F.min("series_id")).first()[0])

@@ -221,21 +221,26 @@ def _(spark, sf):
 _CHAMP = BusinessConfig(champion_model_name="seasonal_naive", champion_backend_name="heuristic")
 
 
-@query("promotion_decision", "champion_source champion_data_strategy champion_model_name challenger_data_strategy "
-       "challenger_model_name ~champion_total_cost ~challenger_total_cost ~cost_improvement_pct ~service_level_delta #promote",
-       "I10 L10 P17 J09", "cost_summary", digits=5,
-       sql="""SELECT 'config' AS champion_source, c.data_strategy AS champion_data_strategy, c.model_name AS champion_model_name,
+_DECISION = """SELECT 'config' AS champion_source, c.data_strategy AS champion_data_strategy, c.model_name AS champion_model_name,
  x.data_strategy AS challenger_data_strategy, x.model_name AS challenger_model_name, c.total_cost AS champion_total_cost,
  x.total_cost AS challenger_total_cost, (c.total_cost-x.total_cost)/c.total_cost*1e2 AS cost_improvement_pct,
  x.service_level-c.service_level AS service_level_delta, (c.total_cost-x.total_cost)>=0 AND x.service_level-c.service_level>=-2e-2 AS promote
  FROM cost_summary c JOIN cost_summary x ON NOT (x.model_name=c.model_name AND x.data_strategy=c.data_strategy)
  WHERE c.model_name='seasonal_naive' AND c.data_strategy='Observed'
- ORDER BY promote DESC, x.total_cost, x.service_level DESC LIMIT 1""")
+ ORDER BY promote DESC, x.total_cost, x.service_level DESC LIMIT 1"""
+
+
+@query("promotion_decision", "champion_source champion_data_strategy champion_model_name challenger_data_strategy "
+       "challenger_model_name ~champion_total_cost ~challenger_total_cost ~cost_improvement_pct ~service_level_delta #promote",
+       "I10 L10 P17 J09", "cost_summary", digits=5,
+       sql=_DECISION)
 def _(spark, sf):
     return T.promotion_decision(M.summarize_costs(costed_forecasts(spark, sf)), _CHAMP)
 
 
-@query("registry_update", "data_strategy model_name backend_name run_name", "I11 I10")
+@query("registry_update", "data_strategy model_name backend_name run_name", "I11 I10", "cost_summary",
+       f"""SELECT c.data_strategy, c.model_name, c.backend_name, 'run' AS run_name FROM cost_summary c, ({_DECISION}) d WHERE CASE WHEN promote
+ THEN c.data_strategy=challenger_data_strategy AND c.model_name=challenger_model_name ELSE c.data_strategy='Observed' AND c.model_name='seasonal_naive' END""")
 def _(spark, sf):
     s = materialise(M.summarize_costs(costed_forecasts(spark, sf)), "cost-summary")
     return T.registry_update(s, T.promotion_decision(s, _CHAMP), _CHAMP)
