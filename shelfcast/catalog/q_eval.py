@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from ..config import BusinessConfig, DriftConfig
+from ..config import REPORT_COSTS, BusinessConfig, DriftConfig
 from ..operators import conformal as N
 from ..operators import drift as V
 from ..operators import impute as I
@@ -368,7 +370,7 @@ _Q1, _Q2 = "least(greatest(y_pred+cr,0e0),300e0)", "least(y_pred,300e0)"
        sql=f"""SELECT series_id, sum({_COST.format(q=_Q1)}) AS inventory_cost, round(sum({_COST.format(q=_Q1)}),2)-sum({_COST.format(q=_Q2)}) AS delta_vs_naive
  FROM skus JOIN (SELECT series_id, cr FROM ({_CONF})) USING (series_id) GROUP BY 1""")
 def _(spark, sf):
-    return B.what_if_cost(skus(spark, sf), B.WhatIf(capacity=300.0))
+    return B.what_if_cost(skus(spark, sf), replace(REPORT_COSTS, global_capacity_units=300.0))
 
 
 _SKU = f"""SELECT c.series_id, any_value(third_category_id) AS category, round_even(arg_max(y_true, date), 0) AS last_actual,
@@ -396,7 +398,7 @@ def _(spark, sf):
  least(1e2, round_even(least(greatest(arg_max(y_pred, date)+any_value(cr),0e0),300e0)/300e0*1e2, 1)) AS utilization FROM (SELECT *, abs(y_true-y_pred) AS a,
  row_number() OVER (PARTITION BY series_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM skus JOIN (SELECT series_id, cr FROM ({_CONF})) USING (series_id)) GROUP BY 1""")
 def _(spark, sf):
-    return B.sku_kpis(skus(spark, sf), B.WhatIf(capacity=300.0))
+    return B.sku_kpis(skus(spark, sf), replace(REPORT_COSTS, global_capacity_units=300.0))
 
 
 @query("forecast_chart_rows", "#day label date ~actual ~predicted ~lower ~upper", "A39 A41", "skus",

@@ -102,6 +102,11 @@ class InventoryConfig:
         _check(self.overstock_cost > 0 and self.stockout_cost > 0, "costs must be positive")
 
 
+# What the series report assumes where nothing is set.
+REPORT_COSTS = InventoryConfig(overstock_cost=4.0, stockout_cost=18.0, global_capacity_units=12_000.0)
+REPORT_COVERAGE = 0.95
+
+
 @dataclass(frozen=True)
 class BusinessConfig:
     flag_cold_start: bool = True

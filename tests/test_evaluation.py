@@ -5,13 +5,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.config import BusinessConfig, DriftConfig, InventoryConfig
+from shelfcast.config import REPORT_COSTS, REPORT_COVERAGE, BusinessConfig, DriftConfig, InventoryConfig
 from shelfcast.models import tuning as U
 from shelfcast.operators import backtest as B
 from shelfcast.operators import conformal as N
 from shelfcast.operators import drift as V
 from shelfcast.operators import impute as I
 from shelfcast.operators import report as P
+from shelfcast.operators.orders import critical_fractile
 
 
 def test_group_radius(spark):
@@ -140,10 +141,9 @@ def test_first_flag_wins(spark):
     assert {r["severity"] for r in P.alert_rows(P.exceptions(rec), 9).collect()} == {"critical", "warning"}
 
 
-def test_what_if_ratios():
-    w = P.WhatIf(service_level=90.0)
-    assert (round(w.alpha, 9), w.shortage_cost, w.capacity) == (0.1, 18.0, 12000.0)
-    assert w.critical_ratio == 18.0 / 22.0
+def test_report_defaults():
+    assert (REPORT_COVERAGE, REPORT_COSTS.stockout_cost, REPORT_COSTS.global_capacity_units) == (0.95, 18.0, 12000.0)
+    assert critical_fractile(REPORT_COSTS) == 18.0 / 22.0
 
 
 def test_sku_table_and_kpis(spark):
