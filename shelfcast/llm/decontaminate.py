@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.session import materialise
 
+from .rows import with_rid
+
 WINDOW, SIMILARITY, BLOCK_ROWS = 5, 0.8, 200_000
 
 #: The units that are told apart from plain words, where they follow a number.
@@ -190,9 +192,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows without a leak. The leaking ids are a shuffled anti-join's small side; the planner broadcasts them if they are few."""
-    found = materialise(find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(found, docs[id_col].eqNullSafe(found["__leak"]), "left_anti")
+    """The rows without a leak, with the columns of ``docs``, each judged by itself: of rows that share an id, or have none, those without
+    a leak stay. The leaking rows are a shuffled anti-join's small side; the planner broadcasts them if they are few."""
+    base = with_rid(docs, id_col, text_col, tuple(docs.columns))
+    leaks = find_leaks(base.select("rid", "text"), benchmark, "rid", "text").select(F.col("doc_id").alias("rid")).distinct()
+    return base.join(materialise(leaks, "leaks"), "rid", "left_anti").select("row.*")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -263,6 +263,14 @@ def test_decontamination(spark, none):
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_are_dropped_row_by_row(spark):
+    item = "in the shop the old clerk sold twelve red apples and then seven green pears to a friend who paid at once"
+    rows = [(5, "so " + item, "a"), (5, "nothing here at all", "b"), (None, item, "c"), (None, "also clean", "d"), (6, None, "e"), (5, "nothing here at all", "b")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, kind string, rid int")
+    left = decontaminate.drop_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r["kind"] for r in left.collect()) == ["b", "b", "d", "e"]
+
+
 def test_decontamination_judges_each_occurrence(spark):
     item = "a farmer with 11 cows and 12 goats bought 13 ducks and then sold 11 cows to a friend who paid 14 coins for 12 goats and the rest"
     first, second = (item.replace("11", a).replace("12", b).replace("13", c).replace("14", d) for a, b, c, d in (("90", "20", "7", "65"), ("3", "85", "41", "5")))
