@@ -292,7 +292,8 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 cuts = pa.array(np.cumsum([0, *n]), pa.int32())
                 cols.append(pa.ListArray.from_arrays(cuts, pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:len(cols)])
-        vocab.forget()  # the worker lives on and runs other tasks
+        vocab.forget()  # the worker lives on and runs other tasks: it keeps neither words nor vocabulary, which is read again in a fraction of a second
+        vocabulary.cache_clear()
         pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
