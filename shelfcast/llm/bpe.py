@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import chunks
+from .rows import chunks, freeing
 
 BLOCK = 4096
 SHORT = 48  # up to so many symbols a plain search for the least rank is quicker than a heap
@@ -294,10 +294,9 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:len(cols)])
         vocab.forget()  # the worker lives on and runs other tasks: it keeps neither words nor vocabulary, which is read again in a fraction of a second
         vocabulary.cache_clear()
-        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, OUTPUT + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(freeing(run), OUTPUT + (", ids array<int>" if with_ids else ""))
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import chunks, utf8
+from .rows import chunks, freeing, utf8
 
 PER_LANG, MAX_ROWS = 800, 8_000
 BUCKETS, DIM, EPOCHS, BATCH, KEEP = 1 << 13, 16, 12, 64, 0.999
@@ -192,9 +192,8 @@ def keep_languages(docs: DataFrame, model: LanguageModel | None, text_col: str =
         for batch in chunks(batches, at, KEPT_CHUNK):
             p = model.probabilities(*utf8(batch.column(at)))
             yield batch.filter(pa.array(p.max(axis=1) >= model.reject_below))
-        pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, schema).toDF(*docs.columns)
+    return rows.mapInArrow(freeing(run), schema).toDF(*docs.columns)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

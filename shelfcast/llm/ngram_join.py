@@ -23,7 +23,7 @@ from shelfcast.session import materialise
 
 from .graph_dedup import word_symbols
 from .repeats import mix, spread
-from .rows import chunks, partitions, utf8, with_rid
+from .rows import chunks, freeing, partitions, utf8, with_rid
 
 N, SIMILARITY, RECALL, BLOCK = 5, 0.8, 0.9999, 256
 SIGNATURE = "id long, rid long, a long, b long, size int, bands array<long>"
@@ -83,9 +83,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             lists = [bands_of(s) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rid"), pa.array(a), pa.array(b), pa.array([len(s) for s in sets], pa.int32()),
                                               pa.array(lists, pa.list_(pa.int64()))], names=["id", "rid", "a", "b", "size", "bands"])
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return docs.mapInArrow(run, SIGNATURE)
+    return docs.mapInArrow(freeing(run), SIGNATURE)
 
 
 def whole_groups(batches, key: str):
@@ -152,9 +151,8 @@ def wanted(members: DataFrame, bands: int) -> DataFrame:
             for i, j in due(table, bands):
                 use[i] = use[j] = True
             yield from table.filter(pa.array(use)).to_batches()
-        pa.default_memory_pool().release_unused()
 
-    return members.mapInArrow(run, members.schema)
+    return members.mapInArrow(freeing(run), members.schema)
 
 
 def verified(members: DataFrame, bands: int, n: int, similarity: float) -> DataFrame:
@@ -191,9 +189,8 @@ def verified(members: DataFrame, bands: int, n: int, similarity: float) -> DataF
             use = np.flatnonzero(links)
             roots = np.array([rid[top(x)] for x in use.tolist()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(rid[use]), pa.array(links[use]), pa.array(roots)], names=["rid", "links", "root"])
-        pa.default_memory_pool().release_unused()
 
-    return members.mapInArrow(run, "rid long, links long, root long")
+    return members.mapInArrow(freeing(run), "rid long, links long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:

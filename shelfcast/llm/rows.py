@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,20 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             start = end
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives back what the task held: workers live on, beside those of later stages. Its variables are
+    gone by then; Arrow's pool lets go of free blocks, and the C library of free pages where it has a call for that."""
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
 def numbered(df: DataFrame, order: list[Column], out: str, name: str = "numbered", within: list[Column] | None = None) -> DataFrame:
     """The stored rows with their place from 0 in the global order: range partitions sorted apart, and an offset for each
     (one number per partition is all the driver sees). ``within`` is a finer order that agrees with ``order``."""
