@@ -12,6 +12,7 @@ from ..config import (DatasetConfig, DriftConfig, FeatureConfig, ModelConfig, Pr
 from ..functions.columns import floor0
 from ..models import tuning as U
 from ..models.conformal import ConformalModel, boost_trainer, fit_and_calibrate, forest_trainer
+from ..models.imputer_search import tune_imputer
 from ..models.teacher import train_teacher
 from ..operators import backtest as B
 from ..operators import impute as I
@@ -216,7 +217,7 @@ def _(spark, sf):
     return run_experiment(daily_panel(spark, sf), LEARN, {"forest": forest_trainer(5, 4)})["cost_summary"]
 
 
-@query("tuning_trials", "#trial_number ~pinball ~winkler #n_estimators ~learning_rate #max_depth #is_on_front #is_selected", "M11 E12 W08 W14")
+@query("tuning_trials", "#trial_number ~pinball ~winkler #n_estimators ~learning_rate #max_depth #is_on_front #is_selected", "M11 E12 W08")
 def _(spark, sf):
     frame, names = supervised(spark, sf)
     keep = names[:16]
@@ -224,6 +225,14 @@ def _(spark, sf):
     return U.tune_boost(frame.select("series_id", "date", "target_lead_time_demand", *keep), keep, LEARN, trials)
 
 
+@query("imputer_search", "#trial_number params ~mae #n_draws #stopped #is_selected ~best_so_far #beats_default #persisted ~ci95_low ~ci95_high", "M12 W14 E02 E11")
+def _(spark, sf):
+    found = tune_imputer(daily_panel(spark, sf), [{"iterations": 5, "depth": 3, "step": 0.3}, {"iterations": 2, "depth": 1, "step": 0.05}],
+                         n_selection=6, n_validation=4, default={"iterations": 3, "depth": 2, "step": 0.1}, race_after=3)
+    verdict = found.decision.first()
+    return found.trials.withColumns({n: F.lit(verdict[n]) for n in ("beats_default", "persisted", "ci95_low", "ci95_high")})
+
+
 @query("supervised_imputation", "strategy ~mae ~rmse ~bias ~mape #n_eval", "M08 A31")
 def _(spark, sf):
     p = materialise(daily_panel(spark, sf), "daily-panel")

@@ -302,10 +302,19 @@ for _seed in _SEEDS:
                           for s in _SEEDS))
 def _(spark, sf):
     p = materialise(temporal_masks(daily_panel(spark, sf)), "masked-panel")
-    draws = I.synthetic_censor(p, _SEEDS, mask=F.col("is_validation"))
+    draws = materialise(I.synthetic_censor(p, _SEEDS, mask=F.col("is_validation")), "draws")
     return I.draw_errors(p, draws, ["none", "historical_mean", "clipped_scaling"])
 
 
+@query("draw_means", "#seed series_id ~clean_mean", "M12 E03 E02", " ".join(f"draws_{s}" for s in _SEEDS),
+       " UNION ALL ".join(f"""SELECT {s} AS seed, series_id, coalesce(avg(observed_demand) FILTER (clean), min(overall)) AS clean_mean FROM
+ (SELECT *, avg(observed_demand) FILTER (clean) OVER () AS overall FROM (SELECT p.*, d.series_id IS NOT NULL AS hit, stockout_hours=0 AND d.series_id IS NULL AS clean
+ FROM daily p LEFT JOIN draws_{s} d ON d.series_id=p.series_id AND d.date=p.date)) GROUP BY series_id HAVING bool_or(hit)""" for s in _SEEDS))
+def _(spark, sf):
+    p = materialise(temporal_masks(daily_panel(spark, sf)), "masked-panel")
+    return I.draw_means(p, materialise(I.synthetic_censor(p, _SEEDS, mask=F.col("is_validation")), "draws"))
+
+
 @query("strategies_side_by_side", "@date ~observed ~stockout_hours ~historical_mean ~clipped_scaling", "A43", "daily",
        f"""SELECT date, max(observed) AS observed, max(stockout_hours) AS stockout_hours, max(latent_demand_est) FILTER (strategy='historical_mean') AS historical_mean,
  max(latent_demand_est) FILTER (strategy='clipped_scaling') AS clipped_scaling FROM ({_LONG}) WHERE series_id=(SELECT min(series_id) FROM daily) GROUP BY 1""")

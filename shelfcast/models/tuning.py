@@ -8,22 +8,20 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import timedelta
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.columns import pinball, quantile_column, ratio, sum0, winkler
-from ..operators.folds import HOLDOUT_FOLD_ID, temporal_masks
-from ..operators.impute import censored_panel, draw_errors, synthetic_censor
+from ..operators.folds import HOLDOUT_FOLD_ID
 from ..operators.orders import critical_fractile
 from ..operators.skyline import pareto_front
 from ..session import materialise
 from .conformal import boost_trainer
-from .teacher import train_teacher
 
 TRIALS = "trial_number int, pinball double, winkler double, n_estimators int, learning_rate double, max_depth int"
-VALIDATION_SEED_OFFSET = 10_000
 LOSS_DIGITS = 6
 
 
@@ -43,6 +41,7 @@ def policy_frontier(df: DataFrame, scales: Sequence[float], keys: Sequence[str]
     return pareto_front(g, ["total_cost", "__s", "__f"], keys).drop("__s", "__f")
 
 
+@lru_cache
 def t_quantile(p: float, dof: int) -> float:
     """Student-t quantile by bisection on a Simpson integral of the density."""
     norm = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi)
@@ -69,14 +68,18 @@ class PairedInterval:
     n: int
 
 
+def student_interval(mean: float, deviation: float, n: int) -> PairedInterval:
+    half = t_quantile(0.975, n - 1) * deviation / math.sqrt(n)
+    return PairedInterval(mean, mean - half, mean + half, n)
+
+
 def paired_ci(df: DataFrame, a: str, b: str) -> PairedInterval:
     """95 % Student-t interval of the mean of ``a - b`` over draws."""
     d = F.col(a) - F.col(b)
     r = df.agg(F.avg(d).alias("m"), F.stddev_samp(d).alias("s"), F.count(d).alias("n")).first()
     if r["n"] < 2:
         raise ValueError(f"an interval for the mean needs at least 2 draws, got {r['n']}")
-    half = t_quantile(0.975, r["n"] - 1) * r["s"] / math.sqrt(r["n"])
-    return PairedInterval(r["m"], r["m"] - half, r["m"] + half, r["n"])
+    return student_interval(r["m"], r["s"], r["n"])
 
 
 def best_so_far(trials: DataFrame, loss: str = "mae", order: str = "trial_number") -> DataFrame:
@@ -130,50 +133,3 @@ def tune_boost(frame: DataFrame, features: Sequence[str], settings: Settings, tr
     whole = Window.partitionBy(F.lit(0))
     chosen = F.min_by("trial_number", F.when(F.col("is_on_front"), F.col("pinball") + F.col("winkler"))).over(whole)
     return table.withColumn("is_selected", F.col("trial_number") == chosen)
-
-
-def tune_imputer(panel: DataFrame, candidates: Sequence[dict], incumbent: dict | None = None, n_selection: int = 15,
-                 n_validation: int = 25, seed: int = 42, default: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pick teacher settings on early days and gate the winner on late ones.
-
-    Every candidate is scored on the same draws. The winner is kept when the whole interval of
-    its difference to the defaults is below zero and its mean is below the incumbent's. Returns
-    the trial table and a one-row decision.
-    """
-    spark: SparkSession = panel.sparkSession
-    default = default or {"iterations": 20, "depth": 5, "step": 0.1}
-    masked = materialise(temporal_masks(panel), "masked-panel")
-    picks = materialise(synthetic_censor(masked, [seed + i for i in range(n_selection)],
-                                         mask=~F.col("is_validation")), "selection-draws")
-    checks = materialise(synthetic_censor(masked, [seed + VALIDATION_SEED_OFFSET + i for i in range(n_validation)],
-                                          mask=F.col("is_validation")), "validation-draws")
-
-    def errors(params: dict, draws: DataFrame) -> dict[int, float]:
-        out = {}
-        for s in [r[0] for r in draws.select("seed").distinct().collect()]:
-            one = draws.where(F.col("seed") == s)
-            teacher = train_teacher(censored_panel(masked, one).drop("true_demand", "seed"), **params, seed=seed)
-            out[s] = draw_errors(masked, one, ["supervised"], teacher).first()["mae"]
-        return out
-
-    trials = [default, *([incumbent] if incumbent else []), *candidates]
-    scored = [(i, sum(e.values()) / len(e), str(sorted(t.items())))
-              for i, t in enumerate(trials) for e in [errors(t, picks)]]
-    table = best_so_far(spark.createDataFrame(scored, "trial_number int, mae double, params string"))
-    best = min(scored, key=lambda r: r[1])[0]
-    tuned, base = errors(trials[best], checks), errors(default, checks)
-    pairs = [(s, tuned[s], base[s]) for s in tuned]
-    ci = paired_ci(spark.createDataFrame(pairs, "seed bigint, a double, b double"), "a", "b")
-    beats_default = ci.high < 0.0
-    beats_incumbent = None
-    if incumbent:
-        held = errors(incumbent, checks)
-        beats_incumbent = sum(tuned[s] - held[s] for s in tuned) < 0.0
-    keep = beats_default and beats_incumbent is not False
-    decision = spark.createDataFrame(
-        [(best, str(sorted(trials[best].items())), ci.mean, ci.low, ci.high, beats_default, beats_incumbent, keep,
-          bool(incumbent) and not beats_default)],
-        "trial_number int, params string, mean_change double, ci95_low double, ci95_high double, beats_default boolean, "
-        "beats_incumbent boolean, persisted boolean, incumbent_removed boolean")
-    return table, decision
-

@@ -25,6 +25,11 @@ def is_clean() -> Column:
     return F.coalesce(F.col("stockout_hours") == 0, F.lit(False))
 
 
+def stockout_share(hours: Column) -> Column:
+    """Part of the operative hours that was out of stock."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), hours / F.lit(OPERATIVE_HOURS)))
+
+
 def clean_mean(panel: DataFrame) -> Column:
     """Mean of the series' clean days; the table's clean mean where it has none."""
     own = F.avg(F.when(is_clean(), F.col("observed_demand"))).over(Window.partitionBy("series_id"))
@@ -50,8 +55,7 @@ def estimates(panel: DataFrame, strategies: Sequence[str], teacher: Teacher | No
             if teacher is None:
                 raise ValueError("the supervised strategy needs a teacher")
             df = teacher(df)
-            share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), hours / F.lit(OPERATIVE_HOURS)))
-            est = y + share * floor0("teacher_prediction")
+            est = y + stockout_share(hours) * floor0("teacher_prediction")
         else:
             raise ValueError(f"unknown imputation strategy: {s}")
         out[f"latent_{s}"] = F.when(is_clean(), y).otherwise(F.coalesce(est, y))
@@ -189,23 +193,36 @@ def fair_cost_sample(panel: DataFrame, n_series: int = 30, cfg: InventoryConfig
         {"source_panel_series": source, "sampled_series": sampled})
 
 
+def draw_means(panel: DataFrame, draws: DataFrame) -> DataFrame:
+    """``seed, series_id, clean_mean``: the mean of a series' clean days without those that the draw censors, for each series it touches.
+
+    Where no day is left it is the mean of the whole table's clean days without the draw's. Panel totals less the draw's own: the panel is
+    read once, whatever the number of draws.
+    """
+    n_s = lambda c, n, s: (F.count(c).alias(n), F.sum(c).alias(s))
+    totals = panel.where(is_clean()).groupBy("series_id").agg(*n_s("observed_demand", "__n", "__s"))
+    taken = draws.groupBy("seed", "series_id").agg(*n_s("true_demand", "__tn", "__ts"))
+    whole = draws.groupBy("seed").agg(*n_s("true_demand", "__an", "__as"))
+    n, s = (panel.where(is_clean()).agg(f("observed_demand")).scalar() for f in (F.count, F.sum))
+    every = whole.select("seed", ratio(s - F.col("__as"), n - F.col("__an")).alias("__all"))
+    own = F.when(F.col("__n") > F.col("__tn"), (F.col("__s") - F.col("__ts")) / (F.col("__n") - F.col("__tn")))
+    rows = taken.join(totals, "series_id").join(F.broadcast(every), "seed")  # a row per draw
+    return rows.select("seed", "series_id", F.coalesce(own, F.col("__all")).alias("clean_mean"))
+
+
 def draw_errors(panel: DataFrame, draws: DataFrame, strategies: Sequence[str],
                 teacher: Teacher | None = None) -> DataFrame:
-    """Mean absolute error per seed and closed-form strategy: every draw in one job."""
-    cens = materialise(censored_panel(panel, draws), "censored-panels")
-    w = Window.partitionBy("seed", "series_id")
-    means = cens.where(is_clean()).groupBy("seed").agg(F.avg("observed_demand").alias("__all"))
-    own = F.avg(F.when(is_clean(), F.col("observed_demand"))).over(w)
+    """Mean absolute error per seed and strategy: every draw in one job, which looks at drawn days only."""
     y = F.col("observed_demand")
     est = {"none": y, "clipped_scaling": F.greatest(y, y * F.lit(SCALING_FACTOR)),
-           "historical_mean": F.greatest(y, F.coalesce(F.col("__own"), F.col("__all")))}
-    rows = cens.withColumn("__own", own).where(F.col("true_demand").isNotNull()).join(means, "seed", "left")
+           "historical_mean": F.greatest(y, F.col("clean_mean"))}
+    rows = draws.join(draw_means(panel, draws), ["seed", "series_id"]).withColumnsRenamed(
+        {"censored_demand": "observed_demand", "severity_hours": "stockout_hours"})
     if "supervised" in strategies:
         if teacher is None:
             raise ValueError("the supervised strategy needs a teacher")
-        rows = teacher(rows)
-        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("stockout_hours") / F.lit(OPERATIVE_HOURS)))
-        est["supervised"] = y + share * floor0("teacher_prediction")
+        rows = teacher(rows.join(panel.drop("observed_demand", "stockout_hours"), ["series_id", "date"]))
+        est["supervised"] = y + stockout_share(F.col("stockout_hours")) * floor0("teacher_prediction")
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), est[s].alias("signal")) for s in strategies]))
     long = rows.select("seed", "true_demand", each.alias("e")).select("seed", "true_demand", "e.*")
     return long.groupBy("seed", "strategy").agg(

@@ -82,16 +82,6 @@ def test_teacher_never_sees_stockout_hours(panel):
     assert got.where("is_imputed and observed_demand < original_observed_demand").isEmpty()
 
 
-def test_imputer_gates(panel):
-    table, decision = U.tune_imputer(panel, [{"iterations": 3, "depth": 2, "step": 0.3}], n_selection=2, n_validation=2,
-                                     default={"iterations": 1, "depth": 1, "step": 0.1})
-    assert table.count() == 2
-    best = [r["best_so_far"] for r in table.orderBy("trial_number").collect()]
-    assert best == sorted(best, reverse=True)
-    d = decision.first()
-    assert d["persisted"] == (d["beats_default"] and d["beats_incumbent"] is not False)
-
-
 def test_experiment_has_both_grains(panel):
     out = run_experiment(panel.where(F.col("date") < date(2025, 3, 5)), CFG, {"forest": forest_trainer(3, 3)})
     v, d = out["validation_predictions"], out["predictions"]
