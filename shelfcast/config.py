@@ -81,6 +81,7 @@ class ModelConfig:
     n_estimators: int = 200
     learning_rate: float = 0.05
     max_depth: int = 6
+    patience: int | None = 20
     use_tuning: bool = True
     tuning_trials: int = 20
 

@@ -29,11 +29,13 @@ def forest_trainer(trees: int | None = None, depth: int | None = None) -> Traine
     return train
 
 
-def boost_trainer(stages: int | None = None, depth: int | None = None, rate: float | None = None) -> Trainer:
+def boost_trainer(stages: int | None = None, depth: int | None = None, rate: float | None = None, state: str | None = None) -> Trainer:
+    """Heads stop early by the settings' patience, unless they have no more stages than that. ``state`` is for a single fit."""
     def train(frame: DataFrame, features: Sequence[str], s: Settings) -> QuantileBoost:
+        n, patience = stages or s.models.n_estimators, s.models.patience
         return train_boost(frame, features, quantiles=s.models.quantiles, point_level=critical_fractile(s.inventory),
-                           stages=stages or s.models.n_estimators, depth=depth or s.models.max_depth,
-                           rate=rate or s.models.learning_rate, seed=s.random_seed)
+                           stages=n, depth=depth or s.models.max_depth, rate=rate or s.models.learning_rate, seed=s.random_seed,
+                           patience=patience if patience and n > patience else None, state=state)
     return train
 
 
