@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def _span_sum(days: int, first: int, last: int) -> tuple[Column, Column]:
-    w = Window.partitionBy("series_id").orderBy("__day").rangeBetween(first, last)
-    return F.sum("observed_demand").over(w), F.count("observed_demand").over(w) == days
+    w = f"over (partition by series_id order by date range between {-first} preceding and {-last} preceding)"
+    return F.expr(f"sum(observed_demand) {w}"), F.expr(f"count(observed_demand) {w}") == days
 
 
 def seasonal_naive(panel: DataFrame, horizon: int = 7, period: int = 7, out: str = "naive") -> DataFrame:
@@ -16,10 +16,9 @@ def seasonal_naive(panel: DataFrame, horizon: int = 7, period: int = 7, out: str
 
     Step j looks back to one of the ``period`` days before the origin, and steps a whole
     period apart look at the same day. So the sum is so many full periods plus one partial
-    span: two windows over calendar days. Null when any day needed is missing.
+    span: two windows over calendar days, in the order of the other series windows, so that one sort serves all. Null when any day needed is missing.
     """
     full, part = divmod(horizon, period)
-    df = panel.withColumn("__day", F.unix_date("date"))
     total, ok = F.lit(0.0), F.lit(True)
     if full:
         s, have = _span_sum(period, -period, -1)
@@ -27,4 +26,4 @@ def seasonal_naive(panel: DataFrame, horizon: int = 7, period: int = 7, out: str
     if part:
         s, have = _span_sum(part, -period, -period + part - 1)
         total, ok = total + s, ok & have
-    return df.withColumn(out, F.when(ok, F.greatest(total, F.lit(0.0)))).drop("__day")
+    return panel.withColumn(out, F.when(ok, F.greatest(total, F.lit(0.0))))
