@@ -2,11 +2,13 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.catalog.frames import origin_features
 from shelfcast.models.naive import seasonal_naive
 from shelfcast.operators import panel as P
+from shelfcast.operators import profile as R
 from shelfcast.operators.impute import impute_latent
 
 DAY = datetime.date(2024, 1, 1)
@@ -16,6 +18,26 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def unmeasured(spark):
+    """No table is small enough for the planner to broadcast it by itself."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_covariate_bins_deal_no_rows_by_covariate(spark, unmeasured):
+    rows = spark.range(400).select((F.col("id") % 7).cast("double").alias("observed_demand"), (F.col("id") % 100).cast("double").alias("discount"),
+                                   F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("precpt"))
+    got = R.covariate_bins(rows, ["discount", "precpt"])
+    plan = plan_of(got)
+    assert "SortMergeJoin [column_name#" not in plan and plan.count("BroadcastHashJoin [column_name#") >= 3
+    n = {r["column_name"]: r["n"] for r in got.groupBy("column_name").agg(F.sum("n").alias("n")).collect()}
+    # discount: 4 rows of each value, of 0 to 99; 0 goes (1 % quantile 0.99), and 99 of what is left. precpt: 320 values, 4 and 4 go.
+    assert n == {"discount": 4 * 98, "precpt": 312}
+
+
 def series_rows(spark, series, days):
     rows = [(f"s{i:03d}", DAY + datetime.timedelta(d), float(i * days + d)) for i in range(series) for d in range(days)]
     return spark.createDataFrame(rows, "series_id string, date date, observed_demand double")
