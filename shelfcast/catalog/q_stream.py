@@ -64,7 +64,7 @@ def scored_stream(spark, sf) -> str:
     """Each part arrives while the stream is down, and is taken in after a restart."""
     days, root, state = (scratch_path(spark, n) for n in ("days", "daily", "daily-state"))
     for part in day_parts(spark, sf):
-        part.coalesce(1).write.mode("append").parquet(days)
+        part.write.mode("append").parquet(days)
         source = spark.readStream.schema(part.schema).parquet(days)
         stream_scoring(source, root, ScaledRolling(), SIM, state, retrain=ScaledRolling.fit, every=2, buckets=8).awaitTermination()
     return root

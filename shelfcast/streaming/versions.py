@@ -56,9 +56,9 @@ class VersionedTable:
         return pruned.where(F.try_element_at(at, F.col("bucket")) == F.col("version")).drop("version", "bucket")
 
     def write(self, version: int, rows: DataFrame, touched: Sequence[int]) -> None:
-        """All rows of the touched buckets; the other buckets stay as they were before this version."""
+        """All rows of the touched buckets; the other buckets stay as they were before this version. A large bucket is written by several tasks."""
         known = self.manifest(version) | {b: version for b in touched}
-        (rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+        (rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
          .parquet(f"{self.root}/data/version={version}"))
         rows_of = self.spark.createDataFrame(sorted(known.items()), "bucket int, version bigint")
         rows_of.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{version}")

@@ -10,6 +10,7 @@ from shelfcast.models.naive import seasonal_naive
 from shelfcast.operators import panel as P
 from shelfcast.operators import profile as R
 from shelfcast.operators.impute import impute_latent
+from shelfcast.streaming.versions import VersionedTable
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -68,3 +69,16 @@ def test_naive_forecast_goes_by_calendar_days(spark):
         back = range(d - 7, d)
         want = sum(back) + sum(list(back)[:3]) if all(x in days for x in back) else None
         assert got[DAY + datetime.timedelta(d)] == want
+
+
+def test_stream_parts_and_buckets_are_written_by_many_tasks(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), "k bigint, v string", ["k"], buckets=2)
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")).repartition(8)
+    was = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        table.write(0, rows, [0, 1])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
+    assert all(len(list((tmp_path / "t/data/version=0" / f"bucket={b}").glob("*.parquet"))) > 2 for b in (0, 1))
+    assert sorted(table.read(1).collect()) == sorted(rows.collect())
