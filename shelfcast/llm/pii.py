@@ -4,22 +4,24 @@ Base spans come from the strict patterns of each kind and always stay. Loose gen
 written-out or bracketed "at" and "dot", digit groups with any separators, dotted quads with spaces or brackets, numbers
 without a country code. Each candidate gets format and context features, and gradient-boosted trees (Spark ML) score it.
 
-What the strict rules find has forms that they do not know. So the trees learn from variants of it, a training aid: each base span of about
-``SAMPLE_DOCS`` drawn documents, and of some made-up ones, is put back into its context in disguise (spaces, brackets, "at", "dot", other separators,
+What the strict rules find has forms that they do not know. So the trees learn from variants of it, a training aid: each base span of all
+documents, and of some made-up ones, is put back into its context in disguise (spaces, brackets, "at", "dot", other separators,
 no plus) as a right answer, and spoilt in the same disguise (a wrong check digit, a part beyond 255, too few digits, a date, a version, a sentence with
-"at") as a wrong one. What the generators find elsewhere in the drawn documents and no rule confirms is a wrong answer too.
-At most ``SAMPLE`` rows, drawn by hash, are used; a fifth of the documents is kept out and sets a threshold for each kind: the least score
-from which ``PRECISION`` of the answers are right. A kind that never gets there adds nothing. Candidates from it on that overlap no base span
-and no better candidate are added.
+"at") as a wrong one. What the generators find elsewhere in the documents and no rule confirms is a wrong answer too.
+Nothing is drawn: equal rows are counted, and the trees are fitted on the distinct ones with their counts as weights. A fifth of the documents is
+kept out and sets a threshold for each kind: the least score from which ``PRECISION`` of the answers are right. A kind that never gets there adds
+nothing. Candidates from it on that overlap no base span and no better candidate are added.
 
-Everything happens inside a row: positions come from the lengths of the pieces between matches, the
-trees become a CASE expression, and no row is shuffled. The patterns are possessive, and one that
+Everything else happens inside a row: positions come from the lengths of the pieces between matches, the
+trees become a CASE expression, and no text is shuffled. The patterns are possessive, and one that
 starts with a run of letters or digits only starts at a run's begin (or where the last match ended), so no text costs
 more than a linear scan.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from shelfcast.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, SAMPLE_DOCS, TREES, DEPTH, PRECISION, NEVER = 20_000, 20_000, 16, 4, 0.98, 2.0
+TREES, DEPTH, PRECISION, NEVER = 16, 4, 0.98, 2.0
 BLOCK = 64
+FIT_ROWS = 20_000  # distinct training rows in a task
+BINS = 256  # cut points of a feature, more for many rows, so that Spark looks at all of them for the cuts
 SPANS = "array<struct<kind:int,start:bigint,end:bigint,hit:string>>"
 SCORED = "array<struct<kind:int,start:bigint,end:bigint,hit:string,p:double>>"
 
@@ -201,14 +205,21 @@ def made_up(spark) -> DataFrame:
     return rows.select((i % 5).cast("int").alias("part"), F.posexplode(hit).alias("kind", "hit"), words.alias("before"), F.lit(" and").alias("after"))
 
 
-def training_rows(drawn: DataFrame) -> DataFrame:
-    """``part, f, label, draw`` from documents with ``doc_id``, ``text`` and their ``base`` spans."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int")
-    spans = drawn.select(part.alias("part"), "text", F.explode("base").alias("s"))
-    before = F.substring(F.col("text"), F.greatest(F.col("s.start") - 15, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(16)).cast("int"))
-    known = spans.select("part", F.col("s.kind").alias("kind"), F.col("s.hit").alias("hit"), before.alias("before"),
-                         F.substring(F.col("text"), (F.col("s.end") + 1).cast("int"), F.lit(16)).alias("after"))
-    seeds = known.unionByName(made_up(drawn.sparkSession)).where(F.char_length("hit") < 100)
+def seen(rows: DataFrame) -> DataFrame:
+    """Per document of ``doc_id`` and ``text`` that may hold a span: its ``part``, the base spans in their contexts, and the features of the other candidates."""
+    text = F.col("text")
+    before = lambda s: F.substring(text, F.greatest(s["start"] - 15, F.lit(1)).cast("int"), F.least(s["start"], F.lit(16)).cast("int"))
+    after = lambda s: F.substring(text, (s["end"] + 1).cast("int"), F.lit(16))
+    known = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["hit"].alias("hit"), before(s).alias("before"), after(s).alias("after")))
+    found = rows.filter(text.rlike(MAY_HOLD)).withColumn("base", base_spans(text)).withColumn("loose", candidates(text, F.col("base")))
+    return found.select(F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int").alias("part"), known.alias("known"),
+                        F.transform(F.filter("loose", lambda c: ~c["within"]), lambda c: c["f"]).alias("natural"))
+
+
+def training_rows(documents: DataFrame) -> DataFrame:
+    """``part``, the features, ``label`` and ``weight``, the number of equal rows, from what is ``seen`` in documents."""
+    known = documents.select("part", F.inline("known"))
+    seeds = known.unionByName(made_up(documents.sparkSession)).where(F.char_length("hit") < 100)
     planted = seeds.select("part", "kind", "before", "after", F.inline(variants(F.col("kind"), F.col("hit"))))
     start = F.char_length("before")
     planted = planted.select("part", "kind", "good", start.alias("a"), (start + F.char_length("v")).alias("b"), F.concat("before", "v", "after").alias("text"))
@@ -218,8 +229,8 @@ def training_rows(drawn: DataFrame) -> DataFrame:
     same = (shared > 0.8 * whole) & (F.col("c.kind") == F.col("kind"))
     right = F.when(same, F.col("good")).when((F.col("good") == 0.0) & (shared > 0), 0.0)
     planted = planted.where(~F.col("c.within")).select("part", "c.f", right.alias("label")).where("label is not null")
-    natural = drawn.select(part.alias("part"), F.explode(candidates(F.col("text"), F.col("base"))).alias("c")).where(~F.col("c.within"))
-    return planted.unionByName(natural.select("part", "c.f", F.lit(0.0).alias("label"))).withColumn("draw", F.xxhash64("f", "label", "part"))
+    natural = documents.select("part", F.explode("natural").alias("f")).withColumn("label", F.lit(0.0))
+    return planted.unionByName(natural).groupBy("part", *[F.col(f"f.{n}").alias(n) for n in FEATURES], "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 class SpanModel:
@@ -257,21 +268,21 @@ def unbeaten(spans: Column) -> Column:
 
 
 def fit_spans(rows: DataFrame) -> SpanModel | None:
-    """Trees from ``training_rows``, about ``SAMPLE`` of them drawn by hash; None without both labels. A fifth sets the thresholds and is not trained on."""
+    """Trees from all ``training_rows``; None without both labels. A fifth of the documents sets the thresholds and is not trained on."""
     rows = materialise(rows, "span-rows")
     n = rows.count()
-    if n > SAMPLE:
-        rows = rows.where(F.pmod("draw", F.lit(1 << 20)) < int((1 << 20) * SAMPLE / n))
-    # a bounded sample in one fixed order: the trees do not depend on how the table was cut
-    sample = materialise(rows.select("f.*", "label", "part", "draw").coalesce(1).sortWithinPartitions("draw", *FEATURES, "label"), "span-sample")
-    if {r["label"] for r in sample.filter("part < 4").select("label").distinct().collect()} != {0.0, 1.0}:
+    # dealt by content and in one order: the trees do not depend on how the table was cut
+    whole = [*FEATURES, "label", "part"]
+    rows = materialise(rows.repartition(max(1, -(-n // FIT_ROWS)), *whole).sortWithinPartitions(*whole), "span-fit")
+    if {r["label"] for r in rows.filter("part < 4").select("label").distinct().collect()} != {0.0, 1.0}:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = vectors.transform(sample.filter("part < 4"))
-    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=256, stepSize=0.3, seed=3, labelCol="label", featuresCol="features").fit(train.select("features", "label"))
+    train = vectors.transform(rows.filter("part < 4"))
+    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=max(BINS, math.isqrt(n) + 1), stepSize=0.3, seed=3, labelCol="label", featuresCol="features",
+                        weightCol="weight").fit(train.select("features", "label", "weight"))
     model = SpanModel([(w, t._java_obj.rootNode()) for w, t in zip(gbt.treeWeights, gbt.trees)], [NEVER] * len(KINDS))
     p = F.round(model.probability(F.struct(*[F.col(c) for c in FEATURES])), 2)
-    scored = sample.filter("part = 4").groupBy("kind", p.alias("p")).agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n")).orderBy("kind", F.desc("p")).collect()
+    scored = rows.filter("part = 4").groupBy("kind", p.alias("p")).agg(F.sum(F.col("label") * F.col("weight")).alias("yes"), F.sum("weight").alias("n")).orderBy("kind", F.desc("p")).collect()
     for k in range(len(KINDS)):  # at most 101 rows of a kind
         yes = n = 0
         for r in (r for r in scored if r["kind"] == k):
@@ -287,14 +298,11 @@ def joined(spans: Column) -> Column:
 
 
 def fit_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SpanModel | None:
-    """A model from all documents of a small table, about ``SAMPLE_DOCS`` drawn by hash of a large one; None for an empty table."""
-    n = docs.count()
-    if not n:
+    """A model from all documents; None for an empty table. Texts are read once; what is kept of them is spans, contexts and features."""
+    if docs.isEmpty():
         return None
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.char_length("text")), F.lit(1 << 20)) / float(1 << 20) < F.lit(min(1.0, SAMPLE_DOCS / n))
-    drawn = materialise(rows.filter(draw & F.col("text").rlike(MAY_HOLD)).withColumn("base", base_spans(F.col("text"))), "span-documents")
-    return fit_spans(training_rows(drawn))
+    return fit_spans(training_rows(materialise(seen(rows), "span-documents")))
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SpanModel | None = None) -> DataFrame:

@@ -75,3 +75,15 @@ def test_clashing_columns_null_and_repeated_ids(spark, model):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, base string, spans int, n_ip int")
     got = sorted((repr(r["doc_id"]), r["spans"]) for r in pii.find_personal(df, model=model).collect())
     assert got == sorted([("None", f"email:0:{len(mail)}"), ("None", f"email:0:{len(mail)}"), ("3", ""), ("3", ""), ("4", "ip:200001:200018")])
+
+
+def test_all_documents_are_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(pii, "fit_spans", lambda rows: rows)
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("so 123-4567 and, for "), "id", F.lit(" of us, +1 (555) 010-"), F.lpad((F.col("id") % 10_000).cast("string"), 4, "0")).alias("text"))
+    rows = pii.fit_personal(docs)
+    assert rows.count() < rows.agg(F.sum("weight")).first()[0] / 2  # equal rows are one row with a weight
+    none = pii.fit_personal(docs.where("doc_id < 0").unionByName(spark.createDataFrame([(1, "no data at all")], docs.schema)))
+    total = lambda r, label: r.where(F.col("label") == label).agg(F.sum("weight")).first()[0]
+    assert total(rows, 1.0) - total(none, 1.0) >= 3 * 25_000  # disguises of every document's number
+    plain = rows.where("label = 0 and kind = 3 and digits = 7 and plus = 0 and chars = 8")
+    assert plain.agg(F.sum("weight")).first()[0] >= 25_000
