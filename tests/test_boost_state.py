@@ -67,3 +67,23 @@ def test_a_lost_fit_goes_on_from_its_last_block(rows, tmp_path, monkeypatch):
         assert fits == []
     with pytest.raises(ValueError, match="other settings"):
         M.train_boost(rows, NAMES, stages=6, patience=5, state=state, **args | {"depth": 3})
+
+
+def test_trees_read_a_cached_matrix_that_is_given_back(spark, rows, monkeypatch):
+    plans, fit = [], M.DecisionTreeRegressor.fit
+
+    def run(self, data, params=None):
+        plans.append(data._jdf.queryExecution().executedPlan().toString())
+        return fit(self, data, params)
+
+    monkeypatch.setattr(M.DecisionTreeRegressor, "fit", run)
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    M.train_boost(rows, NAMES, stages=2, **ARGS)
+    assert len(plans) == 4 and all("InMemoryTableScan" in p for p in plans)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == kept
+
+
+def test_fits_run_side_by_side_only_to_fill_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    parts = spark.range(1000).repartition(8 * cores)
+    assert [M.side_by_side(df, 4) for df in (parts, parts.coalesce(cores), parts.coalesce(1))] == [1, 2, 4]
