@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.impute import Teacher, is_clean
 from ..session import materialise
+from .bins import UNSAMPLED
 
 # Stock-out hours are left out: they are 0 on every training day and never 0 where the teacher is used.
 COVARIATES = ["discount", "holiday_flag", "avg_temperature", "precpt", "avg_humidity", "avg_wind_level"]
@@ -33,8 +34,10 @@ def assembled(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
 
 
 def boosted(rows: DataFrame, iterations: int, depth: int, step: float, seed: int) -> GBTRegressionModel:
-    return GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="teacher_prediction", maxIter=iterations,
-                        maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=1.0).fit(rows)
+    """Boosted trees. Rows with a weight ``__w`` are cells of binned days (``bins.py``): every bin is a candidate, so no sample of the cells is taken."""
+    trees = GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="teacher_prediction", maxIter=iterations,
+                         maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=1.0)
+    return (trees.setWeightCol("__w").setMaxBins(UNSAMPLED) if "__w" in rows.columns else trees).fit(rows)
 
 
 def train_teacher(panel: DataFrame, iterations: int = 20, depth: int = 5, step: float = 0.1,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import statistics
 from collections.abc import Callable, Sequence
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import InventoryConfig
-from ..functions.columns import both, floor0, hash52, HASH_SPAN, ratio, sum0
+from ..functions.columns import both, floor0, hash52, hash_hex, HASH_SPAN, ratio, sum0
 from ..functions.ranks import kth_smallest, value_classes
 from ..session import materialise
 from .panel import OPERATIVE_HOURS
@@ -17,6 +18,9 @@ from .panel import OPERATIVE_HOURS
 SCALING_FACTOR = 1.2
 CENSORED_SHARE = 0.30
 SLOTS = 1024
+LISTED = 256  # distinct severities up to which a nested draw finds one in a list rather than by a join
+SURE = 8.0  # standard deviations to each side in which the last hash of a draw is looked for
+DRAWS = "array<struct<seed: bigint, severity_hours: double>>"
 CLOSED_FORM = ("historical_mean", "clipped_scaling")
 Teacher = Callable[[DataFrame], DataFrame]
 
@@ -83,14 +87,39 @@ def latent_long(panel: DataFrame, strategies: Sequence[str] = CLOSED_FORM, teach
         "series_id", "date", "e.strategy", "observed", "e.latent_demand_est", "stockout_hours", "is_imputed")
 
 
+def draw_cuts(clean: DataFrame, seeds: Sequence[int], share: float, n_clean: int) -> dict[int, str]:
+    """For each seed the hash of the last row that it draws, as ``hash_hex`` digits.
+
+    Hashes are spread evenly, so the one wanted is known within some standard deviations of its rank. Hashes in that span are ranked one by one
+    and those below and above it are two more classes; should a span miss (days that come many times), all are ranked.
+    """
+    rows = clean.select(day_key().alias("__day")).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    rows = rows.select("seed", hash_hex("__day", "seed").alias("__x"))
+    n = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(share)))
+    p = max(1, math.floor(n_clean * share)) / n_clean
+    room = SURE * (math.sqrt(p * max(0.0, 1.0 - p) / n_clean) + 1.0 / n_clean)
+    lo, hi = (min(max(int((p + d) * HASH_SPAN), 0), int(HASH_SPAN) - 1) for d in (-room, room))
+    each = F.conv("__x", 16, 10).cast("bigint")
+    near = F.when(F.col("__x") < f"{lo:013x}", F.lit(-1)).when(F.col("__x") > f"{hi:013x}", F.lit(int(HASH_SPAN))).otherwise(each)
+    for h in (near, each):
+        h = F.coalesce(h, F.lit(0))  # never null, which spares a second look at the hash
+        cuts = {r["seed"]: r["__cut"] for r in kth_smallest(rows.withColumn("__h", h), ["seed"], "__h", n, "__cut").collect()}  # a row per draw
+        if all(0 <= c < HASH_SPAN for c in cuts.values()):
+            break
+    return {s: f"{c:013x}" for s, c in cuts.items()}
+
+
 def synthetic_censor(panel: DataFrame, seeds: Sequence[int], share: float = CENSORED_SHARE,
-                     mask: Column | None = None) -> DataFrame:
+                     mask: Column | None = None, nested: bool = False) -> DataFrame:
     """Clean days picked for each seed, with a severity drawn from the real stock-outs of the same rows.
 
     Picks are the rows with the smallest hash of (series, date, seed), so a draw depends on
     neither partitioning nor row order. The severity is read off the distribution of real
     severities at a second hash: each distinct severity covers a run of ranks, cut into slots
     to make the lookup an equi-join.
+
+    ``nested`` gives the whole panel instead, in which the column ``draws`` lists the seeds that pick the row and its severity under each, after those
+    that it lists already: rows stay where they are, however many draws there are. ``long_draws`` makes the picks of it.
     """
     window = panel if mask is None else panel.where(mask)
     pool = window.where(F.col("stockout_hours") > 0).select("stockout_hours")
@@ -99,25 +128,61 @@ def synthetic_censor(panel: DataFrame, seeds: Sequence[int], share: float = CENS
     if not counts["clean"] or not counts["out"]:
         raise ValueError(f"synthetic censoring needs clean days and real stock-outs, found {counts['clean']} "
                          f"and {counts['out']}")
-    drawn = (clean.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-             .withColumn("__h", hash52("series_id", "date", "seed")))
-    n = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(share)))
-    cut = kth_smallest(drawn, ["seed"], "__h", n, "__cut").select("seed", "__cut")
-    picked = drawn.join(cut, "seed").where(F.col("__h") <= F.col("__cut"))
+    cuts = draw_cuts(clean, seeds, share, counts["clean"])
     size = counts["out"]
-    u = hash52("series_id", "date", "seed", F.lit("severity"))
-    picked = picked.withColumn("__rank", F.floor(u * F.lit(float(size)) / F.lit(HASH_SPAN)))
-    slot = F.floor(F.col("__rank") * SLOTS / F.lit(size))
     sev = value_classes(pool, [], "stockout_hours")
+    rank = lambda u: F.floor(u * F.lit(float(size)) / F.lit(HASH_SPAN))
+    if nested:
+        classes = sev.orderBy("before").limit(LISTED + 1).collect()
+        if len(classes) > LISTED:
+            return with_draws(panel, synthetic_censor(panel, seeds, share, mask))
+        ends, hours = (F.array(*[F.lit(x) for x in v]) for v in ([r["before"] + r["mass"] for r in classes], [r["stockout_hours"] for r in classes]))
+        day = F.col("__day")
+        hit = F.array_compact(F.array(*[F.when(hash_hex(day, F.lit(str(int(s)))) <= cuts[s], F.lit(int(s)).cast("bigint")) for s in seeds]))
+        drawn = F.transform(hit, lambda s: F.struct(s.alias("seed"), rank(hash52(day, s.cast("string"), F.lit("severity"))).alias("rank")))
+        drawn = F.transform(drawn, lambda d: F.struct(d["seed"].alias("seed"), F.get(hours, F.size(F.filter(ends, lambda e: e <= d["rank"]))).alias("severity_hours")))
+        keyed = panel.withColumn("__day", day_key())
+        return add_draws(keyed, F.when(is_clean() if mask is None else is_clean() & mask, drawn)).drop("__day")
+    pairs = F.array(*[F.struct(F.lit(int(s)).alias("seed"), F.lit(cuts[s]).alias("cut")) for s in seeds])
+    drawn = clean.withColumn("__day", day_key()).withColumn("__d", F.explode(pairs)).withColumns({"seed": F.col("__d.seed"), "__to": F.col("__d.cut")}).drop("__d")
+    picked = drawn.where(hash_hex("__day", "seed") <= F.col("__to"))
+    picked = picked.withColumn("__rank", rank(hash52("__day", "seed", F.lit("severity"))))
+    slot = F.floor(F.col("__rank") * SLOTS / F.lit(size))
     sev = sev.select(F.col("stockout_hours").alias("severity_hours"), F.col("before").alias("__lo"),
                      (F.col("before") + F.col("mass")).alias("__hi"),
                      F.explode(F.sequence(F.floor(F.col("before") * SLOTS / F.lit(size)),
                                           F.floor((F.col("before") + F.col("mass") - 1) * SLOTS / F.lit(size)))).alias("__slot"))
     joined = picked.withColumn("__slot", slot).join(sev, "__slot").where(
         (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")))
-    keep = 1.0 - F.col("severity_hours") / F.lit(OPERATIVE_HOURS)
-    return joined.select("seed", "series_id", "date", "true_demand", "severity_hours",
-                         (F.col("true_demand") * keep).alias("censored_demand"))
+    return joined.select("seed", "series_id", "date", "true_demand", "severity_hours", censored_demand().alias("censored_demand"))
+
+
+def day_key() -> Column:
+    """Series and date as ``hash52`` joins them: null, which it skips, where both are."""
+    return F.when(F.col("series_id").isNotNull() | F.col("date").isNotNull(), F.concat_ws("|", "series_id", F.col("date").cast("string")))
+
+
+def censored_demand() -> Column:
+    return F.col("true_demand") * (1.0 - F.col("severity_hours") / F.lit(OPERATIVE_HOURS))
+
+
+def add_draws(panel: DataFrame, more: Column) -> DataFrame:
+    """``more`` draws of each row, null for none, after those that it has."""
+    more = F.coalesce(more, F.array().cast(DRAWS))
+    return panel.withColumn("draws", F.concat("draws", more) if "draws" in panel.columns else more)
+
+
+def with_draws(panel: DataFrame, draws: DataFrame) -> DataFrame:
+    """The panel with the picks of a table of draws in its column ``draws``, as ``synthetic_censor`` nests them."""
+    per_day = draws.groupBy("series_id", "date").agg(F.collect_set(F.struct(F.col("seed").cast("bigint").alias("seed"), "severity_hours")).alias("__more"))
+    return add_draws(panel.join(per_day, ["series_id", "date"], "left"), F.when(is_clean(), F.col("__more"))).drop("__more")
+
+
+def long_draws(panel: DataFrame) -> DataFrame:
+    """The picks of a panel with nested draws, one row each."""
+    rows = panel.select("series_id", "date", F.col("observed_demand").alias("true_demand"), F.explode("draws").alias("__d"))
+    rows = rows.select("__d.seed", "series_id", "date", "true_demand", "__d.severity_hours")
+    return rows.withColumn("censored_demand", censored_demand())
 
 
 def censored_panel(panel: DataFrame, draws: DataFrame, seeds: Sequence[int] | None = None) -> DataFrame:

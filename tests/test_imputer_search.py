@@ -1,10 +1,11 @@
 """The imputer search: draws beside the panel against censored copies of it, the race, and the gates."""
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from shelfcast.models import imputer_search as S
-from shelfcast.models.teacher import boosted, train_teacher
+from shelfcast.models.teacher import SERIES_MEAN, assembled, boosted, calendar_inputs, train_teacher
 from shelfcast.operators import impute as I
 
 SMALL = {"iterations": 3, "depth": 2, "step": 0.3}
@@ -84,3 +85,61 @@ def test_imputer_gates(panel):
 def test_too_few_draws_are_refused(panel):
     with pytest.raises(ValueError, match="two validation draws"):
         S.tune_imputer(panel, [SMALL], n_validation=1)
+
+
+@pytest.fixture(scope="module")
+def wide_panel(spark):
+    """Sixty series of 120 days, with more distinct discounts and series means than a tree has bins, a day that comes twice and demand that is missing."""
+    days = spark.range(60 * 120).selectExpr(
+        "concat('s', id % 60) AS series_id", "date_add(date'2025-01-01', cast(id div 60 AS int)) AS date", "id % 60 AS k", "id * 7919 % 104729 / 104729.0D AS u", "id AS id")
+    rows = days.selectExpr("series_id", "date", "if(id = 1234, null, 5D + k % 17 + 8D * u + weekday(date)) AS observed_demand", "cast(id % 5 = 0 AS double) * (4D + id % 3) AS stockout_hours",
+                           "1D - round(u * 0.3D, 3) AS discount", "cast(weekday(date) = 6 AS double) AS holiday_flag")
+    return I.materialise(rows.unionByName(rows.where("series_id = 's7' AND date < '2025-01-20'").withColumn("discount", F.lit(0.5))), "wide-panel")
+
+
+def test_nested_draws_are_those_of_the_table(wide_panel, monkeypatch):
+    late = F.col("date") >= "2025-03-01"
+    one = I.synthetic_censor(wide_panel, SEEDS, mask=~late).unionByName(I.synthetic_censor(wide_panel, [7], mask=late)).cache()
+    asked = lambda: I.long_draws(I.synthetic_censor(I.synthetic_censor(wide_panel, SEEDS, mask=~late, nested=True), [7], mask=late, nested=True))
+    want = sorted(map(str, (tuple(r[n] for n in one.columns) for r in one.collect())))
+    assert sorted(map(str, (tuple(r[n] for n in one.columns) for r in asked().collect()))) == want
+    monkeypatch.setattr(I, "SURE", 0.0)  # the span misses, so all hashes are ranked
+    assert sorted(map(str, (tuple(r[n] for n in one.columns) for r in asked().collect()))) == want
+    monkeypatch.setattr(I, "LISTED", 1)  # severities by a join
+    got = asked().distinct().collect()
+    assert sorted({str(tuple(r[n] for n in one.columns)) for r in got}) == sorted(set(want))
+
+
+def test_fits_learn_from_cells_what_they_learn_from_the_days(wide_panel):
+    draws = I.materialise(I.synthetic_censor(wide_panel, SEEDS), "draws")
+    matrix = S.draw_matrix(wide_panel, draws, SEEDS)
+    clean = wide_panel.where(I.is_clean() & F.col("observed_demand").isNotNull())
+    for i, seed in enumerate(SEEDS):
+        cells = matrix.training(i)
+        left = clean.join(draws.where(F.col("seed") == seed), ["series_id", "date"], "left_anti")
+        want = left.agg(F.count(F.lit(1)), F.sum("observed_demand")).first()
+        got = cells.agg(F.sum("__w"), F.sum(F.col("__w") * F.col("__y"))).first()
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1])
+        means = I.draw_means(wide_panel, draws).where(F.col("seed") == seed).select("series_id", F.col("clean_mean").alias(SERIES_MEAN))
+        rows = assembled(calendar_inputs(left.join(means, "series_id")), matrix.inputs).select("__x", F.col("observed_demand").alias("__y"))
+        model = boosted(rows, **SMALL, seed=42)
+        drawn = draws.where(F.col("seed") == seed).join(means, "series_id").join(calendar_inputs(wide_panel).drop("observed_demand", "stockout_hours"), ["series_id", "date"])
+        off = F.col("censored_demand") + I.stockout_share(F.col("severity_hours")) * F.greatest(F.col("teacher_prediction"), F.lit(0.0)) - F.col("true_demand")
+        r = model.transform(assembled(drawn, matrix.inputs)).agg(F.avg(F.abs(off)), F.count(F.lit(1))).first()
+        assert matrix.error(i, boosted(cells, **SMALL, seed=42)) == (pytest.approx(r[0]), r[1])
+
+
+def test_a_search_builds_the_panel_once_and_fits_cells(wide_panel, monkeypatch):
+    built, bins = wide_panel.sparkSession.sparkContext.accumulator(0), []
+    seen = F.udf(lambda v: (built.add(1), v)[1], "string").asNondeterministic()
+    fit = S.boosted
+
+    def run(rows, **settings):
+        bins.append(rows.agg(F.max(F.array_max(vector_to_array("__x")))).first()[0])
+        return fit(rows, **settings)
+
+    monkeypatch.setattr(S, "boosted", run)
+    many = wide_panel.withColumn("discount", F.round("discount", 1)).withColumn("series_id", seen("series_id"))
+    found = S.tune_imputer(many, [], n_selection=1, n_validation=2, default={"iterations": 1, "depth": 1, "step": 0.1}, race_after=None)
+    assert found.errors.count() == 3 and built.value == wide_panel.count()
+    assert len(bins) == 3 and max(bins) < 32
